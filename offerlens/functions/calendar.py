@@ -11,6 +11,10 @@ MONTH_NUMBER = {m: i + 1 for i, m in enumerate(FV.MONTHS)}
 OFFSET_PATTERN = r"(Z|[+-]\d{2}:?\d{2})$"
 
 
+def bit(position: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), position)
+
+
 def month_range(text: Column) -> Column:
     """'Nov-Jan' -> [11, 12, 1]; a single month -> itself; unknown or missing text -> []."""
     named = F.transform(
@@ -29,7 +33,7 @@ def month_range(text: Column) -> Column:
 def month_mask(text: Column) -> Column:
     """The same months as bits, so that windows of many rows union with ``bit_or``."""
     return F.aggregate(
-        month_range(text), F.lit(0), lambda acc, m: acc.bitwiseOR(F.shiftleft(F.lit(1), m - 1))
+        month_range(text), F.lit(0), lambda acc, m: acc.bitwiseOR(bit(m - 1))
     )
 
 
