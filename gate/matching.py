@@ -189,9 +189,12 @@ def best_matches_wide(spark, d):
     return M.best_matches_wide(entities(spark, d), products(spark, d))
 
 
-# A broken link per (entity, seller): its handle is the one the entity would match best.
-@gate("best_replacement", f"""WITH {SELLER_MATCH_SQL},
-broken AS (SELECT seller_id, entity_id, handle AS old_handle FROM per_seller),
+# A broken link per (entity, seller): the handle of the seller's first part of that name.
+@gate("best_replacement", f"""WITH {PAIR_SQL},
+broken AS (
+  SELECT CAST(p_partkey % 10 AS VARCHAR) AS seller_id, REPLACE(p_name, ' ', '-') || '-tree' AS entity_id,
+         ARG_MIN(handle, p_partkey) AS old_handle
+  FROM part JOIN prods ON p_partkey = product_ord GROUP BY 1, 2),
 again AS (
   SELECT b.seller_id, b.entity_id, b.old_handle, p.handle, p.title, GREATEST(p.s1, p.s2) AS raw,
     ROW_NUMBER() OVER (PARTITION BY b.entity_id, b.seller_id ORDER BY GREATEST(p.s1, p.s2) DESC, p.product_ord) AS rn
@@ -199,8 +202,13 @@ again AS (
 SELECT seller_id, entity_id, old_handle, handle AS candidate_handle, title AS candidate_title, ROUND_EVEN(raw, 2) AS match_score
 FROM again WHERE rn = 1 AND raw >= 0.6""")
 def best_replacement(spark, d):
-    broken = _per_seller(spark, d).select("seller_id", "entity_id", F.col("handle").alias("old_handle"))
     p = products(spark, d)
+    parts = G.table(spark, d, "part").select("p_name", F.col("p_partkey").alias("product_ord"))
+    broken = (
+        p.join(parts, "product_ord")
+        .groupBy("seller_id", F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-tree")).alias("entity_id"))
+        .agg(F.min_by("handle", "product_ord").alias("old_handle"))
+    )
     snapshot = broken.select("seller_id", "entity_id", F.lit("1gal").alias("tier"), F.lit(1.0).alias("price"))
     prices = p.groupBy("seller_id", "handle").agg(
         F.create_map(F.lit("1 Gallon"), F.min("product_ord").cast("double")).alias("variant_prices")

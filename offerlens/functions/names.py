@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from offerlens.functions import fixed_values as FV
-from offerlens.functions.text import any_of, squeeze, strip, words
+from offerlens.functions.text import any_of, let, squeeze, strip, words
 
 
 def match_text(c: Column) -> Column:
@@ -40,11 +40,15 @@ def overlap_score(name_words: Column, title_words: Column) -> Column:
 
 
 def match_score(name: Column, title: Column) -> Column:
-    n, t = match_text(name), match_text(title)
-    return (
-        F.when(F.coalesce(n, F.lit("")).eqNullSafe("") | F.coalesce(t, F.lit("")).eqNullSafe(""), 0.0)
-        .when(n == t, 1.0)
-        .otherwise(overlap_score(match_words(n), match_words(t)))
+    blank = F.lit("")
+    pair = F.struct(
+        F.coalesce(match_text(name), blank).alias("n"), F.coalesce(match_text(title), blank).alias("t")
+    )
+    return let(
+        pair,
+        lambda p: F.when((p.n == "") | (p.t == ""), 0.0)
+        .when(p.n == p.t, 1.0)
+        .otherwise(overlap_score(match_words(p.n), match_words(p.t))),
     )
 
 

@@ -36,8 +36,19 @@ def number(c: Column) -> Column:
     return c.try_cast("double")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value``, with ``value`` computed once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _sql_literal(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(v)
+
+
 def literal_map(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    return F.expr(f"map({', '.join(_sql_literal(x) for kv in values.items() for x in kv)})")
 
 
 def lookup(values: dict, key: Column) -> Column:
@@ -46,7 +57,7 @@ def lookup(values: dict, key: Column) -> Column:
 
 
 def any_of(items: list[str]) -> Column:
-    return F.array(*[F.lit(x) for x in items])
+    return F.expr(f"array({', '.join(_sql_literal(x) for x in items)})")
 
 
 def title_case(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from offerlens.functions import fixed_values as FV
-from offerlens.functions.text import lookup, slug, strip, strip_chars, title_case
+from offerlens.functions.text import any_of, let, lookup, slug, strip, strip_chars, title_case
 
 RAW_ID = r"^\d{7,}$"
 UNICODE = "(?U)"
@@ -28,7 +28,10 @@ def _whole(c: Column) -> Column:
 def size_tier(title: Column) -> Column:
     """Tier of a free-text size title. The order of the rules is the meaning: a pot size wins
     over a height, a height over a grade, and only unknown text becomes a slug."""
-    t = _cleaned_title(title)
+    return let(_cleaned_title(title), _tier_of_clean_title)
+
+
+def _tier_of_clean_title(t: Column) -> Column:
     has = lambda *subs: reduce(lambda a, b: a | b, [t.contains(s) for s in subs])
     pair = lambda pattern, unit: F.concat(
         _whole(F.regexp_extract(t, UNICODE + pattern, 1)),
@@ -78,7 +81,10 @@ def size_tier(title: Column) -> Column:
 
 def rootstock_tier(desc: Column) -> Column:
     """Compound tier of a rootstock description: potted, else base grade plus how it is sold."""
-    t = F.lower(desc)
+    return let(F.lower(desc), _rootstock_of)
+
+
+def _rootstock_of(t: Column) -> Column:
     semi = t.contains("semi-dwarf") | t.contains("semi dwarf")
     potted = (
         F.when(semi, "semi-dwarf-potted")
@@ -117,7 +123,7 @@ def tier_label(tier: Column) -> Column:
 
 def tier_rank(tier: Column) -> Column:
     """Sortable rank: position in the display order; tiers outside it come after, by name."""
-    position = F.array_position(F.array(*[F.lit(x) for x in FV.TIER_ORDER]), tier)
+    position = F.array_position(any_of(FV.TIER_ORDER), tier)
     return F.struct(
         F.when(position == 0, F.lit(len(FV.TIER_ORDER) + 1).cast("long")).otherwise(position)
         .alias("pos"),
@@ -155,5 +161,4 @@ def is_pack_label(name: Column) -> Column:
 
 def is_size_name(name: Column) -> Column:
     t = F.lower(name)
-    hit = reduce(lambda a, b: a | b, [t.contains(k) for k in FV.SIZE_NAME_KEYWORDS])
-    return hit | t.rlike(FV.SIZE_NAME_PREFIX_PATTERN)
+    return t.rlike("|".join([*FV.SIZE_NAME_KEYWORDS, FV.SIZE_NAME_PREFIX_PATTERN]))

@@ -41,132 +41,128 @@ def _key(words: Column) -> Column:
 
 def _distinct_titles(products: DataFrame, group: list[str], keep: int) -> DataFrame:
     """One row per distinct word set: its first product, or its first ``keep`` handles."""
-    keyed = products.select(*group, _key(F.col("p_words")).alias("p_key"), "p_handle", "p_ord")
+    keyed = products.select(*group, _key(F.col("p_words")).alias("p_key"), "p_handle", "p_ord").filter(
+        "p_key != ''"
+    )
     if keep == 1:
-        firsts = keyed.groupBy(*group, "p_key").agg(
-            F.min_by("p_handle", "p_ord").alias("p_handle"), F.min("p_ord").alias("p_ord")
+        firsts = keyed.groupBy(*group, "p_key").agg(F.min("p_ord").alias("p_ord")).withColumn(
+            "p_handle", F.lit(None).cast("string")
         )
     else:
         per_handle = keyed.groupBy(*group, "p_key", "p_handle").agg(F.min("p_ord").alias("p_ord"))
         firsts = top_per_group(per_handle, [*group, "p_key"], [F.col("p_ord")], keep)
-    return firsts.filter("p_key != ''").withColumn("p_words", F.split("p_key", " "))
+    return firsts.withColumn("p_words", F.split("p_key", " "))
 
 
 def best_by_words(
-    names: DataFrame,
-    products: DataFrame,
-    threshold: float,
-    weight: float = 1.0,
-    group: list[str] | None = None,
-    exclude: bool = False,
+    names: DataFrame, products: DataFrame, threshold: float, group: list[str], exclude: bool = False
 ) -> DataFrame:
     """Best product per name: highest share of the name's words, the first product on a tie.
 
-    names: group.., e_id, e_words[, e_exclude]; products: group.., p_words, p_handle, p_ord (a
-    unique LONG below 2^48). Returns group.., e_id, score, p_ord for scores >= ``threshold``.
+    names: group.., e_id, e_words, e_weight, e_exclude; products: group.., p_words, p_handle, p_ord
+    (a unique LONG below 2^48). Returns group.., e_id, score, p_ord for scores >= ``threshold``.
     ``exclude`` skips the product whose handle is the name's ``e_exclude``.
     """
-    group = group or []
-    extra = ["e_exclude"] if exclude else []
+    name_key = [*group, "e_key", "e_weight", "e_exclude"]
     sets = names.withColumn("e_key", _key(F.col("e_words"))).filter("e_key != ''")
-    distinct_sets = (
-        sets.select(*group, "e_key", *extra).distinct().withColumn("e_words", F.split("e_key", " "))
-    )
-    n = F.size("e_words")
-    share = lambda k: k / n * weight
+    words_of_key = F.split("e_key", " ")
+    share = lambda k, n: k / n * F.col("e_weight")
     needed = F.get(
-        F.filter(F.sequence(F.lit(1), n), lambda k: share(k) >= F.lit(threshold)), 0
+        F.filter(
+            F.sequence(F.lit(1), F.size("e_words")),
+            lambda k: share(k, F.size("e_words")) >= F.lit(threshold),
+        ),
+        0,
     )
-    wanted = distinct_sets.withColumn("needed", needed).filter(F.col("needed").isNotNull())
-
-    titles = _distinct_titles(products, group, 2 if exclude else 1)
-    vocabulary = wanted.select(*group, F.explode("e_words").alias("word")).distinct()
-    title_words = titles.select("*", F.explode("p_words").alias("word")).join(
-        vocabulary, [*group, "word"], "left_semi"
+    wanted = (
+        sets.select(*name_key).distinct().withColumn("e_words", words_of_key)
+        .withColumn("needed", needed).filter(F.col("needed").isNotNull())
+        .select(*name_key, "needed", F.size("e_words").alias("n"), F.explode("e_words").alias("word"))
     )
-    frequency = title_words.groupBy(*group, "word").agg(F.count("*").alias("df"))
+    titles = _distinct_titles(products, group, 2 if exclude else 1)
+    title_words = titles.select("*", F.explode("p_words").alias("word"))
+    allowed = ~F.col("p_handle").eqNullSafe(F.col("e_exclude")) if exclude else F.lit(True)
 
-    # Names of one word: the first product with that word, looked up in an aggregate.
-    by_handle = [*group, "word", "p_handle"] if exclude else [*group, "word"]
-    firsts = title_words.groupBy(*by_handle).agg(F.min("p_ord").alias("p_ord"))
-    if exclude:
-        firsts = top_per_group(firsts, [*group, "word"], [F.col("p_ord")], 2)
-    single = (
-        wanted.filter(n == 1).withColumn("word", F.col("e_key")).join(firsts, [*group, "word"])
+    # Per word: how many titles have it, and which come first. Both are plain aggregates, and the
+    # first title is the answer for names of a single word.
+    frequency = title_words.groupBy(*group, "word").agg(
+        F.count("*").alias("df"), F.min("p_ord").alias("first_ord")
+    )
+    known = wanted.join(frequency, [*group, "word"], "left").withColumn(
+        "df", F.coalesce("df", F.lit(0))
     )
     if exclude:
-        single = single.filter(~F.col("p_handle").eqNullSafe(F.col("e_exclude")))
-    single_best = single.select(
-        *group, "e_key", *extra, n.alias("n"), F.col("p_ord").alias("packed")
-    )
-
-    # Longer names: join on their rarest words.
-    ranked = (
-        wanted.filter(n > 1)
-        .select(*group, "e_key", *extra, "needed", F.explode("e_words").alias("word"))
-        .join(frequency, [*group, "word"], "left")
-        .groupBy(*group, "e_key", *extra, "needed")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))
-            ).alias("ranked")
+        first_handles = top_per_group(
+            title_words.groupBy(*group, "word", "p_handle").agg(F.min("p_ord").alias("p_ord")),
+            [*group, "word"],
+            [F.col("p_ord")],
+            2,
         )
-    )
+        single = wanted.filter("n = 1").join(first_handles, [*group, "word"]).filter(allowed)
+    else:
+        single = known.filter("n = 1 AND df > 0").withColumn("p_ord", F.col("first_ord"))
+    single_best = single.select(*name_key, "n", F.col("p_ord").alias("packed"))
+
+    # Longer names: join on their n - needed + 1 rarest words.
     parts = (F.col("df") / SPLIT).cast("int") + 1
     probes = (
-        ranked.withColumn("n", F.size("ranked"))
+        known.filter("n > 1").groupBy(*name_key, "needed", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ranked"))
         .withColumn("probe", F.explode(F.slice("ranked", F.lit(1), F.col("n") - F.col("needed") + 1)))
-        .select(*group, "e_key", *extra, "n", "probe.word", "probe.df")
+        .select(*name_key, "n", "probe.word", "probe.df")
         .filter("df > 0")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .withColumn("e_words", F.split("e_key", " "))
     )
-    split_words = probes.select(*group, "word", parts.alias("parts")).distinct()
+    spread = probes.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn(
+        "e_words", words_of_key
+    )
+    split_words = probes.groupBy(*group, "word").agg(F.max(parts).alias("parts"))
     targets = title_words.join(split_words, [*group, "word"]).withColumn(
         "part", F.pmod(F.xxhash64("p_key"), F.col("parts")).cast("int")
     )
-    pairs = probes.join(targets.drop("parts"), [*group, "word", "part"])
-    if exclude:
-        pairs = pairs.filter(~F.col("p_handle").eqNullSafe(F.col("e_exclude")))
+    pairs = spread.join(
+        targets.select(*group, "word", "part", "p_words", "p_handle", "p_ord"),
+        [*group, "word", "part"],
+    ).filter(allowed)
     overlap = F.size(F.array_intersect("e_words", "p_words"))
     pair_best = pairs.select(
-        *group, "e_key", *extra, "n", _packed(F.col("n") - overlap, F.col("p_ord")).alias("packed")
+        *name_key, "n", _packed(F.col("n") - overlap, F.col("p_ord")).alias("packed")
     )
     best = (
-        pair_best.unionByName(single_best).groupBy(*group, "e_key", *extra)
-        .agg(F.min("packed").alias("packed"), F.any_value("n").alias("n"))
-        .withColumn("score", (F.col("n") - _missing(F.col("packed"))) / F.col("n") * weight)
+        pair_best.unionByName(single_best).groupBy(*name_key, "n")
+        .agg(F.min("packed").alias("packed"))
+        .withColumn("score", share(F.col("n") - _missing(F.col("packed")), F.col("n")))
         .withColumn("p_ord", _order(F.col("packed")))
         .filter(F.col("score") >= threshold)
     )
-    on = [*group, "e_key", *extra]
-    # e_exclude may be null, and null has to find null
-    left, right = sets.alias("l"), best.alias("r")
-    condition = None
-    for c in on:
-        eq = F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) if c == "e_exclude" else F.col(f"l.{c}") == F.col(f"r.{c}")
-        condition = eq if condition is None else condition & eq
-    return left.join(right, condition).select(
-        *[F.col(f"l.{g}").alias(g) for g in group], "l.e_id", "r.score", "r.p_ord"
-    )
+    return sets.join(best, name_key).select(*group, "e_id", "score", "p_ord")
 
 
 def best_by_text(
-    names: DataFrame, products: DataFrame, group: list[str] | None = None
+    names: DataFrame, products: DataFrame, group: list[str], exclude: bool = False
 ) -> DataFrame:
     """Names that have no significant word still match a title with the very same text."""
-    group = group or []
     wordless = names.filter((F.size("e_words") == 0) & (F.col("e_text") != ""))
-    firsts = products.groupBy(*group, F.col("p_text").alias("e_text")).agg(F.min("p_ord").alias("p_ord"))
-    return wordless.join(firsts, [*group, "e_text"]).select(
-        *group, "e_id", F.lit(1.0).alias("score"), "p_ord"
-    )
+    texts = products.withColumnRenamed("p_text", "e_text")
+    if exclude:
+        firsts = top_per_group(
+            texts.groupBy(*group, "e_text", "p_handle").agg(F.min("p_ord").alias("p_ord")),
+            [*group, "e_text"],
+            [F.col("p_ord")],
+            2,
+        )
+        hits = wordless.join(firsts, [*group, "e_text"]).filter(
+            ~F.col("p_handle").eqNullSafe(F.col("e_exclude"))
+        )
+    else:
+        firsts = texts.groupBy(*group, "e_text").agg(F.min("p_ord").alias("p_ord"))
+        hits = wordless.join(firsts, [*group, "e_text"])
+    return hits.select(*group, "e_id", F.col("e_weight").alias("score"), "p_ord")
 
 
 def _best_of(legs: list[DataFrame], group: list[str], threshold: float) -> DataFrame:
-    out = legs[0]
+    out = legs[0].select(*group, "e_id", "score", "p_ord")
     for leg in legs[1:]:
-        out = out.unionByName(leg)
+        out = out.unionByName(leg.select(*group, "e_id", "score", "p_ord"))
     best = F.max(F.struct(F.col("score"), (-F.col("p_ord")).alias("o"))).alias("b")
     return (
         out.groupBy(*group, "e_id").agg(best)
@@ -175,11 +171,38 @@ def _best_of(legs: list[DataFrame], group: list[str], threshold: float) -> DataF
     )
 
 
-def _leg(df: DataFrame, group: list[str], key: str, text: Column, side: str, words, keep: list[str]):
-    prefix = side[0]
-    normal = text.alias(f"{prefix}_text")
-    base = df.select(*group, F.col(key).alias("e_id" if prefix == "e" else "p_ord"), *keep, normal)
-    return base.withColumn(f"{prefix}_words", words(F.col(f"{prefix}_text")))
+def _texts(
+    df: DataFrame, keys: list[Column], texts: list[tuple[str, Column, float]], normal, words, side: str
+) -> DataFrame:
+    """One row per text of a name or product: what it is matched with, its weight, its words."""
+    kinds = F.array(
+        *[
+            F.struct(F.lit(kind).alias("kind"), text.alias("text"), F.lit(weight).alias("weight"))
+            for kind, text, weight in texts
+        ]
+    )
+    rows = df.select(*keys, F.explode(kinds).alias("t")).withColumn(
+        f"{side}_text", normal(F.coalesce("t.text", F.lit("")))
+    )
+    rows = rows.withColumn("kind", F.col("t.kind")).withColumn("e_weight", F.col("t.weight")).drop("t")
+    return rows.withColumn(f"{side}_words", words(F.col(f"{side}_text")))
+
+
+def _names(entities: DataFrame, group: list[str], texts, normal, words, exclude: Column) -> DataFrame:
+    keys = [*[F.col(g) for g in group], F.col("entity_id").alias("e_id"), exclude.alias("e_exclude")]
+    return _texts(entities, keys, texts, normal, words, "e")
+
+
+def _listings(products: DataFrame, group: list[str], texts, normal, words) -> DataFrame:
+    keys = [
+        *[F.col(g) for g in group], F.col("product_ord").alias("p_ord"), F.col("handle").alias("p_handle")
+    ]
+    rows = [(kind, text, 1.0) for kind, text in texts]
+    return _texts(products, keys, rows, normal, words, "p").drop("e_weight")
+
+
+def _ids(column: str) -> Column:
+    return N.dashes_to_blanks(F.col(column).cast("string"))
 
 
 def _with_product(best: DataFrame, products: DataFrame, group: list[str]) -> DataFrame:
@@ -200,23 +223,17 @@ def best_matches(
     handle. ``group`` (such as the seller) keeps matching within one group.
     """
     group = group or []
-    e = lambda text: _leg(entities, group, "entity_id", N.match_text(text), "entity", N.match_words, [])
-    p = lambda text: _leg(
-        products, group, "product_ord", N.match_text(text), "product", N.match_words,
-        [F.col("handle").alias("p_handle")],
-    )
-    ids = lambda c: N.dashes_to_blanks(F.col(c).cast("string"))
-    titles, handles = p(F.col("title")), p(ids("handle"))
-    legs = []
-    for names, listing, weight in [
-        (e(F.col("name")), titles, 1.0),
-        (e(F.coalesce("botanical", F.lit(""))), titles, 0.8),
-        (e(ids("entity_id")), handles, 0.9),
-    ]:
-        legs.append(best_by_words(names, listing, threshold, weight, group))
-        legs.append(
-            best_by_text(names, listing, group).withColumn("score", F.col("score") * weight)
-        )
+    by = [*group, "kind"]
+    names = _names(
+        entities, group,
+        [("title", F.col("name"), 1.0), ("title", F.col("botanical"), 0.8), ("handle", _ids("entity_id"), 0.9)],
+        N.match_text, N.match_words, F.lit(""),
+    )
+    listings = _listings(
+        products, group, [("title", F.col("title")), ("handle", _ids("handle"))],
+        N.match_text, N.match_words,
+    )
+    legs = [best_by_words(names, listings, threshold, by), best_by_text(names, listings, by)]
     best = _with_product(_best_of(legs, group, threshold), products, group)
     return best.select(
         *group,
@@ -306,20 +323,27 @@ def best_matches_wide(
 ) -> DataFrame:
     """The wider matcher: name against title and handle, id against handle, botanical name at 0.7,
     and 0.9 where id and handle contain one another."""
-    e = lambda text: _leg(entities, [], "entity_id", N.slug_text(text), "entity", N.wide_words, [])
-    p = lambda text: _leg(
-        products, [], "product_ord", N.slug_text(text), "product", N.wide_words,
-        [F.col("handle").alias("p_handle")],
-    )
-    ids = lambda c: N.dashes_to_blanks(F.col(c).cast("string"))
-    titles, handles = p(F.coalesce("title", F.lit(""))), p(ids("handle"))
-    by_name, by_id = e(F.col("name")), e(ids("entity_id"))
+    title = F.coalesce("title", F.lit(""))
+    names = _names(
+        entities, [],
+        [
+            ("title", F.col("name"), 1.0), ("handle", F.col("name"), 1.0),
+            ("handle", _ids("entity_id"), 1.0), ("title", F.col("botanical"), 0.7),
+        ],
+        N.slug_text, N.wide_words, F.lit(""),
+    )
+    listings = _listings(
+        products, [], [("title", title), ("handle", _ids("handle"))], N.slug_text, N.wide_words
+    )
+    ids = entities.select(
+        F.col("entity_id").alias("e_id"), N.slug_text(_ids("entity_id")).alias("e_text")
+    )
+    handles = products.select(
+        F.col("product_ord").alias("p_ord"), N.slug_text(_ids("handle")).alias("p_text")
+    )
     legs = [
-        best_by_words(by_name, titles, threshold),
-        best_by_words(by_name, handles, threshold),
-        best_by_words(by_id, handles, threshold),
-        best_by_words(e(F.coalesce("botanical", F.lit(""))), titles, threshold, 0.7),
-        _substring_leg(by_id, handles, 0.9).select("e_id", "score", "p_ord"),
+        best_by_words(names, listings, threshold, ["kind"]),
+        _substring_leg(ids, handles, 0.9),
     ]
     best = _with_product(_best_of(legs, [], threshold), products, [])
     return best.select(
@@ -343,28 +367,17 @@ def best_replacement(
     seller_id, handle, variant_prices.
     """
     group = ["seller_id"]
+    by = [*group, "kind"]
     named = broken.select("seller_id", "entity_id", "old_handle").join(catalog, "entity_id")
-    keep = [F.col("old_handle").alias("e_exclude")]
-    e = lambda text: _leg(named, group, "entity_id", N.match_text(text), "entity", N.match_words, keep)
-    titles = _leg(
-        products, group, "product_ord", N.match_text(F.col("title")), "product", N.match_words,
-        [F.col("handle").alias("p_handle")],
-    )
-    legs = []
-    for text, weight in [(F.col("name"), 1.0), (F.coalesce("botanical", F.lit("")), 0.8)]:
-        names = e(text)
-        legs.append(best_by_words(names, titles, threshold, weight, group, exclude=True))
-        wordless = names.filter((F.size("e_words") == 0) & (F.col("e_text") != ""))
-        same_text = (
-            wordless.join(
-                titles.select(*group, F.col("p_text").alias("e_text"), "p_handle", "p_ord"),
-                [*group, "e_text"],
-            )
-            .filter(~F.col("p_handle").eqNullSafe(F.col("e_exclude")))
-            .groupBy(*group, "e_id").agg(F.min("p_ord").alias("p_ord"))
-            .withColumn("score", F.lit(weight))
-        )
-        legs.append(same_text.select(*group, "e_id", "score", "p_ord"))
+    names = _names(
+        named, group, [("title", F.col("name"), 1.0), ("title", F.col("botanical"), 0.8)],
+        N.match_text, N.match_words, F.coalesce("old_handle", F.lit("")),
+    )
+    listings = _listings(products, group, [("title", F.col("title"))], N.match_text, N.match_words)
+    legs = [
+        best_by_words(names, listings, threshold, by, exclude=True),
+        best_by_text(names, listings, by, exclude=True),
+    ]
     best = _with_product(_best_of(legs, group, threshold), products, group)
     old = snapshot.groupBy("seller_id", "entity_id").agg(
         F.map_from_entries(F.collect_list(F.struct("tier", "price"))).alias("old_prices")
