@@ -6,6 +6,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from gate import tables as G
+from gate.base import Gate
 from offerlens.operators import compare as A
 from offerlens.operators import history as W
 
@@ -27,17 +28,8 @@ def _current(spark, d, days=DAYS):
 
 
 CUR = G.current_sql(DAYS)
-QUERIES, SQL = {}, {}
-
-
-def gate(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return add
+gate = Gate()
+QUERIES, SQL = gate.queries, gate.sql
 
 
 @gate("latest_per_key", """

@@ -4,21 +4,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gate import tables as G
+from gate.base import Gate
 from offerlens.functions import names as N
 from offerlens.functions.pricing import confidence_band
 from offerlens.operators import matching as M
 
-QUERIES, SQL = {}, {}
-
-
-def gate(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return add
+gate = Gate()
+QUERIES, SQL = gate.queries, gate.sql
 
 
 def entities(spark, d):

@@ -1,7 +1,7 @@
 """All queries and their SQL, merged."""
-from gate import compare, matching
+from gate import compare, extraction, matching, scalars
 
-MODULES = [compare, matching]
+MODULES = [compare, extraction, matching, scalars]
 QUERIES, SQL = {}, {}
 for _m in MODULES:
     QUERIES.update(_m.QUERIES)

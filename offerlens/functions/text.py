@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UWS = r"(?U)^\s+|\s+$"
@@ -115,3 +115,12 @@ def first_nonempty(*arrays: Column) -> Column:
     for a in reversed(arrays[:-1]):
         out = F.when(F.size(a) > 0, a).otherwise(out)
     return out
+
+
+def explode_found(df: DataFrame, keys: list, items: Column | str, item: str = "s") -> DataFrame:
+    """One row per element with its position. The outer form is used, with empty rows dropped
+    after it: for the plain form Spark adds a filter on the array and pushes it below the
+    projections that build the array, which would evaluate all extraction twice or more."""
+    return df.select(*keys, F.posexplode_outer(items).alias("pos", item)).filter(
+        F.col("pos").isNotNull()
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions import fixed_values as FV
-from offerlens.functions.text import all_groups, any_of, first_group, html_text, keep_first, let, squeeze
+from offerlens.functions.text import all_groups, any_of, explode_found, first_group, html_text, keep_first, let, squeeze
 from offerlens.operators.state import replace_by_key
 
 MARK, MID, END = "\x01", "\x02", "\x03"
@@ -21,7 +21,7 @@ def promo_codes(text: Column) -> Column:
 
 def promo_banners(text: Column) -> Column:
     """Banner texts in pattern order, each once whatever its case."""
-    found = F.concat(*[F.transform(all_groups(text, p, 0), F.trim) for p in FV.PROMO_BANNER_PATTERNS])
+    found = F.concat(*[F.transform(all_groups(text, p, 0), lambda b: F.trim(b)) for p in FV.PROMO_BANNER_PATTERNS])
     return keep_first(found, F.lower)
 
 
@@ -118,7 +118,7 @@ def promo_signals_context(
         )
     )
     keep = [c for c in pages.columns if c != html]
-    return rows.select(*keep, F.posexplode("_promos").alias("pos", "p")).select(*keep, "pos", "p.*")
+    return explode_found(rows, keep, "_promos").select(*keep, "pos", "s.*")
 
 
 def merge_page_promos(signals: DataFrame, order: str, keys: list[str]) -> DataFrame:
