@@ -1,7 +1,7 @@
 """All queries and their SQL, merged."""
-from gate import compare, extraction, matching, scalars
+from gate import catalog, compare, extraction, history, matching, quality, scalars
 
-MODULES = [compare, extraction, matching, scalars]
+MODULES = [compare, extraction, history, matching, quality, catalog, scalars]
 QUERIES, SQL = {}, {}
 for _m in MODULES:
     QUERIES.update(_m.QUERIES)
