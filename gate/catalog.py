@@ -313,7 +313,7 @@ c AS (SELECT p_partkey AS k, p_name, CASE WHEN p_size % 9 = 0 THEN 'x_' ELSE 'a-
 SELECT id, UNNEST(LIST_FILTER([
   CASE WHEN k % 13 = 0 THEN 'missing_sun' END, CASE WHEN STARTS_WITH(id, 'x_') THEN 'id_not_kebab' END,
   CASE WHEN p_type = 'PROMO' THEN 'unknown_category' END, CASE WHEN k % 6 = 0 THEN 'zones_not_sorted' END,
-  CASE WHEN z < 3 OR k % 5 = 0 THEN 'season_missing_for_zone' END,
+  CASE WHEN z < 3 OR z + 3 > 11 OR k % 5 = 0 THEN 'season_missing_for_zone' END,
   CASE WHEN k % 7 = 0 OR k % 11 = 0 THEN 'index_not_12' END,
   CASE WHEN k % 7 <> 0 AND LEN(LIST_FILTER(RANGE(1, CASE WHEN k % 11 = 0 THEN 11 ELSE 13 END), lambda m: (k + m * m) % 7 NOT BETWEEN 1 AND 5)) > 0 THEN 'index_out_of_range' END,
   CASE WHEN COALESCE(n, 0) < 9 THEN 'mapped_at_few_sellers' END], lambda v: v IS NOT NULL)) AS violation

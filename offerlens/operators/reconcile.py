@@ -93,7 +93,7 @@ def draft_entries(catalog: DataFrame, reconciled: DataFrame) -> DataFrame:
             F.max(F.when(F.col("field") == f, F.col("value"))).alias(f)
             for f in FV.RECONCILED_FIELDS
         ],
-        F.collect_set(F.when("flagged", F.col("field"))).alias("_flagged"),
+        F.collect_set(F.when(F.col("flagged"), F.col("field"))).alias("_flagged"),
     )
     terms = lambda table: F.create_map(
         *[x for tier, words in table.items() for x in (F.lit(tier), any_of(words))]

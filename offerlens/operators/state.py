@@ -178,11 +178,11 @@ def expire(state: DataFrame, now: Column, limit: int = FV.MAX_ATTEMPTS) -> DataF
     out = (F.col("status") == "broken") & (F.coalesce("attempts", F.lit(0)) >= limit)
     return (
         state.withColumn("_out", out)
-        .withColumn("status", F.when("_out", "unrecoverable").otherwise(F.col("status")))
-        .withColumn("updated_at", F.when("_out", now).otherwise(F.col("updated_at")))
+        .withColumn("status", F.when(F.col("_out"), "unrecoverable").otherwise(F.col("status")))
+        .withColumn("updated_at", F.when(F.col("_out"), now).otherwise(F.col("updated_at")))
         .withColumn(
             "reason",
-            F.when("_out", f"No candidate found after {limit} attempts").otherwise(F.col("reason")),
+            F.when(F.col("_out"), f"No candidate found after {limit} attempts").otherwise(F.col("reason")),
         )
         .drop("_out")
     )

@@ -30,19 +30,25 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def keyed_map_rows(
+    files: DataFrame, key: str, value_type: str, root: str | None = None
+) -> DataFrame:
+    """JSON objects (column ``value``) as rows (key, value); ``root`` names an inner object to read
+    instead. Malformed documents give no rows."""
+    body = F.get_json_object("value", f"$.{root}") if root else F.col("value")
+    return files.select(F.explode(F.from_json(body, f"MAP<STRING, {value_type}>")).alias(key, "value"))
+
+
 def read_keyed_map(
     spark: SparkSession, path: str, key: str, value_type: str, root: str | None = None
 ) -> DataFrame:
-    """A JSON object file as rows (key, value); ``root`` names an inner object to read instead.
-    Malformed files give no rows."""
-    body = F.get_json_object("value", f"$.{root}") if root else F.col("value")
-    parsed = F.from_json(body, f"MAP<STRING, {value_type}>")
+    """The same for a file; a missing file gives no rows and a warning."""
     try:
         files = _whole_files(spark, path)
     except AnalysisException as e:
         warnings.warn(f"could not load {path}: {e}", stacklevel=2)
         files = spark.createDataFrame([], "file_name STRING, value STRING")
-    return files.select(F.explode(parsed).alias(key, "value"))
+    return keyed_map_rows(files, key, value_type, root)
 
 
 def read_handle_map(spark: SparkSession, path: str) -> DataFrame:
@@ -51,13 +57,11 @@ def read_handle_map(spark: SparkSession, path: str) -> DataFrame:
     return outer.select("seller_id", F.explode("value").alias("entity_id", "handle"))
 
 
-def read_store_products(spark: SparkSession, path: str) -> DataFrame:
+def products_in(files: DataFrame) -> DataFrame:
     """Product documents ({"product": ...}) and listing pages ({"products": [...]}) alike."""
     product = struct_of(STORE_PRODUCT).simpleString()
     page = f"product: {product}, products: ARRAY<{product}>"
-    docs = _whole_files(spark, path, "*.json").select(
-        "file_name", F.from_json("value", f"STRUCT<{page}>").alias("d")
-    )
+    docs = files.select("file_name", F.from_json("value", f"STRUCT<{page}>").alias("d"))
     single = F.filter(F.array("d.product"), lambda x: x.isNotNull())
     listed = F.coalesce("d.products", F.array().cast(f"ARRAY<{product}>"))
     return docs.select(
@@ -65,6 +69,10 @@ def read_store_products(spark: SparkSession, path: str) -> DataFrame:
     ).select("file_name", "page_pos", "p.*")
 
 
+def read_store_products(spark: SparkSession, path: str) -> DataFrame:
+    return products_in(_whole_files(spark, path, "*.json"))
+
+
 def sitemap_products(entries: DataFrame) -> DataFrame:
     """Sitemap entries (loc, title) that point at a product -> handle, title, url."""
     pattern = "/products/([^/?#]+)"

@@ -2,19 +2,17 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from offerlens.functions import fixed_values as FV
 from offerlens.operators import compare as A
 from offerlens.operators import state as S
 from offerlens.operators.quality import snapshot_after, swing_gate
-from offerlens.schemas import COLS, Cols
+from offerlens.schemas import COLS, LINK_STATE, Cols
 from offerlens.sources.observations import parse_stream_lines
 
 
@@ -87,7 +85,7 @@ def gate_batch(
         before = _snapshot_before(spark, snapshot_path, batch_id, snapshot_schema)
         newest = A.latest_offers(batch, keys, tier=keys.tier).filter(F.col(keys.price) > 0)
         gated_path = os.path.join(out, "gated", f"batch-{batch_id}")
-        swing_gate(newest, before, keys=keys).write.mode("overwrite").partitionBy("accepted").parquet(gated_path)
+        swing_gate(newest, before, keys=keys).write.mode("overwrite").parquet(gated_path)
         gated = spark.read.parquet(gated_path)
         after = snapshot_after(gated, before.select(*columns), keep_baseline, keys)
         after.write.mode("overwrite").parquet(os.path.join(snapshot_path, f"batch-{batch_id}"))
@@ -103,73 +101,30 @@ def stream_gate(
     )
 
 
-STATE_SCHEMA = (
-    "alive BOOLEAN, old_handle STRING, status STRING, candidate_handle STRING, redirect_url STRING, "
-    "attempts INT, attempted TIMESTAMP, created TIMESTAMP, updated TIMESTAMP, reason STRING"
-)
-STATE_OUTPUT = (
-    "seller_id STRING, entity_id STRING, alive BOOLEAN, old_handle STRING, status STRING, "
-    "candidate_handle STRING, redirect_url STRING, attempts INT, last_discovery_attempt TIMESTAMP, "
-    "created_at TIMESTAMP, updated_at TIMESTAMP, reason STRING"
-)
-GONE = (False, None, None, None, None, 0, None, None, None, None)
-
-
-def fold_event(state: tuple, e) -> tuple:
-    """State of one link after one event."""
-    alive, old, status, cand, redirect, attempts, attempted, created, updated, reason = state
-    kind, now = e.event, e.event_ts
-    if kind == "applied":
-        return GONE
-    if kind == "broken":
-        if alive and status in S.IN_FLIGHT:
-            return state
-        return (True, e.old_handle, "broken", None, None, attempts, attempted, created or now, now, None)
-    if kind == "redirect":
-        return (True, e.old_handle, "redirect_candidate", e.new_handle, e.redirect_url, 0, None,
-                created or now, now, None)
-    if kind == "discovery":
-        return (True, old or "", "discovery_candidate", e.new_handle, None, attempts + 1, now,
-                created or now, now, None)
-    if not alive:
-        return state
-    if kind == "attempt":
-        return (alive, old, status, cand, redirect, attempts + 1, now, created, now, reason)
-    if kind == "verdict":
-        return (alive, old, e.verdict, cand, redirect, attempts, attempted, created, now, e.reason)
-    if kind == "confirm_failed":
-        return (alive, old, "confirmation_failed", cand, redirect, attempts, attempted, created, now,
-                S.FAILED_REASON)
-    if kind == "unrecoverable":
-        return (alive, old, "unrecoverable", cand, redirect, attempts, attempted, created, now, e.reason)
-    return state
-
-
-def _fold_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One link's events of one micro-batch, in order; the state is a single small row."""
-    current = state.get if state.exists else GONE
-    stamps = (6, 7, 8)
-    current = tuple(
-        None if v is None or (i in stamps and pd.isna(v)) else v for i, v in enumerate(current)
-    )
-    frames = [b for b in batches]
-    events = pd.concat(frames).sort_values("event_ord")
-    events = events.astype(object).where(events.notna(), None)
-    for e in events.itertuples(index=False):
-        current = fold_event(current, e)
-    state.update(current)
-    names = ["alive", "old_handle", "status", "candidate_handle", "redirect_url", "attempts",
-             "last_discovery_attempt", "created_at", "updated_at", "reason"]
-    row = dict(zip(names, current), seller_id=key[0], entity_id=key[1])
-    out = pd.DataFrame([row])[["seller_id", "entity_id", *names]]
-    for c in ("last_discovery_attempt", "created_at", "updated_at"):
-        out[c] = pd.to_datetime(out[c])
-    yield out
-
-
-def stream_link_state(events: DataFrame) -> DataFrame:
-    """Running state per link. Events of a micro-batch are applied in ``event_ord`` order; feed
-    them in arrival order across batches, as the store of record does."""
-    return events.groupBy(*S.LINK).applyInPandasWithState(
-        _fold_group, STATE_OUTPUT, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
+def link_state_batch(out: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body: fold the batch's events onto the link state of earlier batches.
+
+    The fold is the batch operator, so a link with very many events is aggregated, not gathered.
+    State versions are named after the batch; a repeated batch starts from the same version.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        before = _snapshot_before(batch.sparkSession, out, batch_id, LINK_STATE)
+        touched = before.join(batch.select(*S.LINK).distinct(), S.LINK, "left_semi")
+        untouched = before.join(batch.select(*S.LINK).distinct(), S.LINK, "left_anti")
+        after = untouched.unionByName(S.link_state(batch, touched))
+        after.write.mode("overwrite").parquet(os.path.join(out, f"batch-{batch_id}"))
+
+    return run
+
+
+def stream_link_state(events: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
+    """Link state kept up to date from a stream of link events, in arrival order of batches."""
+    return events.writeStream.foreachBatch(link_state_batch(out)).option(
+        "checkpointLocation", checkpoint
     )
+
+
+def newest_version(spark: SparkSession, out: str, schema: str) -> DataFrame:
+    """The version the last finished batch wrote."""
+    return _snapshot_before(spark, out, 1 << 62, schema)
