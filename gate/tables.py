@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = date(2001, 11, 5)
@@ -59,17 +59,13 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stocked_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offers with the stock state and url of their observation. Stock is true if any size is
-    there, null if any is unknown, else false. An observation has at most seven sizes."""
-    o = offers(spark, sf_dir)
-    sizes = Window.partitionBy("entity_id", "seller_id", "ord")
-    state = (
-        F.when(F.bool_or("available").over(sizes), F.lit(True))
-        .when(F.bool_or(F.col("available").isNull()).over(sizes), F.lit(None))
-        .otherwise(False)
-    )
+    """Offers with the stock state and url of their observation. Of five days in a row a seller
+    says no on one, nothing on one, and yes on the others."""
+    seller = F.col("seller_id").cast("int")
+    turn = (F.floor(F.col("ord") / 10) + seller) % 5
+    state = F.when(turn == 0, F.lit(False)).when(turn > 1, F.lit(True))
     url = F.concat(F.lit("https://shop"), "seller_id", F.lit("/products/p"), "entity_id", F.lit("?variant=1"))
-    return o.withColumn("in_stock", state).withColumn("url", url)
+    return offers(spark, sf_dir).withColumn("in_stock", state).withColumn("url", url)
 
 
 def sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,13 +100,10 @@ offers AS (
          CASE WHEN is_open THEN TRUE WHEN is_unknown THEN NULL ELSE FALSE END AS available, variant_id
   FROM raw_rows)"""
 STOCKED_SQL = OFFERS_SQL + """,
-obs_stock AS (
-  SELECT entity_id, seller_id, ord,
-         CASE WHEN BOOL_OR(available) THEN TRUE WHEN BOOL_OR(available IS NULL) THEN NULL ELSE FALSE END AS in_stock
-  FROM offers GROUP BY 1, 2, 3),
 stocked AS (
-  SELECT o.*, s.in_stock, 'https://shop' || o.seller_id || '/products/p' || o.entity_id AS base
-  FROM offers o JOIN obs_stock s USING (entity_id, seller_id, ord))"""
+  SELECT *, CASE (ord // 10 + CAST(seller_id AS INT)) % 5 WHEN 0 THEN FALSE WHEN 1 THEN NULL ELSE TRUE END AS in_stock,
+         'https://shop' || seller_id || '/products/p' || entity_id AS base
+  FROM offers)"""
 SELLERS_SQL = """
 sellers AS (
   SELECT CAST(k AS VARCHAR) AS seller_id, seller_name,

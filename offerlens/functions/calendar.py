@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from offerlens.functions import fixed_values as FV
-from offerlens.functions.text import first_group, lookup, strip
+from offerlens.functions.text import first_group, let, lookup, strip
 
 MONTH_NUMBER = {m: i + 1 for i, m in enumerate(FV.MONTHS)}
 OFFSET_PATTERN = r"(Z|[+-]\d{2}:?\d{2})$"
@@ -21,7 +21,10 @@ def month_range(text: Column) -> Column:
         F.split(strip(F.coalesce(text, F.lit(""))), "[-–]"),
         lambda p: lookup(MONTH_NUMBER, F.substring(F.lower(strip(p)), 1, 3)),
     )
-    months = F.filter(named, lambda m: m.isNotNull())
+    return let(F.filter(named, lambda m: m.isNotNull()), _months_between)
+
+
+def _months_between(months: Column) -> Column:
     first, last = F.get(months, 0), F.get(months, 1)
     return (
         F.when(last.isNull(), months)
@@ -54,7 +57,10 @@ def comma_ints(text: Column) -> Column:
 
 def zone_list(text: Column) -> Column:
     """'6-11', '6, 7, 8' or '7' -> sorted zones; null when no zone can be read."""
-    t = strip(text)
+    return let(strip(text), _zones_in)
+
+
+def _zones_in(t: Column) -> Column:
     listed = comma_ints(t)
     span = r"^(\d{1,2})\s*[-–to]+\s*(\d{1,2})"
     low = first_group(t, span, 1).cast("int")

@@ -24,8 +24,8 @@ def squeeze(c: Column) -> Column:
 
 
 def first_group(c: Column, pattern: str, group: int = 1) -> Column:
-    """``regexp_extract`` that yields null (not '') when nothing was found."""
-    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
+    """``regexp_extract`` that yields null (not '') when nothing was found, in one scan."""
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
 def all_groups(c: Column, pattern: str, group: int = 1) -> Column:
@@ -38,7 +38,7 @@ def number(c: Column) -> Column:
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over ``value``, with ``value`` computed once however often ``body`` uses it."""
-    return F.get(F.transform(F.array(value), body), 0)
+    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
 
 
 def _sql_literal(v) -> str:
@@ -100,20 +100,26 @@ def keep_last(items: Column, key: Callable[[Column], Column]) -> Column:
 
     That is what assigning into an insertion-ordered map leaves behind.
     """
-    keys = F.array_distinct(F.transform(items, key))
-    return F.transform(keys, lambda k: F.element_at(F.filter(items, lambda x: key(x) == k), -1))
+    return _one_per_key(items, key, -1)
 
 
 def keep_first(items: Column, key: Callable[[Column], Column]) -> Column:
-    keys = F.array_distinct(F.transform(items, key))
-    return F.transform(keys, lambda k: F.element_at(F.filter(items, lambda x: key(x) == k), 1))
+    return _one_per_key(items, key, 1)
+
+
+def _one_per_key(items: Column, key: Callable[[Column], Column], which: int) -> Column:
+    def pick(rows: Column) -> Column:
+        keys = F.array_distinct(F.transform(rows, key))
+        return F.transform(keys, lambda k: F.element_at(F.filter(rows, lambda x: key(x) == k), which))
+
+    return let(items, pick)
 
 
 def first_nonempty(*arrays: Column) -> Column:
     """The first array that has elements; an empty one if none has."""
     out = arrays[-1]
     for a in reversed(arrays[:-1]):
-        out = F.when(F.size(a) > 0, a).otherwise(out)
+        out = let(a, lambda x, rest=out: F.when(F.size(x) > 0, x).otherwise(rest))
     return out
 
 

@@ -26,18 +26,15 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return df.groupBy(*keys).agg(last.alias("_r")).select(*keys, "_r.*").select(*df.columns)
 
 
-def latest_offers(offers: DataFrame, keys: Cols = COLS, tier: str = "raw_tier") -> DataFrame:
+def latest_offers(offers: DataFrame, keys: Cols = COLS) -> DataFrame:
     """All sizes of the last observation of each (entity, seller).
 
-    First each (entity, seller, size) is cut to its last row, with partial aggregation; then sizes
-    the last observation no longer lists are dropped. That second step sees a few rows per pair.
+    Rows of one observation share their position, so they share rank 1. Spark applies the rank
+    limit in every map task, so only a task's newest observation of each pair is shuffled.
     """
-    per_tier = latest_per_key(offers, [*keys.pair, tier], [keys.ord])
-    newest = F.max(keys.ord).over(Window.partitionBy(*keys.pair))
+    newest_first = Window.partitionBy(*keys.pair).orderBy(F.col(keys.ord).desc())
     return (
-        per_tier.withColumn("_newest", newest)
-        .filter(F.col(keys.ord) == F.col("_newest"))
-        .drop("_newest")
+        offers.withColumn("_rank", F.rank().over(newest_first)).filter("_rank = 1").drop("_rank")
     )
 
 

@@ -12,10 +12,10 @@ from offerlens.schemas import STORE_PRODUCT, struct_of
 
 
 def _whole_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_name").alias("file_name"), "value")
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -83,7 +83,7 @@ def gate_batch(
         spark = batch.sparkSession
         snapshot_path = os.path.join(out, "snapshot")
         before = _snapshot_before(spark, snapshot_path, batch_id, snapshot_schema)
-        newest = A.latest_offers(batch, keys, tier=keys.tier).filter(F.col(keys.price) > 0)
+        newest = A.latest_offers(batch, keys).filter(F.col(keys.price) > 0)
         gated_path = os.path.join(out, "gated", f"batch-{batch_id}")
         swing_gate(newest, before, keys=keys).write.mode("overwrite").parquet(gated_path)
         gated = spark.read.parquet(gated_path)
