@@ -139,12 +139,13 @@ def link_state(events: DataFrame, prev: DataFrame | None = None) -> DataFrame:
     )
     carried = (kind == "state") & F.col("_redirected").isNull()
     latest = lambda value, when: F.max_by(value, F.when(when, ord_))
-    kept = lambda c: latest(F.when(~broken, F.col(c)), written)
+    # A field of the last full write, if that was an event which fills it.
+    kept = lambda c, *kinds: latest(F.when(kind.isin(*kinds, "state"), F.col(c)), written)
     states = rows.groupBy(*LINK).agg(
         F.coalesce(latest(F.col("old_handle"), broken | kind.isin("redirect", "state")), F.lit("")).alias("old_handle"),
         latest(F.coalesce("_sets", F.lit("broken")), F.col("_sets").isNotNull() | broken).alias("status"),
-        kept("new_handle").alias("candidate_handle"),
-        kept("redirect_url").alias("redirect_url"),
+        kept("new_handle", "redirect", "discovery").alias("candidate_handle"),
+        kept("redirect_url", "redirect").alias("redirect_url"),
         (F.count_if(counted) + F.coalesce(F.max(F.when(carried, F.col("attempts0"))), F.lit(0)))
         .cast("int").alias("attempts"),
         latest(
@@ -152,7 +153,10 @@ def link_state(events: DataFrame, prev: DataFrame | None = None) -> DataFrame:
         ).alias("last_discovery_attempt"),
         F.min_by(F.coalesce("created0", "event_ts"), ord_).alias("created_at"),
         latest(F.col("event_ts"), has_effect).alias("updated_at"),
-        *[kept(c).alias(c) for c in ("common_name", "botanical_name", "candidate_title", "match_score")],
+        *[
+            kept(c, "discovery").alias(c)
+            for c in ("common_name", "botanical_name", "candidate_title", "match_score")
+        ],
         latest(
             F.when(kind.isin("verdict", "unrecoverable", "state"), F.col("reason"))
             .when(kind == "confirm_failed", FAILED_REASON),
