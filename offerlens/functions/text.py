@@ -6,12 +6,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UWS = r"(?U)^\s+|\s+$"
+WHITE_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def strip(c: Column) -> Column:
     """Trim any white space, including tabs, line ends and no-break spaces."""
-    return F.regexp_replace(c, UWS, "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def strip_chars(c: Column, chars: str) -> Column:

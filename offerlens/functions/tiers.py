@@ -109,15 +109,19 @@ def _rootstock_of(t: Column) -> Column:
 
 
 def canonical_tier(tier: Column) -> Column:
-    t = F.lower(strip(tier))
-    named = F.coalesce(lookup(FV.TIER_ALIASES, t), t)
-    return F.when(named.rlike(r"^(?:variant-)?\d{7,}$"), F.lit("default")).otherwise(named)
+    named = let(F.lower(strip(tier)), lambda t: F.coalesce(lookup(FV.TIER_ALIASES, t), t))
+    return let(
+        named,
+        lambda n: F.when(n.rlike(r"^(?:variant-)?\d{7,}$"), F.lit("default")).otherwise(n),
+    )
 
 
 def tier_label(tier: Column) -> Column:
-    c = canonical_tier(tier)
-    return F.coalesce(
-        lookup(FV.TIER_LABELS, c), title_case(F.replace(c, F.lit("-"), F.lit(" ")))
+    return let(
+        canonical_tier(tier),
+        lambda c: F.coalesce(
+            lookup(FV.TIER_LABELS, c), title_case(F.replace(c, F.lit("-"), F.lit(" ")))
+        ),
     )
 
 
