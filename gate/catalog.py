@@ -89,45 +89,44 @@ def coverage_levels(spark, d):
     return K.coverage_levels(catalog(spark, d).select("entity_id"), G.offers(spark, d))
 
 
-def handle_map(spark, d, shift=0):
-    """One handle per (supplier modulo 10, part) that was ever sold."""
-    o = G.table(spark, d, "lineitem").select(
-        (F.col("l_suppkey") % 10).cast("string").alias("seller_id"), F.col("l_partkey").alias("entity_id")).distinct()
-    kept = (F.col("entity_id") + F.col("seller_id").cast("int")) % 3 != shift
-    return o.filter(kept).withColumn("handle", F.concat(F.lit(f"h{shift}-"), F.col("entity_id").cast("string")))
+def handle_map(spark, d, later=False):
+    """(Supplier modulo 10, part) pairs: those with a returned item, or those with an open one."""
+    l = G.table(spark, d, "lineitem").filter("l_linestatus = 'O'" if later else "l_returnflag <> 'N'")
+    pairs = l.select((F.col("l_suppkey") % 10).cast("string").alias("seller_id"), F.col("l_partkey").alias("entity_id")).distinct()
+    return pairs.withColumn("handle", F.concat(F.lit("new-" if later else "old-"), F.col("entity_id").cast("string")))
 
 
-MAP_SQL = """pairs AS (SELECT DISTINCT CAST(l_suppkey % 10 AS VARCHAR) AS seller_id, l_partkey AS entity_id FROM lineitem),
-old_map AS (SELECT *, 'h0-' || entity_id AS handle FROM pairs WHERE (entity_id + CAST(seller_id AS INT)) % 3 <> 0),
-new_map AS (SELECT *, 'h1-' || entity_id AS handle FROM pairs WHERE (entity_id + CAST(seller_id AS INT)) % 3 <> 1)"""
+MAP_SQL = """pairs AS (SELECT DISTINCT CAST(l_suppkey % 10 AS VARCHAR) AS seller_id, l_partkey AS entity_id, l_returnflag, l_linestatus FROM lineitem),
+old_map AS (SELECT DISTINCT seller_id, entity_id, 'old-' || entity_id AS handle FROM pairs WHERE l_returnflag <> 'N'),
+new_map AS (SELECT DISTINCT seller_id, entity_id, 'new-' || entity_id AS handle FROM pairs WHERE l_linestatus = 'O')"""
 PAIR = ["seller_id", "entity_id"]
 
 
 @gate("insert_if_absent", f"WITH {MAP_SQL} SELECT * FROM old_map UNION ALL SELECT * FROM new_map WHERE (seller_id, entity_id) NOT IN (SELECT (seller_id, entity_id) FROM old_map)")
 def insert_if_absent(spark, d):
-    return K.insert_if_absent(handle_map(spark, d), handle_map(spark, d, 1), PAIR)[0].select(*PAIR, "handle")
+    return K.insert_if_absent(handle_map(spark, d), handle_map(spark, d, True), PAIR)[0].select(*PAIR, "handle")
 
 
 @gate("insert_if_absent_stats", f"""WITH {MAP_SQL} SELECT COUNT_IF(o.handle IS NULL) AS added, COUNT_IF(o.handle IS NOT NULL) AS skipped
 FROM new_map n LEFT JOIN old_map o USING (seller_id, entity_id)""")
 def insert_if_absent_stats(spark, d):
-    return K.insert_if_absent(handle_map(spark, d), handle_map(spark, d, 1), PAIR)[1]
+    return K.insert_if_absent(handle_map(spark, d), handle_map(spark, d, True), PAIR)[1]
 
 
 @gate("upsert_mapping", f"WITH {MAP_SQL} SELECT seller_id, entity_id, COALESCE(n.handle, o.handle) AS handle FROM old_map o FULL JOIN new_map n USING (seller_id, entity_id)")
 def upsert_mapping(spark, d):
-    return K.upsert_mapping(handle_map(spark, d), handle_map(spark, d, 1), PAIR)
+    return K.upsert_mapping(handle_map(spark, d), handle_map(spark, d, True), PAIR)
 
 
 @gate("replace_by_key", f"WITH {MAP_SQL} SELECT * FROM old_map WHERE CAST(seller_id AS INT) < 5 UNION ALL SELECT * FROM new_map WHERE CAST(seller_id AS INT) >= 5")
 def replace_by_key(spark, d):
-    new = handle_map(spark, d, 1).filter(F.col("seller_id").cast("int") >= 5)
+    new = handle_map(spark, d, True).filter(F.col("seller_id").cast("int") >= 5)
     return S.replace_by_key(handle_map(spark, d), new, ["seller_id"]).select(*PAIR, "handle")
 
 
 @gate("unmapped_entities", f"WITH {MAP_SQL} SELECT seller_id, entity_id FROM new_map WHERE (seller_id, entity_id) NOT IN (SELECT (seller_id, entity_id) FROM old_map)")
 def unmapped(spark, d):
-    return J.unmapped(handle_map(spark, d, 1).select(*PAIR), handle_map(spark, d), PAIR)
+    return J.unmapped(handle_map(spark, d, True).select(*PAIR), handle_map(spark, d), PAIR)
 
 
 @gate("handles_for_seller", f"WITH {MAP_SQL} SELECT seller_id, entity_id, p_name, handle FROM old_map JOIN part ON p_partkey = entity_id")
@@ -165,11 +164,11 @@ def promo_count(spark, d):
 
 
 @gate("unprocessed_snapshots", """SELECT user_id AS entity_id, event_type AS seller_id, STRFTIME(ts, '%Y%m') AS yyyymm, event_id FROM events
-WHERE (user_id, event_type, STRFTIME(ts, '%Y%m')) NOT IN (SELECT (user_id, event_type, STRFTIME(ts, '%Y%m')) FROM events WHERE event_id % 29 = 0)""")
+WHERE (user_id, event_type, STRFTIME(ts, '%Y%m')) NOT IN (SELECT (user_id, event_type, STRFTIME(ts, '%Y%m')) FROM events WHERE ts < TIMESTAMP '2024-01-04')""")
 def unprocessed(spark, d):
     snaps = G.table(spark, d, "events").select(
-        F.col("user_id").alias("entity_id"), F.col("event_type").alias("seller_id"), F.date_format("ts", "yyyyMM").alias("yyyymm"), "event_id")
-    return J.unprocessed(snaps, snaps.filter(F.col("event_id") % 29 == 0))
+        F.col("user_id").alias("entity_id"), F.col("event_type").alias("seller_id"), F.date_format("ts", "yyyyMM").alias("yyyymm"), "event_id", "ts")
+    return J.unprocessed(snaps, snaps.filter("ts < '2024-01-04'")).drop("ts")
 
 
 @gate("stale_pages", "SELECT p_partkey AS entity_id, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'N')")
@@ -233,12 +232,14 @@ def url_inventory(spark, d):
     return K.url_inventory(c.select("entity_id"), c.select("category"), guides(spark, d), F.lit("2026-04-06"))
 
 
-# Votes: each line item votes for two fields of its part.
-VOTES_SQL = """votes AS (
-  SELECT l_partkey AS entity_id, 'sun' AS field, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE LOWER(l_returnflag) || ' ' END AS value,
-    l_orderkey * 10 + l_linenumber AS src_pos FROM lineitem WHERE l_linestatus = 'O' AND l_orderkey % 5 = 0
-  UNION ALL SELECT l_partkey, 'zones', CASE WHEN l_quantity < 25 THEN '5,6' ELSE '6,7' END, l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_orderkey % 9 = 0),
-votes2 AS (SELECT entity_id, field, value, MIN(src_pos) AS src_pos FROM votes GROUP BY 1, 2, 3),
+VOTES_SQL = """cheapest AS (
+  SELECT l_partkey AS entity_id, CAST(l_suppkey % 10 AS INT) AS src_pos,
+    ARG_MIN(CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE LOWER(l_returnflag) || ' ' END, (l_extendedprice, l_orderkey, l_linenumber)) AS sun,
+    CASE WHEN MIN(l_quantity) < 25 THEN '5,6' ELSE '6,7' END AS zones, CASE WHEN MAX(l_quantity) > 48 THEN 'Tree' END AS type
+  FROM lineitem GROUP BY 1, 2),
+votes2 AS (
+  SELECT entity_id, 'sun' AS field, sun AS value, src_pos FROM cheapest UNION ALL SELECT entity_id, 'zones', zones, src_pos FROM cheapest
+  UNION ALL SELECT entity_id, 'type', type, src_pos FROM cheapest WHERE type IS NOT NULL),
 norms AS (SELECT *, CASE WHEN field = 'zones' THEN value ELSE TRIM(LOWER(value)) END AS norm FROM votes2 v),
 spell AS (SELECT entity_id, field, norm, COUNT(*) AS n, MIN(src_pos) AS pos, ARG_MIN(value, src_pos) AS value FROM norms GROUP BY 1, 2, 3),
 tops AS (SELECT entity_id, field, SUM(n) AS total, ARG_MIN(value, pos) AS first_value,
@@ -253,13 +254,14 @@ reconciled AS (
 
 
 def votes(spark, d):
-    l = G.table(spark, d, "lineitem")
-    pos = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("src_pos")
+    """Every seller of a part votes: with the flag of its cheapest item, and with its quantities."""
     flag = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).otherwise(F.concat(F.lower("l_returnflag"), F.lit(" ")))
-    sun = l.filter("l_linestatus = 'O' AND l_orderkey % 5 = 0").select(F.col("l_partkey").alias("entity_id"), F.lit("sun").alias("field"), flag.alias("value"), pos)
-    zones = l.filter("l_orderkey % 9 = 0").select(
-        F.col("l_partkey").alias("entity_id"), F.lit("zones").alias("field"), F.when(F.col("l_quantity") < 25, "5,6").otherwise("6,7").alias("value"), pos)
-    return sun.unionByName(zones).groupBy("entity_id", "field", "value").agg(F.min("src_pos").alias("src_pos"))
+    ballots = G.table(spark, d, "lineitem").groupBy(
+        F.col("l_partkey").alias("entity_id"), (F.col("l_suppkey") % 10).cast("int").alias("src_pos")).agg(
+        F.min_by(flag, F.struct("l_extendedprice", "l_orderkey", "l_linenumber")).alias("sun"),
+        F.when(F.min("l_quantity") < 25, "5,6").otherwise("6,7").alias("zones"),
+        F.when(F.max("l_quantity") > 48, "Tree").alias("type"))
+    return ballots.unpivot(["entity_id", "src_pos"], ["sun", "zones", "type"], "field", "value")
 
 
 @gate("majority_value", f"WITH {VOTES_SQL} SELECT entity_id, field, total AS n_sources, first_value, CASE WHEN top_n >= 3 OR (top_n = total AND total >= 2) THEN top_value END AS majority FROM tops")

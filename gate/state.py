@@ -177,12 +177,12 @@ def _validated(spark, d):
     state = p.select(
         (key % 12).cast("string").alias("seller_id"), key.alias("entity_id"), F.when(key % 5 == 0, "broken").otherwise("confirmed").alias("status"),
         F.when(key % 4 > 0, F.concat(F.lit("h"), key.cast("string"))).otherwise("").alias("candidate_handle"))
-    probes = p.filter(key % 11 > 0).select(
+    probes = p.filter("p_size > 4").select(
         (key % 12).cast("string").alias("seller_id"), key.alias("entity_id"), F.when(key % 3 == 0, 404).otherwise(200).alias("status_code"), (key % 7 > 0).alias("has_product"))
     return S.apply_validated(state, G.sellers(spark, d), probes, now())
 
 
-VALID = "SELECT CAST(p_partkey % 12 AS VARCHAR) AS seller_id, p_partkey AS entity_id, p_partkey % 3 > 0 AND p_partkey % 7 > 0 AS good FROM part WHERE p_partkey % 5 > 0 AND p_partkey % 4 > 0 AND p_partkey % 12 < 10 AND p_partkey % 11 > 0"
+VALID = "SELECT CAST(p_partkey % 12 AS VARCHAR) AS seller_id, p_partkey AS entity_id, p_partkey % 3 > 0 AND p_partkey % 7 > 0 AS good FROM part WHERE p_partkey % 5 > 0 AND p_partkey % 4 > 0 AND p_partkey % 12 < 10 AND p_size > 4"
 
 
 @gate("apply_validated_handles", f"SELECT seller_id, entity_id, 'h' || entity_id AS handle FROM ({VALID}) WHERE good")

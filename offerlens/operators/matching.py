@@ -305,13 +305,14 @@ def _substring_leg(entities: DataFrame, products: DataFrame, weight: float) -> D
     ).select(F.col("l_id").alias("e_text"), F.col("s_id").alias("p_ord"))
     firsts = inside.unionByName(around).groupBy("e_text").agg(F.min("p_ord").alias("p_ord"))
     by_text = texts.join(firsts, "e_text").select("e_id", "p_ord")
-    # Empty texts, as equi-joins with one-row tables on a constant key.
-    blank = listing.filter("p_text = ''").select(F.lit(0).alias("_k"), "p_ord")
-    any_entity = texts.withColumn("_k", F.lit(0)).join(blank, "_k").select("e_id", "p_ord")
-    first = listing.agg(F.min("p_ord").alias("p_ord")).withColumn("_k", F.lit(0))
+    # Empty texts: joins with global aggregates, which Spark knows to be one row.
+    one_row = lambda df: df.agg(F.min("p_ord").alias("p_ord")).filter(
+        F.col("p_ord").isNotNull()
+    ).withColumn("_k", F.lit(0))
+    keyed = texts.withColumn("_k", F.lit(0))
+    any_entity = keyed.join(one_row(listing.filter("p_text = ''")), "_k").select("e_id", "p_ord")
     blank_entity = (
-        texts.filter("e_text = ''").withColumn("_k", F.lit(0))
-        .join(first.filter(F.col("p_ord").isNotNull()), "_k").select("e_id", "p_ord")
+        keyed.filter("e_text = ''").join(one_row(listing), "_k").select("e_id", "p_ord")
     )
     return by_text.unionByName(any_entity).unionByName(blank_entity).withColumn(
         "score", F.lit(weight)
