@@ -163,13 +163,12 @@ def upsert_mapping(current: DataFrame, new: DataFrame, keys: list[str], value: s
 
 def insert_batch(catalog: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
     """All rows of the batch or none: any id already there fails the whole insert while it runs."""
-    conflicts = id_conflicts(catalog, batch, key).agg(F.count("*").alias("n")).select(
-        F.when(F.col("n") == 0, F.lit(1))
-        .otherwise(F.raise_error(F.concat(F.col("n").cast("string"), F.lit(" ids already exist"))))
-        .alias("_ok")
+    n = F.count("*")
+    is_free = id_conflicts(catalog, batch, key).agg(
+        F.when(n == 0, F.lit(True))
+        .otherwise(F.raise_error(F.concat(n.cast("string"), F.lit(" ids already exist"))))
     )
-    checked = batch.withColumn("_ok", F.lit(1)).join(conflicts, "_ok").drop("_ok")
-    return catalog.unionByName(checked)
+    return catalog.unionByName(batch.filter(is_free.scalar()))
 
 
 def patch_zone(catalog: DataFrame, entity: str, zone: int, spring: str, fall: str) -> DataFrame:

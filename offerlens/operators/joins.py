@@ -64,20 +64,18 @@ def guide_for_category(
 ) -> DataFrame:
     """The guide of each category, or the fallback guide.
 
-    guides: slug, title; guide_category: slug, category. The fallback is one row, found by slug.
+    guides: slug, title; guide_category: slug, category. The fallback is a scalar subquery.
     """
     dedicated = (
         guides.join(guide_category.filter(F.col("category").isNotNull()), "slug")
         .groupBy("category")
         .agg(F.max_by(F.struct("slug", "title"), "slug").alias("own"))
     )
-    fallback = guides.filter(F.col("slug") == FV.FALLBACK_GUIDE).select(
-        F.lit(1).alias("_k"), F.struct("slug", "title").alias("fallback")
-    )
+    guide = F.struct("slug", "title")
+    fallback = guides.filter(F.col("slug") == FV.FALLBACK_GUIDE).agg(F.max(guide)).scalar()
     return (
-        categories.select("category").distinct().withColumn("_k", F.lit(1))
-        .join(dedicated, "category", "left").join(fallback, "_k", "left")
-        .withColumn("guide", F.coalesce("own", "fallback"))
+        categories.select("category").distinct().join(dedicated, "category", "left")
+        .withColumn("guide", F.coalesce("own", fallback))
         .select("category", F.col("guide.slug").alias("guide_slug"), F.col("guide.title").alias("guide_title"))
     )
 

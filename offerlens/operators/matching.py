@@ -305,15 +305,11 @@ def _substring_leg(entities: DataFrame, products: DataFrame, weight: float) -> D
     ).select(F.col("l_id").alias("e_text"), F.col("s_id").alias("p_ord"))
     firsts = inside.unionByName(around).groupBy("e_text").agg(F.min("p_ord").alias("p_ord"))
     by_text = texts.join(firsts, "e_text").select("e_id", "p_ord")
-    # Empty texts: joins with global aggregates, which Spark knows to be one row.
-    one_row = lambda df: df.agg(F.min("p_ord").alias("p_ord")).filter(
-        F.col("p_ord").isNotNull()
-    ).withColumn("_k", F.lit(0))
-    keyed = texts.withColumn("_k", F.lit(0))
-    any_entity = keyed.join(one_row(listing.filter("p_text = ''")), "_k").select("e_id", "p_ord")
-    blank_entity = (
-        keyed.filter("e_text = ''").join(one_row(listing), "_k").select("e_id", "p_ord")
-    )
+    # Empty texts: the first product with one, and the first of all, as scalar subqueries.
+    first = lambda df: df.agg(F.min("p_ord")).scalar()
+    with_first = lambda df, rows: df.select("e_id", first(rows).alias("p_ord")).filter("p_ord IS NOT NULL")
+    any_entity = with_first(texts, listing.filter("p_text = ''"))
+    blank_entity = with_first(texts.filter("e_text = ''"), listing)
     return by_text.unionByName(any_entity).unionByName(blank_entity).withColumn(
         "score", F.lit(weight)
     )

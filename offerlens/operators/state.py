@@ -267,8 +267,9 @@ def recovery_pass(
         F.count_if(F.col("event") == "discovery").alias("candidates_found"),
     )
     marked = state.agg(F.count_if(gone).alias("marked_unrecoverable"))
-    one = lambda df: df.withColumn("_k", F.lit(1))
-    summary = one(totals).join(one(marked), "_k").join(one(skipped), "_k").drop("_k")
+    summary = totals.select(
+        "*", marked.scalar().alias("marked_unrecoverable"), skipped.scalar().alias("skipped")
+    )
     return expired, events, summary
 
 
