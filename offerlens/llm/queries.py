@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from offerlens.llm import decontamination, minhash, mixing, sharding
+from offerlens.llm import decontamination, minhash, mixing, sharding, toxicity
 from offerlens.llm.tables import table
 
 QUERIES, SQL = {}, {}
@@ -21,6 +21,13 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a factorization machine."""
+    out = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 16 equal shards by document id, and where they are once there are 17."""
