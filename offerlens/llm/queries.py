@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from offerlens.llm import decontamination, minhash, mixing, sharding, toxicity
+from offerlens.llm import decontamination, embeddings, minhash, mixing, sharding, toxicity
 from offerlens.llm.tables import table
 
 QUERIES, SQL = {}, {}
@@ -21,6 +21,12 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+@query
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings of one label linked from cosine 0.98."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by a factorization machine."""
@@ -83,3 +89,14 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root, doc_id) AS compone
        coalesce(root, doc_id) = doc_id AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.v = doc_id
 """
+
+SQL["op3_embedding_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+u AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id != b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.98),
+r AS (SELECT vec_id AS v, vec_id AS root FROM embeddings UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.v WHERE r.root < u.b),
+m AS (SELECT v, min(root) AS root FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM u GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, root AS component_id, root = vec_id AS kept
+FROM embeddings JOIN m ON m.v = vec_id LEFT JOIN n ON n.a = vec_id
+"""
