@@ -3,7 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from offerlens.llm import decontamination, embeddings, minhash, mixing, sharding, toxicity
+from offerlens.llm import (
+    decontamination, embeddings, licenses, line_dedup, minhash, mixing, quality, sharding, token_counts, toxicity,
+)
 from offerlens.llm.tables import table
 
 QUERIES, SQL = {}, {}
@@ -21,12 +23,24 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from its text, its source as site and its language there as path."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+
+
 @query
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings of one label linked from cosine 0.98."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and template blocks in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by a factorization machine."""
@@ -58,6 +72,20 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, and how many and which follow a template that recurs across documents."""
+    out = line_dedup.summary(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.array_join("dropped", ",").alias("dropped"))
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of encoded lengths with totals, truncated totals and shares for every length."""
+    counted = token_counts.lengths(table(spark, sf_dir, "documents").select("text"))
+    return token_counts.suffix_sums(token_counts.histogram(counted))
+
+
 SQL["op7_decontamination"] = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
