@@ -127,25 +127,25 @@ def decontaminate(
     """
     scratch = Scratch(docs.sparkSession)
     # the text's own hash joins results back, so texts are not shuffled for it and repeated ids stay apart
-    key = ["_id", "_key"]
-    own = docs.withColumns({"_id": F.col(id_col), "_key": F.xxhash64(F.coalesce(text_col, F.lit("")))})
+    key = ["__id", "__key"]
+    own = docs.withColumns({"__id": F.col(id_col), "__key": F.xxhash64(F.coalesce(text_col, F.lit("")))})
     spots = occurrences(own, items, key=key, text_col=text_col, item_col=item_col, item_text=item_text, window=window,
                         scratch=scratch)
     per = spots.groupBy(*key).agg(
         F.collect_set(F.struct("start", "end")).alias("spans"),
-        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("_items"),
-    ).select(F.col("_id").alias("_hit_id"), F.col("_key").alias("_hit_key"), _covered(F.col("spans")).alias("_n_hit"), "_items")
-    own = own.withColumn("_n_words", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)))
-    out = own.join(per, F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.col("_key") == F.col("_hit_key")), "left")
+        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("__items"),
+    ).select(F.col("__id").alias("__hit_id"), F.col("__key").alias("__hit_key"), _covered(F.col("spans")).alias("__n_hit"), "__items")
+    own = own.withColumn("__n_words", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)))
+    out = own.join(per, F.col("__id").eqNullSafe(F.col("__hit_id")) & (F.col("__key") == F.col("__hit_key")), "left")
     return out.select(
-        *[c for c in docs.columns if c not in RESULT], F.col("_n_words").cast("long").alias("n_words"),
-        F.coalesce("_n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("_items", F.array().cast("array<string>")).alias("items"),
-        (F.coalesce("_n_hit", F.lit(0)) > 0).alias("contaminated"),
+        *[c for c in docs.columns if c not in RESULT], F.col("__n_words").cast("long").alias("n_words"),
+        F.coalesce("__n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("__items", F.array().cast("array<string>")).alias("items"),
+        (F.coalesce("__n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents without any hit, with their own columns."""
-    held = docs.withColumn("_row", F.struct(*docs.columns))
-    return decontaminate(held, items, **options).where(~F.col("contaminated")).select("_row.*")
+    held = docs.withColumn("__row", F.struct(*docs.columns))
+    return decontaminate(held, items, **options).where(~F.col("contaminated")).select("__row.*")

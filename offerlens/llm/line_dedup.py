@@ -114,22 +114,22 @@ def rate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min
 
 
 def _joined(docs: DataFrame, rated: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rated = rated.withColumnsRenamed({c: f"_{c}" for c in rated.columns})
-    rows = docs.withColumns({"_own": F.col(id_col), "_own_key": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    return rows.join(rated, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left")
+    rated = rated.withColumnsRenamed({c: f"__{c}" for c in rated.columns})
+    rows = docs.withColumns({"__own": F.col(id_col), "__own_key": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    return rows.join(rated, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__own_key") == F.col("__key")), "left")
 
 
 def summary(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """(id, n_lines, n_dropped, dropped) for every document, also those without lines."""
     out = _joined(docs, rate(docs, id_col=id_col, text_col=text_col, min_docs=min_docs), id_col, text_col)
     none = F.array().cast("array<int>")
-    return out.select(F.col("_own").alias(id_col), F.coalesce("_n_lines", F.lit(0)).cast("long").alias("n_lines"),
-                      F.coalesce("_n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("_dropped", none).alias("dropped"))
+    return out.select(F.col("__own").alias(id_col), F.coalesce("__n_lines", F.lit(0)).cast("long").alias("n_lines"),
+                      F.coalesce("__n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("__dropped", none).alias("dropped"))
 
 
 def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents without the dropped lines. A text of dropped lines only becomes empty; a null text stays null."""
     out = _joined(docs, rate(docs, id_col=id_col, text_col=text_col, min_docs=min_docs), id_col, text_col)
-    parts = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_dropped", i))
-    text = F.when(F.coalesce(F.col("_n_dropped"), F.lit(0)) > 0, F.array_join(parts, "\n")).otherwise(F.col(text_col))
+    parts = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__dropped", i))
+    text = F.when(F.coalesce(F.col("__n_dropped"), F.lit(0)) > 0, F.array_join(parts, "\n")).otherwise(F.col(text_col))
     return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -95,7 +95,7 @@ def draws(
     blocks = scratch.keep(blocks.select("source", "block", "block_size", "passes", "left"))
     units = blocks.select("source", "block", F.explode(F.sequence(F.lit(0), F.col("passes") - (F.col("left") <= 0).cast("int"))).alias("pass")
                           ).where("pass >= 0")
-    placed = split_tree(units, shards, seed).groupBy("source", "block").agg(
+    placed = split_tree(units, shards, seed, scratch).groupBy("source", "block").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"]).alias("placed"))
     named = blocks.withColumnsRenamed({"source": "_source", "block": "_block"}).drop("passes")
     named = named.join(placed, _null_safe("_source", "source") & (F.col("_block") == F.col("block")), "left").drop("source", "block")
@@ -115,14 +115,14 @@ def draws(
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The document columns plus size, source_size, target (of its source), shards (one per copy) and taken (words)."""
     drawn = draws(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    drawn = drawn.withColumnsRenamed({c: f"_{c}" for c in drawn.columns})
+    drawn = drawn.withColumnsRenamed({c: f"__{c}" for c in drawn.columns})
     kept = [c for c in docs.columns if c not in RESULT]
-    rows = docs.withColumns({"_own": F.col(id_col), "_text_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
-                             "_from": F.col(source_col).cast("string")})
-    same = _null_safe("_own", "_id") & (F.col("_text_key") == F.col("_key")) & _null_safe("_from", "_source")
+    rows = docs.withColumns({"__own": F.col(id_col), "__text_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
+                             "__from": F.col(source_col).cast("string")})
+    same = _null_safe("__own", "__id") & (F.col("__text_key") == F.col("__key")) & _null_safe("__from", "__source")
     return rows.join(drawn, same).select(
-        *kept, *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "shards")],
-        (F.col("_size") * F.size("_shards")).alias("taken"))
+        *kept, *[F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "shards")],
+        (F.col("__size") * F.size("__shards")).alias("taken"))
 
 
 def mixed(docs: DataFrame, *, seed: int = 0, **options) -> DataFrame:
@@ -131,20 +131,20 @@ def mixed(docs: DataFrame, *, seed: int = 0, **options) -> DataFrame:
     Write with ``repartition("mix_shard")`` and ``sortWithinPartitions("mix_shard", "mix_order")`` for one run per shard.
     """
     options = {"id_col": "doc_id", "text_col": "text", **options}
-    rows = mix(docs.withColumn("_row", F.struct(*docs.columns)), seed=seed, **options)
-    rows = rows.select("_row", F.posexplode("shards").alias("_pass", "mix_shard"))
-    order = _hash(F.lit(seed), F.lit("order"), F.col("_row")[options["id_col"]], "_pass")
-    return rows.select("_row.*", "mix_shard", order.alias("mix_order"))
+    rows = mix(docs.withColumn("__row", F.struct(*docs.columns)), seed=seed, **options)
+    rows = rows.select("__row", F.posexplode("shards").alias("__pass", "mix_shard"))
+    order = _hash(F.lit(seed), F.lit("order"), F.col("__row")[options["id_col"]], "__pass")
+    return rows.select("__row.*", "mix_shard", order.alias("mix_order"))
 
 
-def split_tree(units: DataFrame, shards: int, seed: int = 0) -> DataFrame:
+def split_tree(units: DataFrame, shards: int, seed: int = 0, scratch: Scratch | None = None) -> DataFrame:
     """Add ``shard`` to units, one row each, identified by all their columns: the leaves of the splitting tree."""
     if shards < 1:
         raise ValueError("shards must be positive")
-    names = units.columns
+    scratch, names = scratch or Scratch(units.sparkSession), units.columns
     out = units.withColumns({"_first": F.lit(0), "_shards": F.lit(shards)})
     for level in range(max(0, (shards - 1).bit_length())):
-        out = _split(out, names, level, seed)
+        out = scratch.keep(_split(scratch.keep(out) if not level else out, names, level, seed))
     return out.select(*names, F.col("_first").alias("shard"))
 
 

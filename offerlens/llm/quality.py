@@ -155,23 +155,23 @@ def classify(
     scratch = Scratch(docs.sparkSession)
     model = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
     kept = [c for c in (docs.columns if carry is None else carry) if c not in RESULT]
-    rows = docs.select(*kept, F.col(site_col).cast("string").alias("_site"), F.col(path_col).cast("string").alias("_path"), F.col(text_col).cast("string").alias("_rated_text"))
+    rows = docs.select(*kept, F.col(site_col).cast("string").alias("__site"), F.col(path_col).cast("string").alias("__path"), F.col(text_col).cast("string").alias("__rated_text"))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema)
-    rated = scratch.keep(rows.mapInArrow(_scored(model, len(kept) + 2), f"{kinds}text_score double").drop("_rated_text"))
-    paths = scratch.keep(rated.groupBy("_site", "_path").agg(F.count("*").alias("n"), F.sum("text_score").alias("total")))
-    sites = paths.groupBy("_site").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    rated = scratch.keep(rows.mapInArrow(_scored(model, len(kept) + 2), f"{kinds}text_score double").drop("__rated_text"))
+    paths = scratch.keep(rated.groupBy("__site", "__path").agg(F.count("*").alias("n"), F.sum("text_score").alias("total")))
+    sites = paths.groupBy("__site").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     n, total = sites.agg(F.sum("n"), F.sum("total")).first()
     top = total / n if n else 0.5
     by_site = _strength(sites.withColumn("prior", F.lit(top)), "prior")
-    sites = sites.select(F.col("_site").alias("_s"), F.col("n").alias("_site_n"), F.col("total").alias("_site_total"))
-    posterior = (F.col("_site_total") + by_site * top) / (F.col("_site_n") + by_site)
-    groups = paths.join(sites, F.col("_site").eqNullSafe(F.col("_s"))).drop("_s").withColumn("prior", posterior)
+    sites = sites.select(F.col("__site").alias("__s"), F.col("n").alias("__site_n"), F.col("total").alias("__site_total"))
+    posterior = (F.col("__site_total") + by_site * top) / (F.col("__site_n") + by_site)
+    groups = paths.join(sites, F.col("__site").eqNullSafe(F.col("__s"))).drop("__s").withColumn("prior", posterior)
     by_path = _strength(groups, "prior")
-    groups = groups.select(*[F.col(c).alias(f"_g{c}") for c in ("_site", "_path", "n", "total")], "_site_n", "_site_total")
-    out = rated.join(groups, F.col("_site").eqNullSafe(F.col("_g_site")) & F.col("_path").eqNullSafe(F.col("_g_path")))
+    groups = groups.select(*[F.col(c).alias(f"__g{c}") for c in ("__site", "__path", "n", "total")], "__site_n", "__site_total")
+    out = rated.join(groups, F.col("__site").eqNullSafe(F.col("__g__site")) & F.col("__path").eqNullSafe(F.col("__g__path")))
     p = F.col("text_score")
-    out = out.withColumn("site_score", (F.col("_site_total") - p + by_site * top) / (F.col("_site_n") - 1 + by_site))
-    out = out.withColumn("path_score", (F.col("_gtotal") - p + by_path * F.col("site_score")) / (F.col("_gn") - 1 + by_path))
+    out = out.withColumn("site_score", (F.col("__site_total") - p + by_site * top) / (F.col("__site_n") - 1 + by_site))
+    out = out.withColumn("path_score", (F.col("__gtotal") - p + by_path * F.col("site_score")) / (F.col("__gn") - 1 + by_path))
     held = F.least(F.greatest(F.col("path_score"), F.lit(CLIP)), F.lit(1 - CLIP))
     odds = lambda x: F.ln(x / (1 - x))
     mean = min(max(top, CLIP), 1 - CLIP)

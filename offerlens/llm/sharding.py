@@ -34,22 +34,22 @@ def assign(docs: DataFrame, weights: Sequence[float], *, key_col: str = "doc_id"
         raise ValueError("two or more positive weights are needed")
     bid = lambda i, w: F.struct(_cost(F.col(key_col), i, w).alias("cost"), F.lit(i).alias("shard"))
     best = F.array_min(F.array(*[bid(i, w) for i, w in enumerate(weights)]))  # the lower shard wins ties
-    out = docs.select(*[c for c in docs.columns if c not in ("shard", "grown_shard")], best.alias("_best"))
-    added = {"shard": F.col("_best.shard")}
+    out = docs.select(*[c for c in docs.columns if c not in ("shard", "grown_shard")], best.alias("__best"))
+    added = {"shard": F.col("__best.shard")}
     if grown_weight is not None:
-        added["grown_shard"] = F.least("_best", bid(len(weights), grown_weight))["shard"]
-    return out.withColumns(added).drop("_best")
+        added["grown_shard"] = F.least("__best", bid(len(weights), grown_weight))["shard"]
+    return out.withColumns(added).drop("__best")
 
 
 def slots(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """Add ``slot``: 0, 1, ... inside each shard, in the order of hashed buckets and then ``order``."""
     kept = [c for c in rows.columns if c != "slot"]
-    rows = rows.select(*kept, F.pmod(F.xxhash64(*order), F.lit(BUCKETS)).cast("int").alias("_bucket"))
-    sizes = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    before = sizes.select("shard", "_bucket", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    own = Window.partitionBy("shard", "_bucket").orderBy(*order)
-    rows = rows.withColumn("_own", F.row_number().over(own) - 1)
-    return rows.join(before, ["shard", "_bucket"]).withColumn("slot", F.col("_before") + F.col("_own")).select(*kept, "slot")
+    rows = rows.select(*kept, F.pmod(F.xxhash64(*order), F.lit(BUCKETS)).cast("int").alias("__bucket"))
+    sizes = rows.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
+    before = sizes.select("shard", "__bucket", (F.sum("__n").over(Window.partitionBy("shard").orderBy("__bucket")) - F.col("__n")).alias("__before"))
+    own = Window.partitionBy("shard", "__bucket").orderBy(*order)
+    rows = rows.withColumn("__own", F.row_number().over(own) - 1)
+    return rows.join(before, ["shard", "__bucket"]).withColumn("slot", F.col("__before") + F.col("__own")).select(*kept, "slot")
 
 
 def shard(
