@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from offerlens.llm.scratch import Scratch, small_side
 
-#: ASCII letters, digits and all beyond ASCII; capitals are among them, as they are lower-cased first.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: ASCII letters, digits and all beyond ASCII; capitals are among them, as they are lower-cased first. The other
+#: characters are listed one by one: such a class is one lookup per character, a class of ranges is a chain of tests.
+WORD = "[^" + "".join(f"\\x{i:02X}" for i in range(128) if not chr(i).isalnum()) + "]++"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN_WORDS = 3
 RESULT = ("n_words", "n_hit", "items", "contaminated")
