@@ -10,7 +10,8 @@ are dropped. Documents of equal text count once, so copies of a document don't m
 Everything about a leaf is a grouped sum, so no leaf is gathered in one task. Texts are scanned once; what is shuffled
 is some 80 bytes per line.
 
-Null and empty texts have no lines. Lines of fewer than ``MIN_TOKENS`` tokens are kept always. Rows that share an id
+Null and empty texts have no lines. Lines of fewer than ``MIN_TOKENS`` tokens, and those that are
+variable fields for more than half, are kept always. Rows that share an id
 are told apart by their texts, and equal rows get equal results. Other columns are ignored by ``rate`` and kept by ``clean``.
 """
 from __future__ import annotations
@@ -36,12 +37,13 @@ _STRETCH = [f"g{k}" for k in range(SEGMENTS)]
 
 
 def parse(data: np.ndarray, at: np.ndarray):
-    """(row, line number, tokens, leaf, whole, stretches) of every line that has tokens."""
+    """(row, line number, tokens, fields, leaf, whole, stretches) of every line that has tokens."""
     lrow, lstart, _ = words.spans(data, at, _LINES)
     row, start, end = words.spans(data, at, words.SPACED)
     token, = words.hashes(data, start, end)
     digits = np.r_[0, np.cumsum((data >= 48) & (data <= 57))]
-    token[digits[end] > digits[start]] = _FIELD
+    field = digits[end] > digits[start]
+    token[field] = _FIELD
     line = np.searchsorted(lstart, start, "right") - 1
     head = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, int)
     count = np.diff(np.r_[head, len(line)])
@@ -59,30 +61,30 @@ def parse(data: np.ndarray, at: np.ndarray):
     breaks = np.r_[0, np.cumsum(data == 10)]  # numbers of lines count empty ones as well
     number = breaks[lstart[line[head]]] - breaks[at[lrow[line[head]]]] if len(head) else head
     n = count.astype(np.uint64)
-    return (row[head], number, count, words.mix(leaf ^ words.mix(n)), words.mix(whole + n),
+    return (row[head], number, count, np.bincount(own, field, len(head)), words.mix(leaf ^ words.mix(n)), words.mix(whole + n),
             (words.mix(stretch) >> np.uint64(32)).astype(np.uint32).view(np.int32).reshape(-1, SEGMENTS))
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, at in words.chunks(batch.column(2)):
-            row, number, count, leaf, whole, stretch = parse(data, at)
+            row, number, count, fields, leaf, whole, stretch = parse(data, at)
             first = np.zeros(len(row), bool)  # of this form in its document
             if len(row):
                 order = np.lexsort((number, whole, row))
                 first[order] = np.r_[True, (whole[order][1:] != whole[order][:-1]) | (row[order][1:] != row[order][:-1])]
+            first &= (2 * fields <= count) & (count >= MIN_TOKENS)
             pick = pa.array(row + lo)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(number, pa.int32()), pa.array(count.astype(np.int32)),
+                [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(number, pa.int32()),
                  pa.array(leaf.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(first),
                  *[pa.array(np.ascontiguousarray(stretch[:, k])) for k in range(SEGMENTS)]],
-                names=["id", "key", "line", "tokens", "leaf", "whole", "first", *_STRETCH])
+                names=["id", "key", "line", "leaf", "whole", "first", *_STRETCH])
 
 
 def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(leaf, whole): the line forms to drop."""
-    forms = lines.where(F.col("first") & (F.col("tokens") >= MIN_TOKENS))
-    forms = forms.dropDuplicates(["key", "leaf", "whole"])  # documents of equal text count once
+    forms = lines.where("first").dropDuplicates(["key", "leaf", "whole"])  # documents of equal text count once
     forms = forms.groupBy("leaf", "whole").agg(F.count("*").alias("docs"), *[F.first(g).alias(g) for g in _STRETCH])
     leaves = forms.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("forms")).where((F.col("all") >= min_docs) & (F.col("forms") > 1))
     shared = forms.join(leaves.select("leaf", "all"), "leaf")
@@ -105,7 +107,7 @@ def rate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min
     kind = dict(docs.dtypes)[id_col]
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"), text.alias("text"))
-    lines = scratch.keep(rows.mapInArrow(_line_rows, f"id {kind}, key long, line int, tokens int, leaf long, whole long, first boolean, "
+    lines = scratch.keep(rows.mapInArrow(_line_rows, f"id {kind}, key long, line int, leaf long, whole long, first boolean, "
                                          + ", ".join(f"{g} int" for g in _STRETCH)))
     bad = recurring(lines, min_docs).withColumn("bad", F.lit(True))
     own = lines.select("id", "key", "line", "leaf", "whole").join(bad, ["leaf", "whole"], "left")
