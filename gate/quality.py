@@ -64,9 +64,9 @@ def gated(spark, d):
     return Q.swing_gate(*_run(spark, d))
 
 
-@gate("swing_gate", f"WITH {RUN_SQL} SELECT entity_id, seller_id, tier, price, old_price, is_anomaly, accepted FROM gated")
+@gate("swing_gate", f"WITH {RUN_SQL} SELECT entity_id, seller_id, tier, price, old_price, ROUND(change_pct, 6) AS change_pct, is_anomaly, accepted FROM gated")
 def swing_gate(spark, d):
-    return gated(spark, d).drop("change_pct")
+    return gated(spark, d).withColumn("change_pct", F.round("change_pct", 6))
 
 
 @gate("with_snapshot", f"WITH {RUN_SQL} SELECT entity_id, seller_id, tier, price, old_price FROM flags")
@@ -88,6 +88,15 @@ def snapshot_keep(spark, d):
     return Q.snapshot_after(gated(spark, d), _run(spark, d)[1], keep_baseline=True)
 
 
+@gate("snapshot_after_empty_run", f"""WITH {RUN_SQL} SELECT * FROM snap WHERE seller_id NOT IN ('0', '1', '2') UNION ALL
+SELECT entity_id, seller_id, tier, price FROM gated WHERE accepted AND seller_id = '0'""")
+def snapshot_after_empty_run(spark, d):
+    """Sellers 0 to 2 ran, only 0 found anything: 1 and 2 lose their old prices."""
+    g = gated(spark, d).filter("seller_id = '0'")
+    ran = G.sellers(spark, d).filter("seller_id IN ('0', '1', '2')")
+    return Q.snapshot_after(g, _run(spark, d)[1], ran=ran)
+
+
 @gate("anomaly_lines", f"""WITH {RUN_SQL} SELECT entity_id, seller_id, tier,
  'ANOMALY: ' || entity_id || ' at ' || seller_id || ' tier=' || tier || ': $' || printf('%.2f', old_price) || ' -> $' || printf('%.2f', price)
  || ' (' || CAST(CAST(ROUND_EVEN(change_pct, 0) AS BIGINT) AS VARCHAR) || '% change)' AS line FROM gated WHERE is_anomaly""")
@@ -147,8 +156,14 @@ checked AS (
   SELECT entity_id, seller_id, COUNT(*) AS stored_tiers, COUNT_IF(fresh_price IS NOT NULL AND diff <= 0.02) AS matches,
     COUNT_IF(COALESCE(diff > 0.02, FALSE)) AS mismatches, COUNT(fresh_price) AS fresh_tiers,
     STRING_AGG(CASE WHEN diff > 0.02 THEN tier END, ',' ORDER BY tier) AS off_tiers,
-    CASE WHEN COUNT(fresh_price) = 0 THEN 'no_data' WHEN COUNT_IF(diff > 0.02) > 0 THEN 'MISMATCH' ELSE 'PASS' END AS status
+    CASE WHEN COUNT(fresh_price) = 0 THEN 'error' WHEN COUNT_IF(diff > 0.02) > 0 THEN 'MISMATCH' ELSE 'PASS' END AS status
   FROM both_sides GROUP BY 1, 2)"""
+# Targets beyond the stored listings: every part asked for at seller x (no stored price) or, for every
+# ninth, at no seller.
+TARGETS_SQL = f"""{CHECK_SQL},
+full_checked AS (
+  SELECT entity_id, seller_id, stored_tiers, status FROM checked
+  UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 9 > 0 THEN 'x' END, 0, CASE WHEN p_partkey % 9 > 0 THEN 'no_data' ELSE 'skip' END FROM part)"""
 
 
 def _stored_fresh(spark, d):
@@ -163,6 +178,26 @@ def checks(spark, d):
     return Q.price_compare(*_stored_fresh(spark, d))
 
 
+def full_checks(spark, d):
+    key = F.col("p_partkey")
+    asked = G.table(spark, d, "part").select(key.alias("entity_id"), F.when(key % 9 > 0, "x").alias("seller_id"))
+    return Q.price_compare(*_stored_fresh(spark, d), targets=asked)
+
+
+@gate("price_compare_targets", f"WITH {TARGETS_SQL} SELECT entity_id, seller_id, stored_tiers, status FROM full_checked")
+def price_compare_targets(spark, d):
+    return full_checks(spark, d).select("entity_id", "seller_id", "stored_tiers", "status")
+
+
+@gate("eligible_seller", f"""WITH {G.OFFERS_SQL}, usable AS (SELECT DISTINCT entity_id, seller_id FROM offers WHERE seller_id < '4'),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY entity_id ORDER BY MD5(entity_id || '|' || seller_id || '|7'), seller_id) AS r FROM usable)
+SELECT p_partkey AS entity_id, seller_id FROM part LEFT JOIN ranked ON entity_id = p_partkey AND r = 1""")
+def eligible_seller(spark, d):
+    o = G.offers(spark, d)
+    parts = G.table(spark, d, "part").select(F.col("p_partkey").alias("entity_id"))
+    return Q.eligible_seller(o, o.filter("seller_id < '4'"), parts, 7)
+
+
 @gate("price_compare", f"WITH {CHECK_SQL} SELECT entity_id, seller_id, stored_tiers, fresh_tiers, matches, mismatches, COALESCE(off_tiers, '') AS off_tiers, status FROM checked")
 def price_compare(spark, d):
     return checks(spark, d).select(
@@ -175,10 +210,10 @@ def stored_and_fresh(spark, d):
     return J.stored_and_fresh(*_stored_fresh(spark, d))
 
 
-@gate("verification_summary", f"""WITH {CHECK_SQL} SELECT COUNT(*) AS checked, COUNT_IF(status = 'PASS') AS passed, COUNT_IF(status = 'MISMATCH') AS failed,
- 0 AS errors, COUNT_IF(status = 'no_data') AS skipped, COUNT_IF(status = 'MISMATCH') > 0 AS is_failure FROM checked""")
+@gate("verification_summary", f"""WITH {TARGETS_SQL} SELECT COUNT(*) AS checked, COUNT_IF(status = 'PASS') AS passed, COUNT_IF(status = 'MISMATCH') AS failed,
+ COUNT_IF(status = 'error') AS errors, COUNT_IF(status IN ('no_data', 'skip')) AS skipped, COUNT_IF(status = 'MISMATCH') > 0 AS is_failure FROM full_checked""")
 def verification_summary(spark, d):
-    return Q.verification_summary(checks(spark, d))
+    return Q.verification_summary(full_checks(spark, d))
 
 
 @gate("halt_decision", f"""WITH {CHECK_SQL} SELECT ROUND(AVG(CASE WHEN status = 'MISMATCH' THEN 1.0 ELSE 0.0 END), 9) AS failed_share,
@@ -187,7 +222,8 @@ def halt_decision(spark, d):
     return Q.halt_decision(checks(spark, d)).withColumn("failed_share", F.round("failed_share", 9))
 
 
-@gate("verification_sample")
+@gate("verification_sample", f"""WITH {G.OFFERS_SQL}, one AS (SELECT entity_id, ARG_MIN(seller_id, MD5(entity_id || '|' || seller_id || '|7') || seller_id) AS seller_id FROM offers GROUP BY 1)
+SELECT entity_id, seller_id FROM one ORDER BY MD5(entity_id || '|7'), entity_id LIMIT 10""")
 def verification_sample(spark, d):
     return Q.verification_sample(G.offers(spark, d), 10, 7)
 

@@ -39,8 +39,8 @@ def run_to_table(df, mode):
     return (out.join(newest, "_batch") if mode == "complete" else out).drop("_batch", "b")
 
 
-def observations(spark, d):
-    return event_stream(spark, d).select(
+def observations(spark, d, events=None):
+    return (event_stream(spark, d) if events is None else events).select(
         F.col("user_id").alias("entity_id"), F.col("event_type").alias("seller_id"), F.col("ts").cast("timestamp").alias("obs_ts"),
         F.col("event_id").alias("ord"), F.lit("1gal").alias("tier"), F.col("value").alias("price"))
 
@@ -75,12 +75,52 @@ def stream_link_state(spark, d):
 
 
 SNAPSHOT = "entity_id BIGINT, seller_id STRING, tier STRING, price DOUBLE"
+RUN_DAYS = 5  # a run is five days of events
+RUN = f"lpad(CAST(floor((unix_date(to_date(obs_ts)) - 19723) / {RUN_DAYS}) AS STRING), 6, '0')"
+#: A pair's baseline is the last accepted price of the run before; a run without any leaves none.
+GATE_SQL = f"""RECURSIVE e AS (SELECT user_id AS entity_id, event_type AS seller_id, event_id AS ord, value AS price,
+  CAST(FLOOR(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / {RUN_DAYS}) AS INT) AS run FROM events),
+runs AS (SELECT DISTINCT run FROM e), pairs AS (SELECT DISTINCT entity_id, seller_id FROM e),
+lists AS (SELECT p.entity_id, p.seller_id, r.run, COALESCE(LIST(e.price ORDER BY e.ord) FILTER (e.ord IS NOT NULL), []) AS prices
+  FROM pairs p CROSS JOIN runs r LEFT JOIN e ON e.entity_id = p.entity_id AND e.seller_id = p.seller_id AND e.run = r.run GROUP BY 1, 2, 3),
+base AS (
+  SELECT entity_id, seller_id, MIN(run) AS run, NULL::DOUBLE AS old, ARG_MIN(prices, run) AS prices FROM lists GROUP BY 1, 2
+  UNION ALL
+  SELECT l.entity_id, l.seller_id, l.run,
+    LIST_FILTER(b.prices, lambda x: b.old IS NULL OR b.old <= 0 OR x <= 0 OR ABS(x - b.old) / b.old * 100 <= 50)[-1], l.prices
+  FROM base b JOIN lists l ON l.entity_id = b.entity_id AND l.seller_id = b.seller_id AND l.run = b.run + 1)"""
+
+
+def _gated(spark, d, files):
+    """Run the gate over the events written as ``files`` files in time order, one file per batch."""
+    base = os.path.join(checkpoint_dir(spark), f"gate-{uuid.uuid4().hex}")
+    offers = observations(spark, d, G.table(spark, d, "events"))
+    landed = os.path.join(base, "landed")
+    for i, part in enumerate(offers.agg(F.percentile("ord", F.array(*[F.lit((i + 1) / files) for i in range(files)]))).first()[0]):
+        bounds = (F.col("ord") > low) if i else F.lit(True)
+        offers.filter(bounds & (F.col("ord") <= part)).coalesce(1).write.mode("append").parquet(landed)
+        low = part
+    stream = spark.readStream.schema(offers.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    q = T.stream_gate(stream, base, os.path.join(base, "state"), SNAPSHOT, run=RUN).trigger(availableNow=True).start()
+    q.awaitTermination()
+    T.finish_gate(spark, base, offers.schema, SNAPSHOT, run=RUN)
+    return base
 
 
-@gate("stream_gate", "SELECT user_id AS entity_id, event_type AS seller_id, '1gal' AS tier, ARG_MAX(value, event_id) AS price FROM events GROUP BY 1, 2 HAVING ARG_MAX(value, event_id) > 0")
+@gate("stream_gate", f"""WITH {GATE_SQL}
+SELECT e.ord, e.entity_id, e.seller_id, '1gal' AS tier, e.price, b.old AS old_price,
+  NOT COALESCE(b.old > 0 AND e.price > 0 AND ABS(e.price - b.old) / b.old * 100 > 50, FALSE) AS accepted
+FROM e JOIN base b USING (entity_id, seller_id, run)""")
 def stream_gate(spark, d):
-    """All events are one batch against an empty snapshot, so the last price of each is accepted."""
-    base = os.path.join(checkpoint_dir(spark), f"gate-{uuid.uuid4().hex}")
-    q = T.stream_gate(observations(spark, d), base, os.path.join(base, "state"), SNAPSHOT).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return T.newest_version(spark, os.path.join(base, "snapshot"), SNAPSHOT)
+    """Events in several batches: every one is filed, accepted or quarantined against the run before."""
+    return T.gated_offers(spark, _gated(spark, d, 4)).select(
+        "ord", "entity_id", "seller_id", "tier", "price", "old_price", "accepted")
+
+
+@gate("stream_gate_snapshot", f"""WITH {GATE_SQL}, after AS (SELECT entity_id, seller_id,
+  LIST_FILTER(prices, lambda x: old IS NULL OR old <= 0 OR x <= 0 OR ABS(x - old) / old * 100 <= 50)[-1] AS price
+  FROM base WHERE run = (SELECT MAX(run) FROM runs))
+SELECT entity_id, seller_id, '1gal' AS tier, price FROM after WHERE price IS NOT NULL""")
+def stream_gate_snapshot(spark, d):
+    """The price snapshot after the last run."""
+    return T.newest_version(spark, os.path.join(_gated(spark, d, 3), "snapshot"), SNAPSHOT)

@@ -42,9 +42,11 @@ def swing_gate(
     snapshot: DataFrame,
     limit_pct: float = FV.SWING_PCT,
     keys: Cols = COLS,
+    listing: list[str] | None = None,
 ) -> DataFrame:
     """Fresh prices next to the last accepted ones, flagged where they moved by more than
-    ``limit_pct``. One such size quarantines the whole listing (``accepted`` false on all its rows).
+    ``limit_pct``. One such size quarantines the whole listing (``accepted`` false on all its rows);
+    ``listing`` names its columns where a pair was observed more than once.
 
     A quarantined listing gets no snapshot row, so with the plain snapshot update its next price
     has nothing to be compared with; see ``snapshot_after``.
@@ -57,17 +59,23 @@ def swing_gate(
         .withColumn("change_pct", F.when(comparable, change))
         .withColumn("is_anomaly", F.coalesce(F.col("change_pct") > limit_pct, F.lit(False)))
     )
-    bad = F.max("is_anomaly").over(Window.partitionBy(*keys.pair))
+    bad = F.max("is_anomaly").over(Window.partitionBy(*(listing or keys.pair)))
     return flagged.withColumn("accepted", ~bad)
 
 
 def snapshot_after(
-    gated: DataFrame, snapshot: DataFrame, keep_baseline: bool = False, keys: Cols = COLS
+    gated: DataFrame,
+    snapshot: DataFrame,
+    keep_baseline: bool = False,
+    keys: Cols = COLS,
+    ran: DataFrame | None = None,
 ) -> DataFrame:
-    """Price snapshot after a gated run. Sellers in the run are replaced. With ``keep_baseline``
-    the old prices of quarantined listings stay, so the next run still has something to compare."""
+    """Price snapshot after a gated run. Sellers in the run are replaced: those of ``ran``, which
+    also names sellers that ran and found nothing, or else those with gated rows. With
+    ``keep_baseline`` the old prices of quarantined listings stay, so the next run still has
+    something to compare."""
     columns = [*keys.pair, keys.tier, keys.price]
-    ran = gated.select(keys.seller).distinct()
+    ran = (gated if ran is None else ran).select(keys.seller).distinct()
     others = snapshot.join(ran, keys.seller, "left_anti").select(*columns)
     out = others.unionByName(gated.filter("accepted").select(*columns))
     if not keep_baseline:
@@ -110,10 +118,21 @@ def drop_top_outlier(
 
 
 def price_compare(
-    stored: DataFrame, fresh: DataFrame, tolerance: float = FV.PRICE_TOLERANCE, keys: Cols = COLS
+    stored: DataFrame,
+    fresh: DataFrame,
+    tolerance: float = FV.PRICE_TOLERANCE,
+    keys: Cols = COLS,
+    targets: DataFrame | None = None,
+    fetched: DataFrame | None = None,
 ) -> DataFrame:
-    """Stored against fresh prices per listing: PASS, MISMATCH, or no_data if nothing was fetched.
-    A size that is gone from the fresh page is not a mismatch."""
+    """Stored against fresh prices per listing: PASS, MISMATCH, error, no_data or skip.
+
+    A size that is gone from the fresh page is not a mismatch. ``fetched`` names the listings whose
+    re-fetch gave a product; a listing outside it is an ``error``, by default one without fresh rows.
+    ``targets`` adds listings to check that may have no stored price (``no_data``), and, with a null
+    seller, entities that no eligible seller lists (``skip``).
+    """
+    stored = stored.filter(F.col(keys.seller).isNotNull())
     new = fresh.select(*keys.pair, keys.tier, F.col(keys.price).alias("fresh_price"))
     pairs = stored.join(new, [*keys.pair, keys.tier], "left")
     usable = (F.col(keys.price) > 0) & (F.col("fresh_price") > 0)
@@ -126,7 +145,8 @@ def price_compare(
         F.bround(diff * 100, 1).alias("diff_pct"),
     )
     seen = fresh.groupBy(*keys.pair).agg(F.count("*").alias("fresh_tiers"))
-    return (
+    got = (fresh if fetched is None else fetched).select(*keys.pair).distinct().withColumn("_got", F.lit(True))
+    checked = (
         pairs.groupBy(*keys.pair)
         .agg(
             F.count("*").alias("stored_tiers"),
@@ -134,19 +154,41 @@ def price_compare(
             F.count_if(off).alias("mismatches"),
             F.array_sort(F.collect_list(F.when(off, detail))).alias("details"),
         )
-        .join(seen, keys.pair, "left")
+        .join(seen, keys.pair, "left").join(got, keys.pair, "left")
         .withColumn(
             "status",
-            F.when(F.col("fresh_tiers").isNull(), "no_data")
+            F.when(F.col("_got").isNull(), "error")
             .when(F.col("mismatches") > 0, "MISMATCH")
             .otherwise("PASS"),
         )
         .withColumn("fresh_tiers", F.coalesce("fresh_tiers", F.lit(0)))
+        .drop("_got")
+    )
+    if targets is None:
+        return checked
+    rest = targets.select(*keys.pair).distinct().join(stored.select(*keys.pair), keys.pair, "left_anti")
+    rest = rest.select(
+        *keys.pair, F.lit(0).alias("stored_tiers"),
+        F.when(F.col(keys.seller).isNull(), "skip").otherwise("no_data").alias("status"),
+    )
+    return checked.unionByName(rest, allowMissingColumns=True).fillna(
+        0, ["fresh_tiers", "matches", "mismatches"]
+    )
+
+
+def eligible_seller(mapped: DataFrame, sellers: DataFrame, entities: DataFrame, seed: int, keys: Cols = COLS) -> DataFrame:
+    """Per entity one of the sellers that list it and can be re-fetched, at random by ``seed``; a null
+    seller where there is none. ``sellers`` holds the eligible ones."""
+    usable = mapped.select(*keys.pair).join(sellers.select(keys.seller).distinct(), keys.seller, "left_semi")
+    chosen = usable.groupBy(keys.entity).agg(
+        F.min_by(keys.seller, F.struct(seeded_order(keys.pair, seed), keys.seller)).alias(keys.seller)
     )
+    return entities.select(keys.entity).distinct().join(chosen, keys.entity, "left")
 
 
 def seeded_order(columns: list[str], seed: int) -> Column:
-    return F.xxhash64(*columns, F.lit(seed))
+    """Pseudo-random order by the MD5 of the columns and the seed."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns], F.lit(str(seed))))
 
 
 def verification_sample(
@@ -244,9 +286,10 @@ def page_title(html: Column) -> Column:
 
 def title_mismatch(pages: DataFrame, expected: DataFrame, floor: float = 0.5) -> DataFrame:
     """Pages whose title does not look like the name they are filed under (url -> name)."""
-    scored = pages.join(expected, "url").withColumn("page_title", page_title(F.col("html")))
+    titles = pages.select(*[c for c in pages.columns if c != "html"], page_title(F.col("html")).alias("page_title"))
+    scored = titles.join(expected, "url")
     score = match_score(F.col("name"), F.coalesce("page_title", F.lit("")))
-    return scored.withColumn("title_score", score).filter(F.col("title_score") < floor).drop("html")
+    return scored.withColumn("title_score", score).filter(F.col("title_score") < floor)
 
 
 def page_links(pages: DataFrame, page_key: str = "url") -> DataFrame:

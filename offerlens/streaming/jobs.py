@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from offerlens.functions import fixed_values as FV
@@ -58,7 +59,7 @@ def stream_daily_low(offers: DataFrame, late: str = "1 day", keys: Cols = COLS)
     )
 
 
-def _snapshot_before(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
+def _snapshot_before(spark: SparkSession, path: str, batch_id: int, schema: str | T.StructType) -> DataFrame:
     """The newest snapshot version written by an earlier batch. A repeated batch thus starts from
     the same snapshot as the first time."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -71,34 +72,99 @@ def _snapshot_before(spark: SparkSession, path: str, batch_id: int, schema: str)
     return spark.read.schema(schema).parquet(os.path.join(path, f"batch-{max(earlier)}"))
 
 
+def _drop_versions(spark: SparkSession, path: str, before: int) -> None:
+    """Delete all versions older than the newest one below ``before``; a repeated batch needs no others."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    paths = [s.getPath() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
+    numbered = {int(p.getName()[len("batch-"):]): p for p in paths if p.getName().startswith("batch-")}
+    keep = max((v for v in numbered if v < before), default=before)
+    for version, p in numbered.items():
+        if version < keep:
+            fs.delete(p, True)
+
+
 def gate_batch(
-    out: str, snapshot_schema: str, keep_baseline: bool = False, keys: Cols = COLS
+    out: str,
+    snapshot_schema: str,
+    keep_baseline: bool = False,
+    keys: Cols = COLS,
+    run: str = "to_date(obs_ts)",
+    finish: bool = False,
 ) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body: gate the batch against the current price snapshot, file accepted and
-    quarantined offers by batch, write the next snapshot version. Every folder is named after the
-    batch and overwritten when a batch is repeated."""
-    columns = [*keys.pair, keys.tier, keys.price]
+    """``foreachBatch`` body: gate collection runs, whatever batches they arrive in.
+
+    A run is one value of ``run`` (the collection day). Its observations wait in ``pending`` until a later
+    run shows up, or until a batch with ``finish``; then the runs that are over are gated in order, each
+    against the snapshot the one before left. Every observation is filed in ``gated`` once: accepted, or
+    quarantined with a reason, which is ``swing`` or, for one whose run is already closed, ``late``. So the
+    result doesn't depend on how observations in run order are cut into batches. Folders are named
+    after the batch and overwritten when it is repeated.
+    """
 
-    def run(batch: DataFrame, batch_id: int) -> None:
+    def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        snapshot_path = os.path.join(out, "snapshot")
-        before = _snapshot_before(spark, snapshot_path, batch_id, snapshot_schema)
-        newest = A.latest_offers(batch, keys).filter(F.col(keys.price) > 0)
-        gated_path = os.path.join(out, "gated", f"batch-{batch_id}")
-        swing_gate(newest, before, keys=keys).write.mode("overwrite").parquet(gated_path)
-        gated = spark.read.parquet(gated_path)
-        after = snapshot_after(gated, before.select(*columns), keep_baseline, keys)
-        after.write.mode("overwrite").parquet(os.path.join(snapshot_path, f"batch-{batch_id}"))
-
-    return run
+        place = lambda name: os.path.join(out, name)
+        fresh = batch.withColumn("run", F.expr(run).cast("string"))
+        schema = fresh.schema
+        pending = _snapshot_before(spark, place("pending"), batch_id, schema)
+        closed = _snapshot_before(spark, place("closed"), batch_id, "run STRING").first()
+        closed = closed["run"] if closed else None
+        snapshot = _snapshot_before(spark, place("snapshot"), batch_id, snapshot_schema)
+        is_late = F.lit(False) if closed is None else F.coalesce(F.col("run") <= closed, F.lit(False))
+        is_late = is_late | F.col("run").isNull()
+        waiting = pending.unionByName(fresh.filter(~is_late))
+        runs = sorted(r["run"] for r in waiting.select("run").distinct().collect())  # one value per run
+        over = runs if finish else runs[:-1]
+        gated_path = place(f"gated/batch-{batch_id}")
+        bare = F.lit(None).cast("double")
+        late = fresh.filter(is_late).withColumns({
+            "old_price": bare, "change_pct": bare, "is_anomaly": F.lit(False), "accepted": F.lit(False),
+            "reason": F.lit("late"),
+        })
+        late.write.mode("overwrite").parquet(os.path.join(gated_path, "part=late"))
+        for i, r in enumerate(over):
+            part = os.path.join(gated_path, f"part={i}")
+            rows = swing_gate(waiting.filter(F.col("run") == r), snapshot, keys=keys, listing=[*keys.pair, keys.ord])
+            rows.withColumn("reason", F.when(~F.col("accepted"), "swing")).write.mode("overwrite").parquet(part)
+            done = spark.read.schema(late.schema).parquet(part)
+            last = A.latest_offers(done.filter("accepted"), keys)
+            none = done.select(*keys.pair).distinct().join(last.select(*keys.pair).distinct(), keys.pair, "left_anti")
+            held = none.withColumns({keys.tier: F.lit(None).cast("string"), keys.price: bare, "accepted": F.lit(False)})
+            last = last.select(*keys.pair, keys.tier, keys.price, "accepted")
+            after = snapshot_after(last.unionByName(held), snapshot, keep_baseline, keys)
+            step_path = place(f"steps/batch-{batch_id}-{i}")
+            after.write.mode("overwrite").parquet(step_path)
+            snapshot = spark.read.schema(snapshot_schema).parquet(step_path)
+        snapshot.write.mode("overwrite").parquet(place(f"snapshot/batch-{batch_id}"))
+        rest = waiting.filter(~F.col("run").isin(over)) if over else waiting
+        rest.write.mode("overwrite").parquet(place(f"pending/batch-{batch_id}"))
+        last_closed = over[-1] if over else closed
+        mark = spark.createDataFrame([(last_closed,)] if last_closed is not None else [], "run STRING")
+        mark.write.mode("overwrite").parquet(place(f"closed/batch-{batch_id}"))
+        for name in ("pending", "closed", "snapshot"):
+            _drop_versions(spark, place(name), batch_id)
+
+    return step
+
+
+def finish_gate(spark: SparkSession, out: str, schema: str, snapshot_schema: str, **options) -> None:
+    """Gate the runs still pending after the stream has ended. ``schema`` is that of the offers."""
+    after = 1 << 61
+    gate_batch(out, snapshot_schema, finish=True, **options)(spark.createDataFrame([], schema), after)
+
+
+def gated_offers(spark: SparkSession, out: str) -> DataFrame:
+    """All observations that have been filed so far."""
+    return spark.read.option("recursiveFileLookup", "true").parquet(os.path.join(out, "gated"))
 
 
 def stream_gate(
-    offers: DataFrame, out: str, checkpoint: str, snapshot_schema: str, keys: Cols = COLS
+    offers: DataFrame, out: str, checkpoint: str, snapshot_schema: str, keys: Cols = COLS, **options
 ) -> DataStreamWriter:
-    return offers.writeStream.foreachBatch(gate_batch(out, snapshot_schema, keys=keys)).option(
-        "checkpointLocation", checkpoint
-    )
+    """Gate a stream of offers run by run; ``options`` go to ``gate_batch``."""
+    step = gate_batch(out, snapshot_schema, keys=keys, **options)
+    return offers.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
 def link_state_batch(out: str) -> Callable[[DataFrame, int], None]:
@@ -114,6 +180,7 @@ def link_state_batch(out: str) -> Callable[[DataFrame, int], None]:
         untouched = before.join(batch.select(*S.LINK).distinct(), S.LINK, "left_anti")
         after = untouched.unionByName(S.link_state(batch, touched))
         after.write.mode("overwrite").parquet(os.path.join(out, f"batch-{batch_id}"))
+        _drop_versions(batch.sparkSession, out, batch_id)
 
     return run
 

@@ -33,17 +33,57 @@ def test_one_bad_size_quarantines_listing_and_forgets(spark):
     assert kept == after | {("e", "s", "1gal", 40.0)}
 
 
-def test_stream_gate_repeats_safely(spark, tmp_path):
-    schema = OFFER + ", ord INT"
-    run = T.gate_batch(str(tmp_path), OFFER)
-    first = spark.createDataFrame([("e", "s", "1gal", 40.0, 1)], schema)
-    second = spark.createDataFrame([("e", "s", "1gal", 90.0, 2), ("f", "s", "1gal", 7.0, 3)], schema)
-    run(first, 0)
-    run(second, 1)
-    run(second, 1)
-    newest = T.newest_version(spark, str(tmp_path / "snapshot"), OFFER)
-    assert {tuple(r) for r in newest.collect()} == {("f", "s", "1gal", 7.0)}
-    assert spark.read.parquet(str(tmp_path / "gated" / "batch-1")).filter("NOT accepted").count() == 1
+STREAMED = OFFER + ", obs_ts TIMESTAMP, ord INT"
+
+
+def _streamed(spark, tmp_path, name, batches, **options):
+    out = str(tmp_path / name)
+    run = T.gate_batch(out, OFFER, **options)
+    for i, rows in enumerate(batches):
+        for _ in range(1 + (i == 1)):  # a batch may be repeated
+            run(spark.createDataFrame(rows, STREAMED), i)
+    T.finish_gate(spark, out, STREAMED, OFFER, **options)
+    gated = sorted((r["ord"], r["accepted"], r["reason"]) for r in T.gated_offers(spark, out).collect())
+    return gated, {tuple(r) for r in T.newest_version(spark, out + "/snapshot", OFFER).collect()}
+
+
+@pytest.mark.parametrize("keep_baseline", [False, True])
+def test_stream_gate_does_not_depend_on_batches(spark, tmp_path, keep_baseline):
+    from datetime import datetime
+
+    rng, rows = random.Random(4), []
+    for n in range(45):
+        day = n // 15 + 1
+        rows.append((rng.choice("abcd"), rng.choice("st"), "1gal", float(rng.choice([10, 12, 20, 40])), datetime(2024, 1, day, n % 15), n))
+    cut = lambda size: [rows[i: i + size] for i in range(0, len(rows), size)]
+    one = _streamed(spark, tmp_path, "one", [rows], keep_baseline=keep_baseline)
+    assert len(one[0]) == len(rows) and not all(a for _, a, _ in one[0])
+    for size in (23,):
+        assert _streamed(spark, tmp_path, f"cut{size}", cut(size), keep_baseline=keep_baseline) == one
+    # plain walk over the runs
+    snap, want = {}, []
+    for day in range(1, 4):
+        run = [r for r in rows if r[4].day == day]
+        new, seen = {}, set()
+        for e, s, t, p, _, n in run:
+            old = snap.get((e, s))
+            ok = old is None or abs(p - old) / old * 100 <= 50
+            want.append((n, ok, None if ok else "swing"))
+            seen.add((e, s))
+            if ok:
+                new[(e, s)] = p
+        sellers = {s for _, s in seen}
+        held = {k: v for k, v in snap.items() if keep_baseline and k in seen and k not in new}
+        snap = {k: v for k, v in snap.items() if k[1] not in sellers} | held | new
+    assert one[0] == want and one[1] == {(*k, "1gal", v) for k, v in snap.items()}
+
+
+def test_stream_gate_files_late_rows(spark, tmp_path):
+    from datetime import datetime
+
+    at = lambda d, n: ("e", "s", "1gal", 10.0, datetime(2024, 1, d), n)
+    gated, _ = _streamed(spark, tmp_path, "late", [[at(1, 0)], [at(2, 1)], [at(3, 2), at(1, 3)]])
+    assert gated == [(0, True, None), (1, True, None), (2, True, None), (3, False, "late")]
 
 
 @pytest.mark.parametrize("fresh,status", [(40.5, "PASS"), (40.8, "PASS"), (40.81, "MISMATCH"), (45, "MISMATCH"), (None, "PASS")])
