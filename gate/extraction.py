@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gate import tables as G
 from gate.base import Gate
+from gate.matching import match_text_sql, score_sql, words_sql
 from offerlens.functions import tiers as T
 from offerlens.operators import documents as D
 from offerlens.operators import pages as X
@@ -201,7 +202,7 @@ def promo_pages(spark, d):
             F.lit(" BLOOM"), (F.col("doc_id") % 7).cast("string"),
             F.lit(" now</p><p>Free shipping on orders over $"), (F.col("doc_id") % 3 + 50).cast("string"),
             F.lit("!</p><i>FLASH sale</i> and flash  sale<article>"),
-            F.regexp_replace("text", r"[^\p{L}\n ]", " "), F.lit("</article>"),
+            F.col("text"), F.lit("</article>"),
         ).alias("html"),
     )
 
@@ -218,7 +219,7 @@ def promo_signals(spark, d):
 CONTEXT_SQL = r"""WITH h AS (
   SELECT doc_id, '<div class="announcement-bar"><b>Use code</b> SAVE' || doc_id || ' today</div><p>Get ' || (doc_id % 50 + 5)
     || '% off with CODE BLOOM' || doc_id % 7 || ' now</p><p>Free shipping on orders over $' || (doc_id % 3 + 50)
-    || '!</p><i>FLASH sale</i> and flash  sale<article>' || REGEXP_REPLACE(text, '[^\p{L}\n ]', ' ', 'g') || '</article>' AS html FROM documents),
+    || '!</p><i>FLASH sale</i> and flash  sale<article>' || text || '</article>' AS html FROM documents),
 t AS (SELECT doc_id, 'Use code ' || REGEXP_REPLACE(html, '<[^>]+>', ' ', 'g') AS x FROM h),
 c AS (SELECT doc_id, UNNEST(LIST_CONCAT(LIST_CONCAT(LIST_CONCAT(LIST_CONCAT(
   REGEXP_EXTRACT_ALL(x, '(?:use|enter|apply)\s+(?:code\s+)?([A-Z][A-Z0-9]{2,19})\b', 1, 'i'),
@@ -381,7 +382,16 @@ def size_tier(spark, d):
     return G.table(spark, d, "part").select("p_partkey", T.size_tier(title).alias("tier"))
 
 
-@gate("title_mismatch")
+TITLE_SQL = r"""CASE WHEN REGEXP_MATCHES(html, '<title>([^<]+)</title>') THEN TRIM(REGEXP_REPLACE(
+ REPLACE(REPLACE(REPLACE(REPLACE(REPLACE(SPLIT_PART(REGEXP_EXTRACT(html, '<title>([^<]+)</title>', 1), '|', 1), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) END"""
+
+
+@gate("title_mismatch", f"""WITH t AS (SELECT page_id, url, {TITLE_SQL} AS title FROM pages),
+ex AS (SELECT url, ARG_MIN(CASE WHEN page_id % 2 = 0 THEN COALESCE(title, chr(1)) ELSE 'item ' || page_id END, page_id) AS name FROM t GROUP BY 1),
+x AS (SELECT page_id, t.url, NULLIF(name, chr(1)) AS name, title AS page_title, COALESCE(title, '') AS tt0 FROM t JOIN ex USING (url)),
+y AS (SELECT *, {match_text_sql('name')} AS nt, {match_text_sql('tt0')} AS tt FROM x),
+z AS (SELECT *, {words_sql('nt')} AS nw, {words_sql('tt')} AS tw FROM y)
+SELECT * FROM (SELECT page_id, url, name, page_title, {score_sql('nw', 'tw', 'nt', 'tt')} AS title_score FROM z) WHERE title_score < 0.5""")
 def title_mismatch(spark, d):
     pages = G.table(spark, d, "pages")
     # The expected name is the page title's first half, or a name from another page's number.

@@ -1,15 +1,20 @@
 """Link state, recovery and source parsing."""
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from gate import matching as GM
 from gate import tables as G
 from gate.base import Gate
+from offerlens.operators import compare as A
 from offerlens.operators import state as S
 from offerlens.operators import store_products as SP
 from offerlens.sources import observations as O
 from offerlens.sources import records as R
+from offerlens.session import checkpoint_dir
 
 gate = Gate()
 QUERIES, SQL = gate.queries, gate.sql
@@ -221,6 +226,33 @@ def read_observations(spark, d):
         "entity_id", "seller_id", F.col("obs_date").cast("string").alias("obs_date"), "raw_tier", "price", "was_price", "available", "variant_id")
 
 
+def _scratch(spark, name):
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@gate("append_then_latest", f"""WITH {G.OFFERS_SQL}, newest AS (SELECT entity_id, seller_id, MAX((obs_date >= DATE '1996-01-01', ord)) AS at FROM offers GROUP BY 1, 2)
+SELECT o.entity_id, o.seller_id, raw_tier, price FROM offers o JOIN newest n ON n.entity_id = o.entity_id AND n.seller_id = o.seller_id
+  AND n.at = (obs_date >= DATE '1996-01-01', ord)""")
+def append_then_latest(spark, d):
+    """History appended in two parts, with positions that start anew in each, read back and folded."""
+    path, o = _scratch(spark, "history"), G.offers(spark, d)
+    late = F.col("obs_date") >= "1996-01-01"
+    for part in (o.filter(~late), o.filter(late)):
+        first = part.agg(F.min("ord")).scalar()
+        O.append_observations(part.withColumn("ord", F.col("ord") - first), path)
+    return A.latest_offers(O.read_history(spark, path)).select("entity_id", "seller_id", "raw_tier", "price")
+
+
+@gate("snapshot_versions", f"WITH {G.OFFERS_SQL} SELECT entity_id, seller_id, raw_tier AS tier, MAX(price) AS price FROM offers GROUP BY 1, 2, 3")
+def snapshot_versions(spark, d):
+    """A snapshot written twice and read back."""
+    path = _scratch(spark, "snapshot")
+    key = ["entity_id", "seller_id", F.col("raw_tier").alias("tier")]
+    for fold in (F.min, F.max):
+        O.write_snapshot(G.offers(spark, d).groupBy(*key).agg(fold("price").alias("price")), path)
+    return O.read_snapshot(spark, path)
+
+
 PURGE_SQL = f"""{G.OFFERS_SQL}, obs AS (SELECT DISTINCT entity_id, seller_id, ord FROM offers)"""
 
 

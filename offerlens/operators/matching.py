@@ -23,8 +23,13 @@ ORDER_BITS = 48
 
 
 def _packed(missing: Column, order: Column) -> Column:
-    """(missing words, product order) as one sortable LONG, so the best pair is a plain ``min``."""
-    return F.call_function("shiftleft", missing.cast("long"), F.lit(ORDER_BITS)) + order
+    """(missing words, product order) as one sortable LONG, so the best pair is a plain ``min``.
+    An order that doesn't fit stops the query, as it would change scores."""
+    fits = (order >= 0) & (order < F.lit(1 << ORDER_BITS))
+    too_large = F.raise_error(F.lit(f"product order must be from 0 to 2^{ORDER_BITS} - 1")).cast("long")
+    return F.call_function("shiftleft", missing.cast("long"), F.lit(ORDER_BITS)) + F.when(fits, order).when(
+        order.isNotNull(), too_large
+    )
 
 
 def _missing(packed: Column) -> Column:

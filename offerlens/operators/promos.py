@@ -62,8 +62,8 @@ def _matches_in_context(text: Column, pattern: str, before: int, after: int) ->
     return let(F.split(marked, MARK), cut)
 
 
-def banner_text(html: Column, top_chars: int | None = None) -> Column:
-    """Text of announcement bars and the header, then of the page (or of its first characters)."""
+def banner_text(html: Column) -> Column:
+    """Text of announcement bars and the header, then of the whole page."""
     bars = F.flatten(
         F.array(
             *[
@@ -75,20 +75,16 @@ def banner_text(html: Column, top_chars: int | None = None) -> Column:
             ]
         )
     )
-    short = F.filter(bars, lambda b: (b != "") & (F.length(b) < 300))
+    bars = F.filter(bars, lambda b: b != "")
     header = squeeze(html_text(first_group(html, "(?is)<header[^>]*>(.*?)</header>")))
-    body = html if top_chars is None else F.substring(html, 1, top_chars)
-    return F.concat_ws(" ", F.array_join(short, " "), header, html_text(body))
+    return F.concat_ws(" ", F.array_join(bars, " "), header, html_text(html))
 
 
 def promo_signals_context(
-    pages: DataFrame, html: str = "html", top_chars: int | None = None, patterns: list[str] | None = None
+    pages: DataFrame, html: str = "html", patterns: list[str] | None = None
 ) -> DataFrame:
-    """One row per page and code with the text around it; a savings phrase where no code is found.
-
-    ``top_chars`` restricts the page text to its first characters, where banners usually are;
-    by default the whole page is read.
-    """
+    """One row per page and code with the text around it; a savings phrase where no code is found,
+    cut to the 200 characters that are shown."""
     patterns = patterns or FV.CONTEXT_CODE_PATTERNS
     text = F.col("_text")
     found = F.concat(*[_matches_in_context(text, p, 20, 60) for p in patterns])
@@ -109,7 +105,7 @@ def promo_signals_context(
         ),
     )
     rows = (
-        pages.withColumn("_text", banner_text(F.col(html), top_chars))
+        pages.withColumn("_text", banner_text(F.col(html)))
         .withColumn("_codes", keep_first(valid, lambda m: m.code))
         .withColumn(
             "_promos",

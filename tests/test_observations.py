@@ -176,13 +176,29 @@ def test_snapshot_versions(spark, tmp_path):
     assert O.read_snapshot(spark, path).count() == 5
 
 
-def test_append(spark, tmp_path, folder):
-    obs_df = O.read_observations(spark, folder).select("entity_id", "seller_id", "ts_raw")
-    for buckets, sub in ((None, "e"), (4, "b")):
-        path = str(tmp_path / sub)
-        O.append_observations(obs_df, path, buckets)
-        O.append_observations(obs_df, path, buckets)
-        assert spark.read.parquet(path).count() == 16
+def test_appended_history_is_in_ingest_order(spark, tmp_path, folder):
+    path = str(tmp_path / "h")
+    with pytest.raises(FileNotFoundError):
+        O.read_history(spark, path)
+    january = [line("a", f"2026-01-0{d}T10:00:00Z", {"1gal": 10.0 + d}) for d in (1, 2, 3)]
+    february = [line("a", "2026-02-01T10:00:00Z", {"1gal": 20.0})]
+    for n, rows in enumerate((january, february)):
+        (tmp_path / f"in{n}").mkdir()
+        (tmp_path / f"in{n}" / "item.jsonl").write_text("\n".join(rows))
+        assert O.append_observations(O.read_observations(spark, str(tmp_path / f"in{n}")), path, 4) == n
+    history = O.explode_sizes(O.read_history(spark, path))
+    assert history.count() == 4
+    latest = A.latest_offers(history).collect()
+    assert [(r["obs_date"].isoformat(), r["price"]) for r in latest] == [("2026-02-01", 20.0)]
+
+
+def test_unfinished_versions_do_not_count(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    O.write_snapshot(spark.range(3), path)
+    (tmp_path / "snap" / "v-1").mkdir()
+    assert O.read_snapshot(spark, path).count() == 3
+    O.write_snapshot(spark.range(5), path)
+    assert O.read_snapshot(spark, path).count() == 5
 
 
 def test_records(spark, tmp_path):
