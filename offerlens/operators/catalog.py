@@ -59,6 +59,12 @@ def run_stats(
     )
 
 
+def merge_stats(previous: DataFrame, stats: DataFrame, keys: Cols = COLS) -> DataFrame:
+    """Stats of all sellers after a run: those of the run are replaced, the others stay as they were."""
+    kept = previous.join(stats.select(keys.seller).distinct(), keys.seller, "left_anti")
+    return kept.select(*stats.columns).unionByName(stats)
+
+
 def run_health(stats: DataFrame) -> DataFrame:
     """A seller is degraded below 80% found; nothing expected counts as all found."""
     rate = F.when(F.col("expected") == 0, 1.0).otherwise(F.col("found") / F.col("expected"))

@@ -91,14 +91,21 @@ def collect_run(
     handle_map: DataFrame,
     snapshot: DataFrame,
     keep_baseline: bool = False,
+    previous: DataFrame | None = None,
 ) -> CollectionResult:
-    """One collection run: gate fresh offers, update the price snapshot, report health."""
+    """One collection run: gate fresh offers, update the price snapshot, report health.
+
+    A seller ran if it has results or prices; its old snapshot rows go even if it found nothing.
+    ``previous`` holds the stats of earlier runs, so health and status cover sellers that did not run.
+    """
     gated = cut_lineage(Q.swing_gate(fresh, snapshot))
-    stats = K.run_health(K.run_stats(handle_map, results, gated))
+    ran = results.select("seller_id").unionByName(gated.select("seller_id")).distinct()
+    stats = K.run_stats(handle_map.join(ran, "seller_id", "left_semi"), results, gated)
+    stats = K.run_health(stats if previous is None else K.merge_stats(previous, stats))
     return CollectionResult(
         accepted=gated.filter("accepted"),
         quarantined=gated.filter(~F.col("accepted")),
-        snapshot=Q.snapshot_after(gated, snapshot, keep_baseline),
+        snapshot=Q.snapshot_after(gated, snapshot, keep_baseline, ran=ran),
         stats=stats,
         status=K.pipeline_health(stats),
         anomalies=K.anomaly_lines(gated),

@@ -72,6 +72,19 @@ def test_collect_run(spark):
     assert run.anomalies.first()["line"] == "ANOMALY: e at s tier=1gal: $40.00 -> $90.00 (125% change)"
 
 
+def test_collect_run_without_finds_and_with_earlier_runs(spark):
+    offer = "entity_id STRING, seller_id STRING, tier STRING, price DOUBLE"
+    snap = spark.createDataFrame([("e", "s", "1gal", 40.0), ("g", "t", "1gal", 3.0)], offer)
+    handles = spark.createDataFrame([("e", "s"), ("g", "t")], "entity_id STRING, seller_id STRING")
+    results = spark.createDataFrame([("e", "s", "HTTP 500")], "entity_id STRING, seller_id STRING, error STRING")
+    earlier = spark.createDataFrame([("s", 1, 1, 0, 1, 0, False), ("t", 1, 1, 0, 4, 2, False)],
+                                    "seller_id STRING, expected LONG, found LONG, errors LONG, prices LONG, anomalies LONG, few_found BOOLEAN")
+    run = jobs.collect_run(spark.createDataFrame([], offer), results, handles, snap, previous=earlier)
+    assert {tuple(r) for r in run.snapshot.collect()} == {("g", "t", "1gal", 3.0)}
+    assert {(r["seller_id"], r["prices"], r["health"]) for r in run.stats.collect()} == {("s", 0, "degraded"), ("t", 4, "healthy")}
+    assert run.status.first()["degraded_sellers"] == 1
+
+
 def test_archive_backfill(spark):
     ts = lambda s: datetime.datetime.strptime(s, "%Y%m%d%H%M%S")
     snap = lambda e, url, stamp: (e, "s", url, stamp, ts(stamp), stamp[:6])
