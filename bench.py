@@ -1,10 +1,11 @@
-"""Times the headline queries. Prints one JSON line.
+"""Times the headline queries, the median of BENCH_REPEATS (default 3) runs each. Prints one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_QUERIES (names, default
 the list below; 'all' runs every query).
 """
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -12,6 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession
 
+REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
 HEADLINE = [
     "latest_per_key", "current_offers", "best_per_tier", "price_summary", "same_tier_spread",
     "seller_order", "tier_deals", "best_deal_and_runner_ups", "comparison_matrix", "similar_entities",
@@ -45,9 +47,12 @@ def main():
     registry.QUERIES["active_only"](spark, sf_dir).collect()  # start the JVM side before timing
     timings = {}
     for name in names:
-        start = time.perf_counter()
-        registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        timings[name] = round(time.perf_counter() - start, 3)
+        runs = []
+        for _ in range(REPEATS):
+            start = time.perf_counter()
+            registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - start)
+        timings[name] = round(statistics.median(runs), 3)
         if os.environ.get("BENCH_VERBOSE"):
             print(name, timings[name], file=sys.stderr, flush=True)
     print(json.dumps({
