@@ -1,6 +1,8 @@
 """Small text helpers shared by the normalisers and the extraction jobs."""
 from __future__ import annotations
 
+from html.entities import html5
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -77,17 +79,32 @@ def html_text(html: Column, joiner: str = " ") -> Column:
     return F.regexp_replace(html, "<[^>]+>", joiner)
 
 
-# The named character references that occur in product copy.
-ENTITIES = [
-    ("&nbsp;", " "), ("&ndash;", "–"), ("&#8211;", "–"), ("&#39;", "'"), ("&rsquo;", "’"),
-    ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"),
-]
+_REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# The standard library's table of named references; a non-breaking space is read as a space.
+_NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")} | {"nbsp": " "}
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; the replacement character for ones that don't exist."""
+    real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
 
 def unescape(c: Column) -> Column:
-    for ref, char in ENTITIES:
-        c = F.replace(c, F.lit(ref), F.lit(char))
-    return c
+    """Text with its character references read once, from left to right: named, decimal and hexadecimal ones.
+    Unknown names stay as they are."""
+    names = F.map_from_arrays(any_of(list(_NAMED)), any_of(list(_NAMED.values())))
+
+    def read(ref: Column) -> Column:
+        return (
+            F.when(F.lower(F.left(ref, F.lit(2))) == "#x", _character(F.conv(F.substr(ref, F.lit(3)), 16, 10).cast("long")))
+            .when(F.left(ref, F.lit(1)) == "#", _character(F.substr(ref, F.lit(2)).cast("long")))
+            .otherwise(F.coalesce(F.element_at(names, ref), F.concat(F.lit("&"), ref, F.lit(";"))))
+        )
+
+    refs = F.transform(F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(1)), read)
+    parts = F.zip_with(F.split(c, _REFERENCE, -1), refs, lambda text, char: F.concat(text, F.coalesce(char, F.lit(""))))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)
 
 
 def words(c: Column) -> Column:

@@ -168,3 +168,10 @@ def test_outline(spark):
     assert (a["slug"], a["excerpt"]) == ("my-guide", "First line of text.")
     assert [(t["id"], t["text"]) for t in a["toc"]] == [("not-this", "Not this"), ("why-it-costs", "Why it costs"), ("end", "End!")]
     assert b["title"] == "x.md" and b["description"] == "x.md - Compare prices across online nurseries."
+
+
+def test_character_references(spark):
+    from offerlens.functions.text import unescape
+    df = spark.createDataFrame([("a&mdash;b &eacute;&#8217;&#x1F600; &amp;lt; &nbsp;x &bogus; & z; &#0;",), (None,), ("plain",)], "t STRING")
+    assert [r[0] for r in df.select(unescape(F.col("t"))).collect()] == ["a—b é’😀 &lt;  x &bogus; & z; \ufffd", None, "plain"]
+
