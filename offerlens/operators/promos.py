@@ -38,26 +38,31 @@ def promo_signals(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def _matches_in_context(text: Column, pattern: str, before: int, after: int) -> Column:
     """All matches of a pattern as (code, description): the description is the match with some
-    characters around it. Matches are marked in the text, and the text is cut at the marks."""
+    characters around it. Matches are marked and the text is cut at the marks; one pass over the
+    pieces adds up where each match stands, and descriptions are cut out of the text itself."""
     marked = F.regexp_replace(text, pattern, f"{MARK}$0{MID}$1{END}")
-    plain = lambda pieces: F.regexp_replace(F.array_join(pieces, ""), f"{MID}[^{END}]*{END}", "")
-
-    def at(pieces: Column, i: Column) -> Column:
-        piece = F.get(pieces, i)
-        head = plain(F.slice(pieces, F.lit(1), i))
-        tail = plain(F.slice(pieces, i + 1, F.size(pieces)))
-        length = F.length(F.substring_index(piece, MID, 1))
-        return F.struct(
-            F.upper(F.substring_index(F.substring_index(piece, MID, -1), END, 1)).alias("code"),
-            squeeze(F.concat(F.right(head, F.lit(before)), F.left(tail, length + after))).alias(
-                "description"
-            ),
-        )
+    spots_type = "array<struct<at:int,n:int,code:string>>"
+
+    def step(acc: Column, piece: Column) -> Column:
+        match_length = F.length(F.substring_index(piece, MID, 1))
+        code = F.substring_index(F.substring_index(piece, MID, -1), END, 1)
+        spot = F.struct(acc["at"].alias("at"), match_length.alias("n"), code.alias("code"))
+        past = acc["at"] + match_length + F.length(F.substring_index(piece, END, -1))
+        return F.struct(past.alias("at"), F.concat(acc["spots"], F.array(spot)).alias("spots"))
 
     def cut(pieces: Column) -> Column:
-        none = F.array().cast("array<struct<code:string,description:string>>")
-        spots = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 1))
-        return F.coalesce(F.transform(spots, lambda i: at(pieces, i)), none)
+        start = F.struct(
+            F.length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast(spots_type).alias("spots")
+        )
+        rest = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+        spots = F.aggregate(rest, start, step, lambda acc: acc["spots"])
+        return F.transform(spots, lambda m: F.struct(
+            F.upper(m["code"]).alias("code"),
+            squeeze(F.concat(
+                F.substr(text, F.greatest(m["at"] - before, F.lit(0)) + 1, F.least(m["at"], F.lit(before))),
+                F.substr(text, m["at"] + 1, m["n"] + after),
+            )).alias("description"),
+        ))
 
     return let(F.split(marked, MARK), cut)
 
