@@ -331,3 +331,10 @@ def catalog_checks(spark, d):
     handles = sold.join(c.select("entity_id", "id"), "entity_id").select(F.col("id").alias("entity_id"), "seller_id")
     known = G.table(spark, d, "part").filter("p_type <> 'PROMO'").select(F.col("p_type").alias("category")).distinct()
     return Q.catalog_checks(c, handles, known, min_sellers=9)
+
+
+@gate("keep_first_distinct", """WITH v AS (SELECT lang, doc_id, CASE WHEN doc_id % 2 = 0 THEN UPPER(source) ELSE source END AS v FROM documents)
+SELECT lang, ARG_MIN(v, doc_id) AS v, MIN(doc_id) AS doc_id FROM v GROUP BY lang, LOWER(v)""")
+def keep_first_distinct(spark, d):
+    v = F.when(F.col("doc_id") % 2 == 0, F.upper("source")).otherwise(F.col("source"))
+    return K.keep_first_distinct(G.table(spark, d, "documents").select("lang", "doc_id", v.alias("v")), ["lang"], "v", "doc_id")

@@ -226,6 +226,25 @@ def read_observations(spark, d):
         "entity_id", "seller_id", F.col("obs_date").cast("string").alias("obs_date"), "raw_tier", "price", "was_price", "available", "variant_id")
 
 
+@gate("read_observations_strict", SQL["read_observations"])
+def read_observations_strict(spark, d):
+    """Lines that are all sound, read in the mode that fails on a bad one."""
+    lines = observation_lines(spark, d)
+    sound = lines.filter(F.col("value").rlike(r"\}\s*$"))
+    return O.explode_sizes(O.parse_lines(sound, on_bad="fail")).select(
+        "entity_id", "seller_id", F.col("obs_date").cast("string").alias("obs_date"), "raw_tier", "price", "was_price", "available", "variant_id")
+
+
+@gate("record_files", "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey % 3 = 1 END AS active FROM supplier")
+def record_files(spark, d):
+    """Suppliers written as JSON array files, one per nation, and read back as records."""
+    key, path = F.col("s_suppkey"), _scratch(spark, "records")
+    record = F.struct(key.cast("string").alias("id"), F.col("s_name").alias("name"), F.when(key % 3 > 0, key % 3 == 1).alias("active"))
+    arrays = G.table(spark, d, "supplier").groupBy("s_nationkey").agg(F.to_json(F.collect_list(record)).alias("value"))
+    arrays.repartition("s_nationkey").write.partitionBy("s_nationkey").text(path)
+    return R.read_records(spark, path, "id STRING, name STRING, active BOOLEAN").select("id", "name", "active")
+
+
 def _scratch(spark, name):
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
