@@ -11,9 +11,12 @@ whose 2-bit signatures disagree in more than ``MOST_APART`` of 120 coordinates a
 expected and more than 41 have a chance below 1e-10.
 
 Equal sets are one class with one representative before anything is paired. In a bucket every representative is first
-compared with the smallest one only. Pairs inside one component need no further look, so only pairs of a bucket that are
-still in different components are compared then: links between different components are never missed, and a large
-group of near copies costs one comparison per member. All links are confirmed on the full shingle sets.
+compared with the hub only, the set with the fewest shingles that no other candidate has. Pairs inside one component need
+no further look, so only pairs of a bucket that are still in different components are looked at then. A bound leaves
+few of them: two sets share at most the smaller number of their shingles found in more than ``RARE`` candidates, plus the
+rarer ones that they have in common, which are counted by a join on these (at most RARE sets each). So links between
+components are never missed, and a large group of near copies costs about one comparison per member, also
+where many of its members are too far from all others. All links are confirmed on the full shingle sets.
 
 Null and empty texts, and texts without words, have no shingles and link with nothing. A null id links with nothing and
 is its own component. Rows with one id are one node: the links of any of its texts count. Other columns are ignored.
@@ -33,6 +36,7 @@ from offerlens.llm.scratch import Scratch
 COORDINATES = 120
 BAND = 5
 MOST_APART = 41
+RARE = 8
 _SIGN_BITS = 2
 _PER_LONG = 30  # coordinates in a signature column
 _SEEDS = words.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -116,21 +120,19 @@ def _apart(left: str, right: str) -> Column:
     return total
 
 
-def _near(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that their sizes and signatures allow to be near."""
-    side = lambda p: known.select(F.col("rep").alias(p), F.col("n").alias(f"{p}_n"), *[F.col(s).alias(f"{p}_{s}") for s in SIGNS])
-    both = rows.join(side("a"), "a").join(side("b"), "b")
-    least, most = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    return both.where((least * 100 >= most * percent) & (_apart("a_", "b_") <= MOST_APART)).select("a", "b").distinct()
+def _possible(percent: int, shared: Column) -> Column:
+    """Whether sets of a_n and b_n elements can be near with at most ``shared`` common ones, by their signatures as well."""
+    return ((100 + percent) * shared >= percent * (F.col("a_n") + F.col("b_n"))) & (_apart("a_", "b_") <= MOST_APART)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+def _sided(known: DataFrame, side: str) -> DataFrame:
+    return known.select(*[F.col(c).alias(side if c == "rep" else f"{side}_{c}") for c in known.columns])
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with similarity of at least ``percent`` on their full sets."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.join(wanted, "id", "left_semi")
-    sets = scratch.keep(texts.mapInArrow(_set_rows(k), f"id {dict(docs.dtypes)['id']}, elements array<long>"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("elements").alias("x")), "a")
+    both = both.join(sets.select(F.col("rep").alias("b"), F.col("elements").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     both = both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("sizes"))
     return both.where((F.col("shared") > 0) & (100 * F.col("shared") >= percent * (F.col("sizes") - F.col("shared")))).select("a", "b").distinct()
@@ -151,30 +153,52 @@ def near_duplicates(
     classes = nodes.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
     member = scratch.keep(nodes.select("id", "f1", "f2").join(classes, ["f1", "f2"]).select("id", "f1", "f2", "rep"))
     first = member.where("id = rep").select("f1", "f2", "rep").distinct()
-    reps = scratch.keep(nodes.join(first, (nodes["f1"] == first["f1"]) & (nodes["f2"] == first["f2"]) & (nodes["id"] == first["rep"]))
-                        .select("rep", "n", *SIGNS, "bands"))
-    known = reps.drop("bands")
+    texts_of = first.groupBy("rep").agg(F.count("*").alias("texts"))
+    rows = nodes.join(first.join(texts_of, "rep").withColumnsRenamed({"f1": "g1", "f2": "g2"}),
+                      (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("id") == F.col("rep")))
+    reps = scratch.keep(rows.select("rep", "n", "texts", *SIGNS, "bands"))
     bucketed = reps.select("rep", F.explode("bands").alias("bucket")).distinct()
-    hubs = bucketed.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").drop("last")
-    shared = scratch.keep(bucketed.join(hubs, "bucket"))
-    pairs = scratch.keep(_near(shared.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), known, percent))
+    crowded = bucketed.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("bucket")
+    shared = scratch.keep(bucketed.join(crowded, "bucket"))
+    # full sets of all representatives that have a candidate, and in how many of these sets each element is
+    texts = docs.join(shared.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    sets = scratch.keep(texts.mapInArrow(_set_rows(shingle), f"id {kind}, elements array<long>").withColumnRenamed("id", "rep"))
+    elements = sets.select("rep", F.explode("elements").alias("element")).distinct()
+    uses = elements.groupBy("element").agg(F.count("*").alias("uses"))
+    elements = scratch.keep(elements.join(uses, "element"))
+    counts = elements.groupBy("rep").agg(F.count_if(F.col("uses") == 1).alias("own"), F.count_if(F.col("uses") > RARE).alias("common"))
+    one = F.col("texts") == 1  # an id with several texts has no bounds but its size
+    known = scratch.keep(reps.join(counts, "rep").select(
+        "rep", "n", *SIGNS, F.when(one, F.col("own")).otherwise(0).alias("own"), F.when(one, F.col("common")).otherwise(F.col("n")).alias("common")))
+    # each bucket's hub is the set with the fewest elements of its own: the likeliest original of a group of copies
+    ranked = shared.join(known.select("rep", "own"), "rep")
+    hubs = ranked.groupBy("bucket").agg(F.min_by("rep", F.struct("own", "rep")).alias("hub"))
+    shared = scratch.keep(ranked.select("bucket", "rep").join(hubs, "bucket"))
+    pairs = shared.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = pairs.join(_sided(known, "a"), "a").join(_sided(known, "b"), "b")
+    pairs = pairs.where(_possible(percent, F.least(F.col("a_n") - F.col("a_own"), F.col("b_n") - F.col("b_own")))).select("a", "b").distinct()
     # an id with several texts is in several classes, which it joins
     several = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").drop("last")
     own = member.join(several, "id").select("a", F.col("rep").alias("b")).where("a < b")
-    links = _confirmed(pairs, docs, shingle, percent, scratch).unionByName(own)
+    links = _confirmed(pairs, sets, percent).unionByName(own)
     found = scratch.keep(components(links, scratch))
     # what the hubs have not joined: pairs across components, which no hub is part of
     rest = shared.where("rep != hub").join(found, F.col("rep") == F.col("node"), "left")
     rest = rest.select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    rest = rest.join(mixed, "bucket").join(known, "rep")
-    side = lambda p: rest.select("bucket", *[F.col(c).alias(f"{p}_{c}") for c in ("rep", "component", "n", *SIGNS)])
-    across = side("a").join(side("b"), "bucket").where(
-        (F.col("a_rep") < F.col("b_rep")) & (F.col("a_component") != F.col("b_component"))
-        & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (_apart("a_", "b_") <= MOST_APART))
-    across = scratch.keep(across.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct())
+    rest = scratch.keep(rest.join(mixed, "bucket"))
+    placed = scratch.keep(known.join(rest.select("rep", "component").distinct(), "rep"))
+    side = lambda p: rest.select("bucket", "rep").join(placed, "rep").select("bucket", *[F.col(c).alias(f"{p}_{c}") for c in placed.columns])
+    apart = (F.col("a_rep") < F.col("b_rep")) & (F.col("a_component") != F.col("b_component"))
+    common = F.least("a_common", "b_common")
+    across = side("a").join(side("b"), "bucket").where(apart & _possible(percent, common)).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    rare = elements.where((F.col("uses") > 1) & (F.col("uses") <= RARE)).join(placed.select("rep", "component"), "rep")
+    with_rare = lambda p: rare.select("element", *[F.col(c).alias(f"{p}_{c}") for c in ("rep", "component")])
+    met = with_rare("a").join(with_rare("b"), "element").where(apart).groupBy(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).agg(F.count("*").alias("met"))
+    met = met.join(_sided(placed, "a"), "a").join(_sided(placed, "b"), "b").where(_possible(percent, common + F.col("met"))).select("a", "b")
+    across = scratch.keep(across.unionByName(met).distinct())
     if not across.isEmpty():
-        more = scratch.keep(_confirmed(across, docs, shingle, percent, scratch))
+        more = scratch.keep(_confirmed(across, sets, percent))
         found = scratch.keep(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch))
     placed = member.select("id", "rep").join(found, F.col("rep") == F.col("node"), "left")
     placed = placed.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
