@@ -28,6 +28,7 @@ from offerlens.llm.scratch import Scratch
 
 TILE = 512          # vectors in a tile
 RUN = 16 * TILE     # vectors that are cut into tiles together
+PAIRS = 16          # tile pairs, of two tiles' vectors each, in an Arrow batch
 BLOCK = 16          # coordinates added between two looks at the bound
 BOX = 8             # axes of a tile's box
 SLACK = 1e-9        # for rounding in the bounds; the last product decides alone
@@ -237,7 +238,7 @@ def near_duplicates(
     body = tiles.select("label", "dim", "tile", "ids", "copies", "vecs")
     other = body.select("label", "dim", *[F.col(c).alias(f"{c}2") for c in ("tile", "ids", "copies", "vecs")])
     work = pairs.join(body, ["label", "dim", "tile"]).join(other, ["label", "dim", "tile2"])
-    found = scratch.keep(work.mapInArrow(_pair_rows(least), "node long, links long, root long"))
+    found = scratch.keep(work.mapInArrow(_pair_rows(least), "node long, links long, root long"), batch_rows=PAIRS)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     several = member.join(classes, ["label", "dim", "mark"]).select("id", "rep", "copies")
     placed = scratch.keep(several)

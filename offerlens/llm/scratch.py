@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from offerlens.session import checkpoint_dir
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 class Scratch:
     """A folder of Parquet tables under ``spark.checkpoint.dir``."""
@@ -16,11 +18,17 @@ class Scratch:
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
         self.count = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return it as read back."""
+    def keep(self, df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+        """Write ``df`` and return it as read back. ``batch_rows`` bounds the Arrow batches of wide rows meanwhile."""
         self.count += 1
         path = f"{self.root}/t{self.count}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(BATCH_ROWS)
+        try:
+            if batch_rows:
+                self.spark.conf.set(BATCH_ROWS, batch_rows)
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(BATCH_ROWS, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept
