@@ -15,6 +15,8 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from offerlens.llm.scratch import Scratch
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MOST_VOCABULARY_BYTES = 64 << 20
 #: The pieces that the vocabulary was made for.
@@ -61,7 +63,10 @@ def histogram(counted: DataFrame, length_col: str = "n_tokens") -> DataFrame:
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """Add, for every length L that occurs: docs_ge and tokens_ge (documents of L or more, and their tokens),
-    truncated_total (all tokens when texts are cut at L) and share_le (of documents with at most L)."""
+    truncated_total (all tokens when texts are cut at L) and share_le (of documents with at most L).
+
+    The histogram is written first: it is read twice, and encoding the texts again would cost most."""
+    hist = Scratch(hist.sparkSession).keep(hist)
     rows = hist.withColumn("range", F.floor(F.col("n_tokens") / RANGE)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     up = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
