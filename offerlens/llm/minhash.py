@@ -187,11 +187,13 @@ def near_duplicates(
     rest = rest.select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     rest = scratch.keep(rest.join(mixed, "bucket"))
-    placed = scratch.keep(known.join(rest.select("rep", "component").distinct(), "rep"))
+    listed = rest.groupBy("rep", "component").agg(F.collect_list("bucket").alias("buckets"))  # one per band at most
+    placed = scratch.keep(known.join(listed, "rep"))
     side = lambda p: rest.select("bucket", "rep").join(placed, "rep").select("bucket", *[F.col(c).alias(f"{p}_{c}") for c in placed.columns])
     apart = (F.col("a_rep") < F.col("b_rep")) & (F.col("a_component") != F.col("b_component"))
     common = F.least("a_common", "b_common")
-    across = side("a").join(side("b"), "bucket").where(apart & _possible(percent, common)).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    first_met = F.array_min(F.array_intersect("a_buckets", "b_buckets")) == F.col("bucket")  # a pair counts in one bucket
+    across = side("a").join(side("b"), "bucket").where(apart & _possible(percent, common) & first_met).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
     rare = elements.where((F.col("uses") > 1) & (F.col("uses") <= RARE)).join(placed.select("rep", "component"), "rep")
     with_rare = lambda p: rare.select("element", *[F.col(c).alias(f"{p}_{c}") for c in ("rep", "component")])
     met = with_rare("a").join(with_rare("b"), "element").where(apart).groupBy(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).agg(F.count("*").alias("met"))
