@@ -1,9 +1,10 @@
 """Line dedup with a log-template tree.
 
 A line goes down a tree of fixed depth: token count, then its first ``LEAD`` tokens; tokens with a digit are variable fields
-and all alike. At a leaf, lines are told apart by the tokens of ``SEGMENTS`` stretches (single tokens in short lines). A
-leaf's template keeps each stretch that at least half of its documents agree on; the others are variable fields. A line
-follows the template when at least ``SIMILAR`` of its stretches equal the template's. A template that lines of
+and all alike. At a leaf, lines are told apart by the tokens after these in ``SEGMENTS`` stretches (single tokens in short
+lines; lines of few tokens have fewer). A leaf's template keeps each stretch that at least half of its documents agree on;
+the others are variable fields. A line follows the template when at least ``SIMILAR`` of its stretches, rounded up, equal
+the template's: what the leaf implies anyhow is no evidence, and up to three stretches must all agree. A template that lines of
 ``MIN_DOCS`` or more documents follow recurs, and so does an exact form (digits aside) found in as many; lines of these
 are dropped. Documents of equal text count once, so copies of a document don't make its lines recur.
 
@@ -27,7 +28,7 @@ from offerlens.llm.scratch import Scratch
 
 LEAD = 3
 SEGMENTS = 8
-SIMILAR = 6
+SIMILAR = 0.75
 MIN_TOKENS = 5
 MIN_DOCS = 10
 _FIELD = np.uint64(0xA24BAED4963EE407)
@@ -37,7 +38,7 @@ _STRETCH = [f"g{k}" for k in range(SEGMENTS)]
 
 
 def parse(data: np.ndarray, at: np.ndarray):
-    """(row, line number, tokens, fields, leaf, whole, stretches) of every line that has tokens."""
+    """(row, line number, tokens, fields, leaf, whole, stretches beyond the leading tokens) of every line that has tokens."""
     lrow, lstart, _ = words.spans(data, at, _LINES)
     row, start, end = words.spans(data, at, words.SPACED)
     token, = words.hashes(data, start, end)
@@ -57,7 +58,8 @@ def parse(data: np.ndarray, at: np.ndarray):
     lead = place < LEAD
     np.add.at(leaf, own[lead], placed[lead])
     stretch = np.zeros(len(head) * SEGMENTS, np.uint64)
-    np.add.at(stretch, own * SEGMENTS + place * SEGMENTS // np.maximum(size, SEGMENTS), placed)
+    rest = ~lead
+    np.add.at(stretch, own[rest] * SEGMENTS + (place[rest] - LEAD) * SEGMENTS // np.maximum(size[rest] - LEAD, SEGMENTS), placed[rest])
     breaks = np.r_[0, np.cumsum(data == 10)]  # numbers of lines count empty ones as well
     number = breaks[lstart[line[head]]] - breaks[at[lrow[line[head]]]] if len(head) else head
     n = count.astype(np.uint64)
@@ -76,24 +78,25 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first &= (2 * fields <= count) & (count >= MIN_TOKENS)
             pick = pa.array(row + lo)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(number, pa.int32()),
+                [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(number, pa.int32()), pa.array(count, pa.int32()),
                  pa.array(leaf.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(first),
                  *[pa.array(np.ascontiguousarray(stretch[:, k])) for k in range(SEGMENTS)]],
-                names=["id", "key", "line", "leaf", "whole", "first", *_STRETCH])
+                names=["id", "key", "line", "tokens", "leaf", "whole", "first", *_STRETCH])
 
 
 def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(leaf, whole): the line forms to drop."""
     forms = lines.where("first").dropDuplicates(["key", "leaf", "whole"])  # documents of equal text count once
-    forms = forms.groupBy("leaf", "whole").agg(F.count("*").alias("docs"), *[F.first(g).alias(g) for g in _STRETCH])
+    forms = forms.groupBy("leaf", "whole").agg(F.count("*").alias("docs"), F.first("tokens").alias("tokens"), *[F.first(g).alias(g) for g in _STRETCH])
     leaves = forms.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("forms")).where((F.col("all") >= min_docs) & (F.col("forms") > 1))
     shared = forms.join(leaves.select("leaf", "all"), "leaf")
     part = shared.select("leaf", "all", "docs", F.posexplode(F.array(*_STRETCH)).alias("k", "g"))
     part = part.groupBy("leaf", "all", "k", "g").agg(F.sum("docs").alias("docs")).where("2 * docs >= all")
     part = part.groupBy("leaf", "k").agg(F.min_by("g", F.struct(-F.col("docs"), "g")).alias("g"))
     template = part.groupBy("leaf").agg(*[F.max(F.when(F.col("k") == k, F.col("g"))).alias(f"t{k}") for k in range(SEGMENTS)])
-    like = sum(((F.coalesce(F.col(g) == F.col(f"t{k}"), F.lit(False))).cast("int") for k, g in enumerate(_STRETCH)), F.lit(0))
-    follow = shared.join(template, "leaf").where(like >= SIMILAR).select("leaf", "whole", "docs")
+    held = F.least(F.col("tokens") - LEAD, F.lit(SEGMENTS))  # stretches with tokens
+    like = sum(((F.coalesce(F.col(g) == F.col(f"t{k}"), F.lit(False)) & (k < held)).cast("int") for k, g in enumerate(_STRETCH)), F.lit(0))
+    follow = shared.join(template, "leaf").where((held > 0) & (like >= SIMILAR * held)).select("leaf", "whole", "docs")
     many = follow.groupBy("leaf").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
     return forms.where(F.col("docs") >= min_docs).select("leaf", "whole").unionByName(follow.join(many, "leaf").select("leaf", "whole")).distinct()
 
@@ -107,7 +110,7 @@ def rate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min
     kind = dict(docs.dtypes)[id_col]
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"), text.alias("text"))
-    lines = scratch.keep(rows.mapInArrow(_line_rows, f"id {kind}, key long, line int, leaf long, whole long, first boolean, "
+    lines = scratch.keep(rows.mapInArrow(_line_rows, f"id {kind}, key long, line int, tokens int, leaf long, whole long, first boolean, "
                                          + ", ".join(f"{g} int" for g in _STRETCH)))
     bad = recurring(lines, min_docs).withColumn("bad", F.lit(True))
     own = lines.select("id", "key", "line", "leaf", "whole").join(bad, ["leaf", "whole"], "left")

@@ -41,6 +41,13 @@ def test_lines_of_fields_are_kept(spark, documents):
     assert {r.n_dropped for r in line_dedup.summary(documents([(i, f"row {i} 1 2 3 4 5\nx{chr(97 + i % 26)}{i}") for i in range(40)])).collect()} == {0}
 
 
+def test_equal_leading_words_alone_do_not_make_lines_recur(spark, documents):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("hijklmn", k=7))
+    data = [(i, "\n".join("How to make " + " ".join(word() for _ in range(n)) for n in (2, 3, 4))) for i in range(60)]
+    assert {(r.n_lines, r.n_dropped) for r in line_dedup.summary(documents(data)).collect()} == {(3, 0)}
+
+
 def test_empty_table(spark, documents):
     assert line_dedup.summary(documents([])).count() == 0
     assert line_dedup.clean(documents([])).count() == 0
