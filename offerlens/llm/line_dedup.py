@@ -6,7 +6,8 @@ lines; lines of few tokens have fewer). A leaf's template keeps each stretch tha
 the others are variable fields. A line follows the template when at least ``SIMILAR`` of its stretches, rounded up, equal
 the template's: what the leaf implies anyhow is no evidence, and up to three stretches must all agree. A template that lines of
 ``MIN_DOCS`` or more documents follow recurs, and so does an exact form (digits aside) found in as many; lines of these
-are dropped. Documents of equal text count once, so copies of a document don't make its lines recur.
+are dropped. Documents of equal text count once, so copies of a document don't make its lines recur, and a document
+counts once for all its lines of a template.
 
 Everything about a leaf is a grouped sum, so no leaf is gathered in one task. Texts are scanned once; what is shuffled
 is some 80 bytes per line.
@@ -86,18 +87,20 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(leaf, whole): the line forms to drop."""
-    forms = lines.where("first").dropDuplicates(["key", "leaf", "whole"])  # documents of equal text count once
-    forms = forms.groupBy("leaf", "whole").agg(F.count("*").alias("docs"), F.first("tokens").alias("tokens"), *[F.first(g).alias(g) for g in _STRETCH])
-    leaves = forms.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("forms")).where((F.col("all") >= min_docs) & (F.col("forms") > 1))
-    shared = forms.join(leaves.select("leaf", "all"), "leaf")
-    part = shared.select("leaf", "all", "docs", F.posexplode(F.array(*_STRETCH)).alias("k", "g"))
-    part = part.groupBy("leaf", "all", "k", "g").agg(F.sum("docs").alias("docs")).where("2 * docs >= all")
+    own = lines.where("first").dropDuplicates(["key", "leaf", "whole"])  # documents of equal text count once
+    forms = own.groupBy("leaf", "whole").agg(F.count("*").alias("docs"), F.first("tokens").alias("tokens"), *[F.first(g).alias(g) for g in _STRETCH])
+    # sums over forms are bounds only: a document may hold many forms of a leaf, and counts once
+    leaves = forms.groupBy("leaf").agg(F.sum("docs").alias("most"), F.count("*").alias("forms")).where((F.col("most") >= min_docs) & (F.col("forms") > 1))
+    held = own.join(leaves.select("leaf"), "leaf")
+    leaves = held.select("leaf", "key").distinct().groupBy("leaf").agg(F.count("*").alias("all")).where(F.col("all") >= min_docs)
+    part = held.join(leaves, "leaf").select("leaf", "all", "key", F.posexplode(F.array(*_STRETCH)).alias("k", "g")).distinct()
+    part = part.groupBy("leaf", "all", "k", "g").agg(F.count("*").alias("docs")).where("2 * docs >= all")
     part = part.groupBy("leaf", "k").agg(F.min_by("g", F.struct(-F.col("docs"), "g")).alias("g"))
     template = part.groupBy("leaf").agg(*[F.max(F.when(F.col("k") == k, F.col("g"))).alias(f"t{k}") for k in range(SEGMENTS)])
-    held = F.least(F.col("tokens") - LEAD, F.lit(SEGMENTS))  # stretches with tokens
-    like = sum(((F.coalesce(F.col(g) == F.col(f"t{k}"), F.lit(False)) & (k < held)).cast("int") for k, g in enumerate(_STRETCH)), F.lit(0))
-    follow = shared.join(template, "leaf").where((held > 0) & (like >= SIMILAR * held)).select("leaf", "whole", "docs")
-    many = follow.groupBy("leaf").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
+    beyond = F.least(F.col("tokens") - LEAD, F.lit(SEGMENTS))  # stretches with tokens
+    like = sum(((F.coalesce(F.col(g) == F.col(f"t{k}"), F.lit(False)) & (k < beyond)).cast("int") for k, g in enumerate(_STRETCH)), F.lit(0))
+    follow = held.join(template, "leaf").where((beyond > 0) & (like >= SIMILAR * beyond)).select("leaf", "whole", "key")
+    many = follow.select("leaf", "key").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
     return forms.where(F.col("docs") >= min_docs).select("leaf", "whole").unionByName(follow.join(many, "leaf").select("leaf", "whole")).distinct()
 
 

@@ -48,6 +48,14 @@ def test_equal_leading_words_alone_do_not_make_lines_recur(spark, documents):
     assert {(r.n_lines, r.n_dropped) for r in line_dedup.summary(documents(data)).collect()} == {(3, 0)}
 
 
+def test_similar_lines_of_one_document_do_not_recur(spark, documents):
+    line = lambda i: f"The list holds an item of {chr(97 + i)}{chr(97 + i)} for every customer of this shop"
+    alone = [(1, "\n".join(line(i) for i in range(20))), (2, "some other text of its own here")]
+    assert {r.n_dropped for r in line_dedup.summary(documents(alone)).collect()} == {0}
+    spread = [(k, line(2 * k) + "\n" + line(2 * k + 1)) for k in range(10)]
+    assert {r.n_dropped for r in line_dedup.summary(documents(spread)).collect()} == {2}
+
+
 def test_empty_table(spark, documents):
     assert line_dedup.summary(documents([])).count() == 0
     assert line_dedup.clean(documents([])).count() == 0
