@@ -153,7 +153,8 @@ def near_duplicates(
     classes = nodes.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
     member = scratch.keep(nodes.select("id", "f1", "f2").join(classes, ["f1", "f2"]).select("id", "f1", "f2", "rep"))
     first = member.where("id = rep").select("f1", "f2", "rep").distinct()
-    texts_of = first.groupBy("rep").agg(F.count("*").alias("texts"))
+    # all texts of an id, as the sets below hold them all, also those of classes that another id represents
+    texts_of = member.select("id", "f1", "f2").distinct().groupBy(F.col("id").alias("rep")).agg(F.count("*").alias("texts"))
     rows = nodes.join(first.join(texts_of, "rep").withColumnsRenamed({"f1": "g1", "f2": "g2"}),
                       (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("id") == F.col("rep")))
     reps = scratch.keep(rows.select("rep", "n", "texts", *SIGNS, "bands"))

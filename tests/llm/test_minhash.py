@@ -61,6 +61,14 @@ def test_groups_that_one_hub_does_not_join(spark, documents):
     assert got == expected(rows, 3, 85)
 
 
+def test_an_id_with_a_text_that_another_id_represents(spark, documents):
+    a = [f"a{i}" for i in range(100)]
+    rows = [(10, " ".join(a)), (10, " ".join(f"c{i}" for i in range(300))), (5, " ".join(f"c{i}" for i in range(300))),
+            (20, " ".join([*a[:-1], "other"]))]
+    got = {r.id: r.component_id for r in minhash.near_duplicates(documents(rows), shingle=3, percent=85).collect()}
+    assert got == expected(rows, 3, 85) == {5: 5, 10: 5, 20: 5}
+
+
 def test_large_group_of_near_copies(spark, documents):
     rng, base = random.Random(1), [f"g{i}" for i in range(200)]
     rows = []
