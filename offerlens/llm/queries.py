@@ -75,7 +75,7 @@ LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefgh
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, and how many and which follow a template that recurs across documents."""
-    out = line_dedup.summary(table(spark, sf_dir, "documents"))
+    out = line_dedup.summary(table(spark, sf_dir, "documents"), min_tokens=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.array_join("dropped", ",").alias("dropped"))
 
 

@@ -56,6 +56,26 @@ def test_similar_lines_of_one_document_do_not_recur(spark, documents):
     assert {r.n_dropped for r in line_dedup.summary(documents(spread)).collect()} == {2}
 
 
+def test_short_long_and_mixed_lines_recur(spark, documents):
+    """Short exact lines, long lines in a few documents, and templates that hold a small part of their leaf."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("opqrstu", k=7))
+    passage = "this passage " + " ".join(word() for _ in range(50))
+    data = []
+    for i in range(60):
+        parts = [" ".join(word() for _ in range(12)), "All rights reserved.", f"We now have {' '.join(word() for _ in range(8))}"]
+        parts.append(passage if i < 3 else "")
+        kind = ("seen at the north gate by guards", "sold from a small shop near town") if i < 24 else ()
+        parts.append(f"We now have {word()} {kind[i % 2]}" if kind else "")
+        data.append((i, "\n".join(parts)))
+    got = {r.doc_id: r.dropped for r in line_dedup.summary(documents(data), min_tokens=1).collect()}
+    keepers = [i for i in range(3) if 3 not in got[i]]
+    assert len(keepers) == 1
+    for i in range(60):
+        assert got[i] == [1] + ([3] if i < 3 and i not in keepers else []) + ([4] if i < 24 else [])
+    assert all(1 not in r.dropped for r in line_dedup.summary(documents(data)).collect())
+
+
 def test_empty_table(spark, documents):
     assert line_dedup.summary(documents([])).count() == 0
     assert line_dedup.clean(documents([])).count() == 0
