@@ -3,8 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import public_tokenizers
+
 from offerlens.llm import (
-    decontamination, embeddings, licenses, line_dedup, minhash, mixing, quality, sharding, token_counts, toxicity,
+    bpe, decontamination, embeddings, licenses, line_dedup, minhash, mixing, quality, sharding, token_counts, toxicity,
 )
 from offerlens.llm.tables import table
 
@@ -86,6 +88,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(counted))
 
 
+@query
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as token ids and back."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, keep=["doc_id"])
+    ids = ids.withColumn("ids_sha256", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256))
+    out = bpe.decode(ids, ranks, keep=["doc_id", "n_tokens", "ids_sha256"])
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 SQL["op7_decontamination"] = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
