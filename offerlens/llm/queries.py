@@ -7,6 +7,7 @@ import public_tokenizers
 
 from offerlens.llm import (
     bpe, decontamination, embeddings, licenses, line_dedup, minhash, mixing, quality, sharding, token_counts, toxicity,
+    vector_codes,
 )
 from offerlens.llm.tables import table
 
@@ -98,6 +99,14 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as four bytes each, by four rounds of exact integer clustering."""
+    out, book = vector_codes.quantize(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error",
+                      F.lit(vector_codes.codebooks_sha256(book)).alias("codebooks_sha256"))
+
+
 SQL["op7_decontamination"] = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -167,3 +176,32 @@ FROM w LEFT JOIN pb USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN sc USIN
 
 
 SQL["op4_licenses"] = _license_sql()
+
+
+def _vector_codes_sql(rounds: int = 4) -> str:
+    """Every part against every entry, round by round."""
+    dist = "list_dot_product(p.x, p.x) - 2 * list_dot_product(p.x, c.x) + list_dot_product(c.x, c.x)"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT p.row, p.part, arg_min(c.entry, ({dist}, c.entry)) AS entry, min({dist}) AS error
+  FROM p JOIN c{r} c ON c.part = p.part GROUP BY 1, 2)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS MATERIALIZED (SELECT part, entry, list(m ORDER BY i) AS x FROM (
+    SELECT p.part, a.entry, i, floor(sum(p.x[i]) / count(*)) AS m FROM p JOIN a{r} a ON a.row = p.row AND a.part = p.part,
+      LATERAL (SELECT unnest(range(1, len(p.x) + 1)) AS i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+c{r + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(s.x, c.x) AS x FROM c{r} c LEFT JOIN s{r} s ON s.part = c.part AND s.entry = c.entry)""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS row, vec_id, label,
+    list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT row, part, list_slice(e, part * (len(e) // 4) + 1, (part + 1) * (len(e) // 4)) AS x
+  FROM v, (SELECT unnest(range(4)) AS part)),
+c0 AS MATERIALIZED (SELECT part, row - 1 AS entry, x FROM p WHERE row <= 256),
+{", ".join(steps)},
+b AS (SELECT sha256(string_agg(list_aggregate(list_transform(x, lambda y: y::BIGINT::VARCHAR), 'string_agg', ','), ',' ORDER BY part, entry)) AS h FROM c{rounds}),
+o AS (SELECT row, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(error)::BIGINT AS error FROM a{rounds} GROUP BY 1)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM v JOIN o USING (row), b
+"""
+
+
+SQL["op12_vector_codes"] = _vector_codes_sql()
