@@ -21,12 +21,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from offerlens.llm.scratch import Scratch
 
-BLOCK = 4 << 20           # characters of text in a block
+BLOCK = 8 << 20           # characters of text in a block
 MOST_CACHED = 1_000_000   # words whose ids a task keeps; one that meets more starts anew
 MOST_VOCABULARY_BYTES = 64 << 20
 ENCODED = ("ids", "n_tokens")
@@ -112,18 +113,21 @@ def pieces(texts: Sequence[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
                 begins[i + 1], begins[stop] = False, True
                 break
     width = 1 + (code >= 0x80).astype(np.int8) + (code >= 0x800) + (code >= 0x10000)
-    at = np.zeros(n + 1, np.int64)
+    at = np.zeros(n + 1, np.int32 if n < 1 << 29 else np.int64)
     np.cumsum(width, out=at[1:])
     start = np.flatnonzero(begins)
     row = np.searchsorted(ends, start[:-1], "left")
     row[kind[start[:-1]] == END] = -1
-    return joined.encode(), at[start], row
+    return joined.encode(), at[start].astype(np.int64), row
 
 
 def _planes(values: np.ndarray) -> bytes:
     """Numbers below 2^32 as compressed planes of bytes: high bytes are mostly zero."""
-    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return _packed(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _packed(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
 
 
 def _from_planes(data: bytes, n: int) -> np.ndarray:
@@ -140,25 +144,33 @@ def _block(texts: list[str], parts: int) -> dict:
     inside = row >= 0
     coded = words.filter(pa.array(inside)).dictionary_encode()
     place = coded.indices.to_numpy()
-    order = np.argsort(-np.bincount(place, minlength=len(coded.dictionary)), kind="stable")
+    found = coded.dictionary
+    part = np.fromiter((zlib.crc32(w.as_py()) % parts for w in found), np.int64, len(found))
+    spelled = np.empty(len(found), np.int64)
+    spelled[pc.sort_indices(found).to_numpy()] = np.arange(len(found))
+    # frequent words have small numbers; among equally frequent ones those of a part stand together, in order
+    order = np.lexsort((spelled, part, -np.bincount(place, minlength=len(found))))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    distinct = coded.dictionary.take(pa.array(order)).to_pylist()
-    part = np.fromiter((zlib.crc32(w) % parts for w in distinct), np.int64, len(distinct))
-    dealt: list[list[bytes]] = [[] for _ in range(parts)]
-    for w, p in zip(distinct, part.tolist(), strict=True):
-        dealt[p].append(w)
+    dealt: dict[int, list[bytes]] = {}
+    for w, p in zip(found.take(pa.array(order)).to_pylist(), part[order].tolist(), strict=True):
+        dealt.setdefault(p, []).append(w)
+    words = []
+    for p, ws in sorted(dealt.items()):
+        joined = b"".join(ws)
+        sizes = _planes(np.fromiter(map(len, ws), np.int64, len(ws)))
+        words.append({"part": p, "n": len(ws), "sizes": sizes, "length": len(joined), "bytes": _packed(joined)})
     return {
         "pieces": np.bincount(row[inside], minlength=len(texts)),
         "places": _planes(rank[place]), "n_places": len(place),
-        "part_of": _planes(part), "n_words": len(distinct),
-        "words": [{"part": p, "bytes": b"".join(ws), "sizes": [len(w) for w in ws]} for p, ws in enumerate(dealt) if ws],
+        "part_of": _planes(part[order]), "n_words": len(order), "words": words,
     }
 
 
 BLOCK_ROW = ("places binary, n_places long, part_of binary, n_words long, "
-             "words array<struct<part: int, bytes: binary, sizes: array<int>>>")
-WORDS_TYPE = pa.list_(pa.struct([("part", pa.int32()), ("bytes", pa.binary()), ("sizes", pa.list_(pa.int32()))]))
+             "words array<struct<part: int, n: int, sizes: binary, length: long, bytes: binary>>")
+WORDS_TYPE = pa.list_(pa.struct([("part", pa.int32()), ("n", pa.int32()), ("sizes", pa.binary()), ("length", pa.int64()), ("bytes", pa.binary())]))
+IDS_ROW = "block string, part int, n int, sizes binary, n_ids long, ids binary"
 
 
 def _blocks(docs: DataFrame, text_col: str, keep: list[str], parts: int) -> DataFrame:
@@ -192,14 +204,15 @@ def _blocks(docs: DataFrame, text_col: str, keep: list[str], parts: int) -> Data
 
 
 def _encoded_words(words: DataFrame, ranks) -> DataFrame:
-    """(block, part, ids, sizes): the ids of a block's words of one part, and how many each word has."""
+    """The ids of a block's words of one part, and how many each word has."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, known = _core(ranks.value).encode_single_piece, {}
         for batch in batches:
-            ids, counts = [], []
-            for data, sizes in zip(batch.column("bytes"), batch.column("sizes"), strict=True):
-                data, row_ids, row_counts, at = data.as_py(), [], [], 0
-                for size in sizes.as_py():
+            sizes_out, n_ids, ids_out = [], [], []
+            for r in batch.select(["n", "sizes", "length", "bytes"]).to_pylist():
+                data = pa.decompress(r["bytes"], r["length"], codec="zstd", asbytes=True)
+                ids, counts, at = [], [], 0
+                for size in _from_planes(r["sizes"], r["n"]).tolist():
                     word = data[at: at + size]
                     at += size
                     got = known.get(word)
@@ -207,15 +220,16 @@ def _encoded_words(words: DataFrame, ranks) -> DataFrame:
                         if len(known) >= MOST_CACHED:
                             known.clear()
                         got = known[word] = encode(word)
-                    row_ids += got
-                    row_counts.append(len(got))
-                ids.append(np.array(row_ids, np.int32))
-                counts.append(np.array(row_counts, np.int32))
+                    ids += got
+                    counts.append(len(got))
+                sizes_out.append(_planes(np.array(counts)))
+                n_ids.append(len(ids))
+                ids_out.append(_planes(np.array(ids)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("part"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
-                names=["block", "part", "ids", "sizes"])
+                [*(batch.column(c) for c in ("block", "part", "n")), pa.array(sizes_out, pa.binary()), pa.array(n_ids, pa.int64()),
+                 pa.array(ids_out, pa.binary())], names=["block", "part", "n", "sizes", "n_ids", "ids"])
 
-    return words.mapInArrow(rows, "block string, part int, ids array<int>, sizes array<int>")
+    return words.mapInArrow(rows, IDS_ROW)
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -232,10 +246,9 @@ def _put_together(left: pa.Table, right: pa.Table) -> pa.Table:
     docs = docs.flatten()
     row = {c: left.column(c)[0].as_py() for c in ("places", "n_places", "part_of", "n_words")}
     part_of, place = _from_planes(row["part_of"], row["n_words"]), _from_planes(row["places"], row["n_places"])
-    right = right.sort_by("part").combine_chunks()
-    flat = lambda c: (np.concatenate([x.values.to_numpy(zero_copy_only=False) for x in right.column(c)])
-                      if right.num_rows else np.zeros(0, np.int32))
-    ids, got = flat("ids"), flat("sizes").astype(np.int64)
+    parts = right.sort_by("part").to_pylist()
+    flat = lambda c, n: np.concatenate([np.zeros(0, np.int64), *(_from_planes(r[c], r[n]) for r in parts)])
+    ids, got = flat("ids", "n_ids"), flat("sizes", "n")
     order = np.argsort(part_of, kind="stable")
     size, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
     size[order] = got
