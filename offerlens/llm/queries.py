@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
 from offerlens.llm import (
-    bpe, decontamination, embeddings, licenses, line_dedup, minhash, mixing, quality, sharding, token_counts, toxicity,
+    bpe, conversations, decontamination, embeddings, licenses, line_dedup, minhash, mixing, quality, sharding, token_counts, toxicity,
     vector_codes,
 )
 from offerlens.llm.tables import table
@@ -107,6 +107,14 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(vector_codes.codebooks_sha256(book)).alias("codebooks_sha256"))
 
 
+@query
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of damaged conversations, and the least edits that mend their turns."""
+    rows = table(spark, sf_dir, "conversations")
+    digests = conversations.digest(conversations.repair(conversations.damage(rows)))
+    return conversations.summarize(rows, digests)
+
+
 SQL["op7_decontamination"] = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
