@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from offerlens.llm.scratch import Scratch
 
-BLOCK = 8 << 20           # characters of text in a block
+BLOCK = 16 << 20          # characters of text in a block
+AT_ONCE = 4 << 20         # characters whose pieces are found, or pieces that are put together, at once
 MOST_CACHED = 1_000_000   # words whose ids a task keeps; one that meets more starts anew
 MOST_VOCABULARY_BYTES = 64 << 20
 ENCODED = ("ids", "n_tokens")
@@ -137,13 +138,28 @@ def _from_planes(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
+def _stop(texts: list[str], lo: int, most: int) -> int:
+    """End of the texts from ``lo`` on that are at most ``most`` characters together; one text at least."""
+    hi, size = lo + 1, len(texts[lo])
+    while hi < len(texts) and size + len(texts[hi]) <= most:
+        size += len(texts[hi])
+        hi += 1
+    return hi
+
+
 def _block(texts: list[str], parts: int) -> dict:
     """Distinct words of the texts, most frequent first, dealt into parts; and what stands where."""
-    data, starts, row = pieces(texts)
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)])
-    inside = row >= 0
-    coded = words.filter(pa.array(inside)).dictionary_encode()
-    place = coded.indices.to_numpy()
+    cut, counts, lo = [], [], 0
+    while lo < len(texts):
+        hi = _stop(texts, lo, AT_ONCE)
+        data, starts, row = pieces(texts[lo:hi])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)])
+        cut.append(words.filter(pa.array(row >= 0)))
+        counts.append(np.bincount(row[row >= 0], minlength=hi - lo))
+        lo = hi
+    coded = pa.chunked_array(cut, pa.large_binary()).dictionary_encode().combine_chunks()
+    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+    cut, place = None, coded.indices.to_numpy()
     found = coded.dictionary
     part = np.fromiter((zlib.crc32(w.as_py()) % parts for w in found), np.int64, len(found))
     spelled = np.empty(len(found), np.int64)
@@ -161,7 +177,7 @@ def _block(texts: list[str], parts: int) -> dict:
         sizes = _planes(np.fromiter(map(len, ws), np.int64, len(ws)))
         words.append({"part": p, "n": len(ws), "sizes": sizes, "length": len(joined), "bytes": _packed(joined)})
     return {
-        "pieces": np.bincount(row[inside], minlength=len(texts)),
+        "pieces": np.concatenate(counts),
         "places": _planes(rank[place]), "n_places": len(place),
         "part_of": _planes(part[order]), "n_words": len(order), "words": words,
     }
@@ -182,10 +198,7 @@ def _blocks(docs: DataFrame, text_col: str, keep: list[str], parts: int) -> Data
             kept = batch.columns[1:]
             lo = 0
             while lo < len(texts):
-                hi, size = lo + 1, len(texts[lo])
-                while hi < len(texts) and size + len(texts[hi]) <= BLOCK:
-                    size += len(texts[hi])
-                    hi += 1
+                hi = _stop(texts, lo, BLOCK)
                 b = _block(texts[lo:hi], parts)
                 held = pa.StructArray.from_arrays(
                     [*(c.slice(lo, hi - lo) for c in kept), pa.array(b["pieces"], pa.int64())],
@@ -238,17 +251,29 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)
 
 
-def _put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A block's texts as ids: each place takes the ids of its word."""
-    left = left.combine_chunks()
+def _decoded(lists: pa.ListArray, table: pa.LargeBinaryArray) -> pa.Array:
+    """The bytes of lists of ids, looked up in the table of token bytes."""
+    unknown = len(table) - 1
+    ids = lists.flatten().fill_null(unknown).to_numpy(zero_copy_only=False)
+    ids = np.where((ids < 0) | (ids > unknown), unknown, ids)
+    cut = np.zeros(len(lists) + 1, np.int64)
+    np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), out=cut[1:])
+    taken = table.take(pa.array(ids))
+    at = np.frombuffer(taken.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+    valid = lists.is_valid().buffers()[1] if lists.null_count else None
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(lists), [valid, pa.py_buffer(np.ascontiguousarray(at[cut])), taken.buffers()[2]]).cast(pa.binary())
+
+
+def _put_together(left: pa.Table, right: pa.Table, ranks) -> pa.Table:
+    """A block's texts as ids: each place takes the ids of its word. With ``ranks`` they are decoded, too."""
     docs = left.column("docs").combine_chunks()
-    docs = docs.chunk(0) if isinstance(docs, pa.ChunkedArray) else docs
-    docs = docs.flatten()
+    docs = (docs.chunk(0) if isinstance(docs, pa.ChunkedArray) else docs).flatten()
     row = {c: left.column(c)[0].as_py() for c in ("places", "n_places", "part_of", "n_words")}
     part_of, place = _from_planes(row["part_of"], row["n_words"]), _from_planes(row["places"], row["n_places"])
     parts = right.sort_by("part").to_pylist()
     flat = lambda c, n: np.concatenate([np.zeros(0, np.int64), *(_from_planes(r[c], r[n]) for r in parts)])
-    ids, got = flat("ids", "n_ids"), flat("sizes", "n")
+    ids, got = flat("ids", "n_ids").astype(np.int32), flat("sizes", "n")
     order = np.argsort(part_of, kind="stable")
     size, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
     size[order] = got
@@ -257,10 +282,16 @@ def _put_together(left: pa.Table, right: pa.Table) -> pa.Table:
     np.cumsum(size[place], out=tokens[1:])
     cut = np.zeros(len(docs) + 1, np.int64)
     np.cumsum(docs.field("pieces").to_numpy(), out=cut[1:])
-    values = ids[_ranges(start[place], size[place])].astype(np.int32)
+    values = np.empty(tokens[-1], np.int32)
+    for lo in range(0, len(place), AT_ONCE // 8):
+        some = place[lo: lo + AT_ONCE // 8]
+        values[tokens[lo]: tokens[lo + len(some)]] = ids[_ranges(start[some], size[some])]
     lists = pa.ListArray.from_arrays(pa.array(tokens[cut].astype(np.int32)), pa.array(values))
-    columns = [docs.field(i) for i in range(docs.type.num_fields - 1)]
-    return pa.Table.from_arrays([*columns, lists], names=[*(f"c{i}" for i in range(len(columns))), "ids"])
+    columns = [*(docs.field(i) for i in range(docs.type.num_fields - 1)), lists]
+    names = [*(f"c{i}" for i in range(len(columns) - 1)), "ids"]
+    if ranks is not None:
+        columns, names = [*columns, _decoded(lists, _token_bytes(ranks.value))], [*names, "decoded"]
+    return pa.Table.from_arrays(columns, names=names)
 
 
 def _vocabulary(spark: SparkSession, path: str):
@@ -271,19 +302,25 @@ def _vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(bytes(found["content"]))
 
 
-def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all but the text) plus ids (array<int>) and n_tokens, one row per document."""
+def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", keep: list[str] | None = None, and_decode: bool = False) -> DataFrame:
+    """The columns ``keep`` (all but the text) plus ids (array<int>) and n_tokens, one row per document.
+
+    With ``and_decode`` also ``decoded``, which ``decode`` would give for the ids, without another pass over them.
+    """
     spark = docs.sparkSession
     ranks, parts = _vocabulary(spark, vocabulary), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ENCODED and (keep is not None or c != text_col)]
+    results = (*ENCODED, "decoded") if and_decode else ENCODED
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in results and (keep is not None or c != text_col)]
     scratch = Scratch(spark)
     blocks = scratch.keep(_blocks(docs, text_col, keep, parts))
     words = blocks.select("block", F.explode("words").alias("w")).select("block", "w.*")
     encoded = _encoded_words(words.repartition("part"), ranks)
     kinds = "".join(f"c{i} {f.dataType.simpleString()}, " for i, f in enumerate(docs.select(*[f"`{c}`" for c in keep]).schema))
-    held = blocks.select("block", "docs", "places", "n_places", "part_of", "n_words")
-    out = held.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_put_together, f"{kinds}ids array<int>")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "ids", F.size("ids").cast("long").alias("n_tokens"))
+    held, table = blocks.select("block", "docs", "places", "n_places", "part_of", "n_words"), ranks if and_decode else None
+    out = held.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(
+        lambda left, right: _put_together(left, right, table), f"{kinds}ids array<int>" + ", decoded binary" * and_decode)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "ids", F.size("ids").cast("long").alias("n_tokens"),
+                      *["decoded"] * and_decode)
 
 
 def decode(
@@ -294,20 +331,9 @@ def decode(
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _token_bytes(ranks.value)
-        unknown = len(table) - 1
         for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            ids = lists.flatten().fill_null(unknown).to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = np.where((ids < 0) | (ids > unknown), unknown, ids)
-            cut = np.zeros(len(lists) + 1, np.int64)
-            np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), out=cut[1:])
-            taken = table.take(pa.array(ids))
-            at = np.frombuffer(taken.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
-            offsets = pa.py_buffer(np.ascontiguousarray(at[cut]))
-            null = lists.is_null().to_numpy(zero_copy_only=False)
-            whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, offsets, taken.buffers()[2]])
-            whole = pa.array([None if gone else x for gone, x in zip(null, whole.to_pylist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, whole], names=[*batch.schema.names, "_bytes"])
+            decoded = _decoded(batch.column(batch.num_columns - 1), table)
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "_bytes"])
 
     kept = [c for c in (encoded.columns if keep is None else keep) if c != out_col]
     asked = encoded.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(ids_col).cast("array<int>").alias("_ids"))

@@ -41,6 +41,7 @@ def test_pieces_are_those_of_the_pattern():
 
 def test_against_the_library(spark, documents, brute, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK", 700)  # many blocks
+    monkeypatch.setattr(bpe, "AT_ONCE", 90)
     monkeypatch.setattr(bpe, "MOST_CACHED", 40)
     rng = random.Random(8)
     texts = [said(rng, rng.randint(0, 60)) for _ in range(300)] + ["", None, "same text", "same text", "word " * 3000]
