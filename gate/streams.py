@@ -10,9 +10,9 @@ from gate import tables as G
 from gate.base import Gate
 from gate.history import RUNS, STAMP
 from gate.state import STATE_SQL, link_events
-from offerlens.schemas import LINK_STATE
 from offerlens.session import checkpoint_dir
 from offerlens.streaming import jobs as T
+from offerlens.streaming import keyed as Y
 
 gate = Gate()
 QUERIES, SQL = gate.queries, gate.sql
@@ -63,17 +63,129 @@ def stream_daily_low(spark, d):
     return run_to_table(T.stream_daily_low(observations(spark, d)), "complete").withColumn("day", F.col("day").cast("string"))
 
 
+STEPS = 4
+
+
+def in_steps(spark, df, step, steps, query):
+    """Land ``df`` in ``steps`` parts, by the column ``step``, and run the stream over each part as it lands; it stops
+    after each and goes on from its checkpoint. ``query`` makes the writer of a stream. Returns the base folder."""
+    base = os.path.join(checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
+    landed, parts = os.path.join(base, "landed"), df.withColumn("_step", step)
+    for i in range(steps):
+        parts.filter(F.col("_step") == i).drop("_step").write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(df.schema).parquet(landed)
+        q = query(stream, base).option("checkpointLocation", os.path.join(base, "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return base
+
+
+def to_folder(df, base, mode):
+    """Each batch in a folder of its own, which a repeated batch overwrites."""
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(os.path.join(base, "out", f"b={batch_id}"))
+
+    return df.writeStream.outputMode(mode).foreachBatch(write)
+
+
+def by_time(ts, first, last, steps):
+    """Number of the equal stretch of time that ``ts`` lies in."""
+    at = F.floor((F.unix_seconds(ts) - F.lit(first)) * steps / F.lit(last - first + 1))
+    return at.cast("int")
+
+
+def bounds(df, ts):
+    return df.agg(F.min(F.unix_seconds(ts)), F.max(F.unix_seconds(ts))).first()
+
+
+def _links(spark, d, **options):
+    """The state of links after their events came in four steps, by date."""
+    Y.use_keyed_state(spark)
+    e = link_events(spark, d)
+    step = by_time(F.col("event_ts"), *bounds(e, "event_ts"), STEPS)
+    base = in_steps(spark, e, step, STEPS, lambda s, base: to_folder(Y.link_changes(s, **options), base, "update"))
+    return base, Y.link_states(spark, os.path.join(base, "state"))
+
+
 @gate("stream_link_state", f"WITH {STATE_SQL} SELECT seller_id, entity_id, old_handle, status, candidate_handle, attempts, STRFTIME(created, '%Y-%m-%d %H:%M:%S') AS created, reason FROM links")
 def stream_link_state(spark, d):
-    base = os.path.join(checkpoint_dir(spark), f"links-{uuid.uuid4().hex}")
-    out = os.path.join(base, "links")
-    q = T.stream_link_state(link_events(spark, d, event_stream(spark, d)), out, os.path.join(base, "state"))
-    q.trigger(availableNow=True).start().awaitTermination()
-    return T.newest_version(spark, out, LINK_STATE).select(
+    """State kept per link; the stream stops and goes on three times."""
+    return _links(spark, d)[1].select(
         "seller_id", "entity_id", "old_handle", "status", "candidate_handle", "attempts",
         F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"), "reason")
 
 
+@gate("stream_link_changes", f"WITH {STATE_SQL} SELECT seller_id, entity_id, status, attempts, reason FROM links")
+def stream_link_changes(spark, d):
+    """The last change of every link, from what the batches wrote."""
+    rows = spark.read.parquet(os.path.join(_links(spark, d)[0], "out"))
+    last = rows.groupBy("seller_id", "entity_id").agg(F.max_by(F.struct("change", "status", "attempts", "reason"), "b").alias("r"))
+    return last.select("seller_id", "entity_id", "r.*").filter("change <> 'removed'").drop("change")
+
+
+@gate("stream_link_due", f"""WITH {STATE_SQL}, w AS (SELECT MAX(ts) - INTERVAL 2 HOUR AS mark FROM events)
+SELECT seller_id, entity_id, attempts, COALESCE(status = 'broken' AND COALESCE(attempted + INTERVAL 20 HOUR, updated) <= mark, FALSE) AS due FROM links, w""")
+def stream_link_due(spark, d):
+    """Broken links whose last attempt has rested once the watermark stands two hours before the last event."""
+    return _links(spark, d, late="2 hours", limit=1 << 30)[1].select("seller_id", "entity_id", "attempts", "due")
+
+
+@gate("stream_latest_keyed", """SELECT user_id AS entity_id, event_type AS seller_id, ARG_MAX(value, (ts, event_id)) AS price, MAX(event_id) AS ord FROM events GROUP BY 1, 2""")
+def stream_latest_keyed(spark, d):
+    """The last record of every pair from the kept state; records come in no order over four steps."""
+    Y.use_keyed_state(spark)
+    obs = observations(spark, d, G.table(spark, d, "events"))
+    step = F.pmod(F.xxhash64("ord"), F.lit(STEPS)).cast("int")
+    base = in_steps(spark, obs, step, STEPS, lambda s, base: to_folder(Y.latest_changes(s, ["price"]), base, "update"))
+    return Y.latest_records(spark, os.path.join(base, "state")).drop("obs_ts")
+
+
+LATE = 86_400  # seconds that a record may come late
+#: Seconds that a record is held up before it lands, less than LATE. Every 101st comes with the last step.
+HELD, VERY_LATE = "(event_id * 7919) % 86400", "event_id % 101 = 0"
+FAR = "TIMESTAMP '2030-01-01 00:00:00'"  # the closing record's time
+
+
+def _jumbled(spark, d, very_late):
+    """Observations in the order they land: held up by less than the allowed lateness, some much later; then one record
+    far in the future, which closes all windows."""
+    e = G.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = bounds(e, "ts")
+    step = by_time(F.timestamp_seconds(F.unix_seconds("ts") + F.expr(HELD)), first, last + LATE, STEPS)
+    if very_late:
+        step = F.when(F.expr(VERY_LATE), STEPS - 1).otherwise(step)
+    obs = observations(spark, d, e)
+    steps = e.select(F.col("event_id").alias("ord"), step.alias("_step"))
+    closing = obs.limit(1).select(
+        F.lit(-1).cast("bigint").alias("entity_id"), "seller_id", F.expr(FAR).alias("obs_ts"), F.lit(-1).cast("bigint").alias("ord"), "tier", "price")
+    rows = obs.join(steps, "ord").unionByName(closing.withColumn("_step", F.lit(STEPS)))
+    return rows.select("entity_id", "seller_id", "obs_ts", "ord", "tier", "price", "_step")
+
+
+def _closed(spark, d, stream, very_late=False):
+    rows = _jumbled(spark, d, very_late)
+    base = in_steps(spark, rows, F.col("_step"), STEPS + 1, lambda s, base: to_folder(stream(s.drop("_step")), base, "append"))
+    return spark.read.parquet(os.path.join(base, "out")).drop("b")
+
+
+@gate("stream_runs_final", f"""WITH {RUNS} SELECT entity_id, {STAMP.format('MIN(obs_ts)')} AS run_start, {STAMP.format('MAX(obs_ts)')} AS run_end,
+  COUNT(*) AS n_obs, ARRAY_TO_STRING(LIST_SORT(LIST(DISTINCT seller_id)), ',') AS sellers FROM runs GROUP BY entity_id, run""")
+def stream_runs_final(spark, d):
+    """Runs as they become final, each once, from records out of order."""
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return _closed(spark, d, T.stream_runs).select(
+        "entity_id", stamp("run_start"), stamp("run_end"), "n_obs", F.array_join("sellers", ",").alias("sellers"))
+
+
+@gate("stream_daily_low_final", f"""WITH e AS (SELECT *, CAST(FLOOR(EPOCH(ts)) AS BIGINT) AS sec FROM events), b AS (SELECT MIN(sec) AS lo, MAX(sec) + {LATE} AS hi FROM e),
+s AS (SELECT e.*, {VERY_LATE} AS held, CASE WHEN {VERY_LATE} THEN {STEPS - 1} ELSE (sec + {HELD} - lo) * {STEPS} // (hi - lo + 1) END AS step FROM e, b),
+w AS (SELECT MAX(ts) - INTERVAL {LATE} SECOND AS mark FROM s WHERE step < {STEPS - 1})
+SELECT user_id AS entity_id, event_type AS seller_id, STRFTIME(ts, '%Y-%m-%d') AS day, MIN(value) AS low FROM s, w
+WHERE value > 0 AND NOT (held AND CAST(CAST(ts AS DATE) + 1 AS TIMESTAMP) <= mark) GROUP BY 1, 2, 3""")
+def stream_daily_low_final(spark, d):
+    """Daily lows as they become final; what comes after its day was closed is dropped."""
+    return _closed(spark, d, T.stream_daily_low, very_late=True).withColumn("day", F.col("day").cast("string"))
+
+
 SNAPSHOT = "entity_id BIGINT, seller_id STRING, tier STRING, price DOUBLE"
 RUN_DAYS = 5  # a run is five days of events
 RUN = f"lpad(CAST(floor((unix_date(to_date(obs_ts)) - 19723) / {RUN_DAYS}) AS STRING), 6, '0')"
