@@ -5,7 +5,9 @@ joined on its rarest one: as containment must be total, one token is prefix enou
 window bounds where the window can start and end in the document; the words there are compared in full.
 
 Only DataFrame functions are used. Documents are scanned twice for tokens (frequencies, then the join) and once to
-count words; none of their text is shuffled, only tokens of benchmark items and found windows are.
+count words. While the windows are few and small enough to be sent out, no text is shuffled, only found windows are.
+Beyond that the places of tokens are shuffled without their texts, and only texts with a window's token at a possible
+place are brought to it.
 
 Null and empty texts have no words. Rows that share an id are told apart by their texts; equal rows get equal
 results. Items with no words are ignored, repeated items count once. Other columns are kept; one named like a
@@ -23,7 +25,8 @@ WORD = "[^" + "".join(f"\\x{i:02X}" for i in range(128) if not chr(i).isalnum())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN_WORDS = 3
 RESULT = ("n_words", "n_hit", "items", "contaminated")
-BROADCAST_ROWS = 2_000_000  # windows or tokens of at most a few hundred bytes each
+BROADCAST_ROWS = 2_000_000  # windows or tokens that are sent out at most,
+BROADCAST_BYTES = 256 << 20  # and their bytes
 
 
 def words_of(text: Column) -> Column:
@@ -31,11 +34,18 @@ def words_of(text: Column) -> Column:
 
 
 def _token(words: Column | str, at: Column, n: int) -> Column:
-    """Hash of the n lower-cased words from ``at``. ``lower`` may join more words than ASCII lower-casing does, never fewer."""
+    """Hash of the n words from ``at``."""
     words = F.col(words) if isinstance(words, str) else words
     return F.xxhash64(*[words[at + i] for i in range(n)])
 
 
+def lowered(text: Column) -> Column:
+    """Text whose every character is lower-cased by itself, so that equal words give equal words wherever they stand.
+    Of all characters only the capital sigma depends on its neighbours. More words may become equal than by the rule for
+    A-Z, never fewer; the words themselves are compared in the end."""
+    return F.lower(F.replace(text, F.lit("\u03A3"), F.lit("\u03C3")))
+
+
 def windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """(item_id, n, words, lower): every window of every item, once."""
     split = items.select(
@@ -48,7 +58,7 @@ def windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFr
 
 def _tokens(win: DataFrame) -> DataFrame:
     """(item_id, n, phrase, size, offset, token) for every token of every window."""
-    low = win.withColumn("low", F.split(F.lower("phrase"), " "))
+    low = win.withColumn("low", F.split(lowered(F.col("phrase")), " "))
     low = low.withColumn("size", F.least(F.lit(TOKEN_WORDS), F.col("n")))
     low = low.withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))))
     token = F.lit(None).cast("long")
@@ -57,6 +67,10 @@ def _tokens(win: DataFrame) -> DataFrame:
     return low.select("item_id", "n", "phrase", "size", "offset", token.alias("token"))
 
 
+def _bytes(df: DataFrame, column: str) -> int:
+    return df.agg(F.coalesce(F.sum(F.octet_length(F.col(column).cast("string")) + 64), F.lit(0))).first()[0]
+
+
 def _places(docs: DataFrame, size: int, keep: list[str]) -> DataFrame:
     """One row per place of a ``size``-word token in the documents, with the columns ``keep``."""
     place = docs.select(*keep, "low", F.posexplode("low").alias("place", "word"))
@@ -72,13 +86,14 @@ def occurrences(
     tokens = scratch.keep(_tokens(windows(items, item_col, item_text, window)))
     sizes = [r["size"] for r in tokens.select("size").distinct().orderBy("size").collect()]  # at most TOKEN_WORDS
     text = F.col(text_col)
-    split = docs.select(*key, words_of(F.lower(text)).alias("low"), words_of(text).alias("words"))
+    split = docs.select(*key, words_of(lowered(text)).alias("low"), words_of(text).alias("words"))
     known = tokens.select("size", "token").distinct()
     n_known = known.count()
+    few = lambda df, rows, c: small_side(df, rows, BROADCAST_ROWS) if _bytes(df, c) <= BROADCAST_BYTES else df
     found = None
     counts = [
         _places(split.select("low"), size, [])
-        .join(small_side(known.where(F.col("size") == size).select("token"), n_known, BROADCAST_ROWS), "token")
+        .join(few(known.where(F.col("size") == size).select("token"), n_known, "token"), "token")
         .groupBy("token").agg(F.count("*").alias("uses")).withColumn("size", F.lit(size))
         for size in sizes
     ]
@@ -95,13 +110,24 @@ def occurrences(
     ).where("uses > 0").select("item_id", "n", "phrase", "rarest.*")
     rarest = scratch.keep(rarest)
     n_windows = rarest.count()
+    sent = n_windows <= BROADCAST_ROWS and _bytes(rarest, "phrase") <= BROADCAST_BYTES
+    start = F.col("place") - F.col("offset")
+    there = F.translate(F.array_join(F.slice("words", start + 1, F.col("n")), " "), UPPER, LOWER)
     for size in sizes:
-        side = small_side(rarest.where(F.col("size") == size).drop("size"), n_windows, BROADCAST_ROWS)
-        start = F.col("place") - F.col("offset")
-        there = F.translate(F.array_join(F.slice("words", start + 1, F.col("n")), " "), UPPER, LOWER)
-        spots = _places(split, size, [*key, "words"])
-        hits = spots.join(side, (spots["token"] == side["token"]) & (start >= 0) & (start + F.col("n") <= F.size("words"))
-                          & (there == F.col("phrase")))
+        side = rarest.where(F.col("size") == size).drop("size")
+        if sent:
+            side = side.hint("broadcast")
+            spots = _places(split, size, [*key, "words"])
+            hits = spots.join(side, (spots["token"] == side["token"]) & (start >= 0) & (start + F.col("n") <= F.size("words"))
+                              & (there == F.col("phrase")))
+        else:
+            spots = _places(split.withColumn("n_words", F.size("low")), size, [*key, "n_words"])
+            near = spots.join(side, (spots["token"] == side["token"]) & (start >= 0) & (start + F.col("n") <= F.col("n_words")))
+            near = near.select(*[F.col(c).alias(f"_{c}") for c in key], "place", "offset", "n", "phrase", "item_id")
+            met = F.lit(True)
+            for c in key:
+                met = met & F.col(c).eqNullSafe(F.col(f"_{c}"))
+            hits = near.join(split.select(*key, "words"), met & (there == F.col("phrase")))
         hits = hits.select(*key, start.alias("start"), (start + F.col("n")).alias("end"), "item_id")
         found = hits if found is None else found.unionByName(hits)
     return found

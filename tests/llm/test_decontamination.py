@@ -37,6 +37,11 @@ def test_against_brute_force(spark, documents):
         if i % 2:
             t = f"{t}. {rng.choice(items)[1] or ''}\n{say(3).upper()}, {rng.choice(items)[1] or ''}"
         docs.append((i, t))
+        items += [(7, "ΟΔΟΣ'Α Β Γ Δ Ε Ζ Η Θ Ι Κ"), (8, "ΟΔΟΣ'Α"), (9, "Σ ΑΣ. ασ"), (10, "İSTANBUL Kelvin ẞ")]
+    docs += [(600, "x ΟΔΟΣ'Α Β Γ Δ Ε Ζ Η Θ Ι Κ y"), (601, "ΟΔΟΣ. Α"), (602, "ας Σ ΑΣ. ασ'"), (603, "i̇stanbul kelvin ß İstanbul Kelvin ẞ")]
+    greek = ["Σ", "ΑΣ", "ασ", "ας", "ΟΔΟΣ", "οδος", "İ", "i̇", "I", "ı", "K", "k", "ẞ", "ß", "'", ". "]
+    docs += [(700 + i, "".join(rng.choice(greek) + rng.choice(["", " ", "'", "."]) for _ in range(30))) for i in range(40)]
+    items += [(20 + i, "".join(rng.choice(greek) + rng.choice(["", " "]) for _ in range(3))) for i in range(12)]
     docs += [(500, None), (501, ""), (502, "--- !"), (3, docs[3][1]), (3, "other " + (items[2][1])), (None, items[1][1]), (503, "v1 " * 20000 + items[9][1])]
     items_df = spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit(1))
     got = decontamination.decontaminate(documents(docs), items_df)
