@@ -4,17 +4,22 @@ Every text is encoded whole with a byte-pair vocabulary. Documents are counted b
 one row per length, and suffix sums over the lengths answer totals, quantiles and truncated totals for every limit. The
 sums are taken in two steps, inside ranges of 1024 lengths and over the ranges, so no window sees all lengths.
 
+The encoder's regular expressions give out on very long runs of white space; a text with one is cut into its pieces
+without them, and the pieces are encoded one by one.
+
 Null and empty texts have no tokens and count at length 0. Ids and other columns are not needed. An empty table gives
 an empty histogram, and zero totals at limits.
 """
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from offerlens.llm.bpe import pieces
 from offerlens.llm.scratch import Scratch
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -22,6 +27,7 @@ MOST_VOCABULARY_BYTES = 64 << 20
 #: The pieces that the vocabulary was made for.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RANGE = 1024
+LONG_RUN = re.compile(r"\s{50000}")
 _encoders: dict[int, object] = {}
 
 
@@ -36,6 +42,16 @@ def _encoder(ranks: bytes):
     return _encoders[key]
 
 
+def _length(encoder, text: str | None) -> int:
+    if not text:
+        return 0
+    if len(text) < 50_000 or not LONG_RUN.search(text):
+        return len(encoder.encode_ordinary(text))
+    data, starts, _ = pieces([text])
+    single = encoder._core_bpe.encode_single_piece
+    return sum(len(single(data[a:b])) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+
+
 def lengths(docs: DataFrame, *, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """The document columns plus n_tokens; a column of that name gives way."""
     spark = docs.sparkSession
@@ -45,9 +61,9 @@ def lengths(docs: DataFrame, *, text_col: str = "text", vocabulary: str = VOCABU
     ranks = spark.sparkContext.broadcast(bytes(found["content"]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(ranks.value).encode_ordinary
+        encoder = _encoder(ranks.value)
         for batch in batches:
-            counts = [len(encode(t)) if t else 0 for t in (x.as_py() for x in batch.column(batch.num_columns - 1))]
+            counts = [_length(encoder, x.as_py()) for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=[*batch.schema.names, "n_tokens"])
 
     kept = [c for c in docs.columns if c != "n_tokens"]

@@ -39,3 +39,15 @@ def test_empty_table(spark, documents):
     sums = T.suffix_sums(T.histogram(T.lengths(documents([]))))
     assert sums.count() == 0
     assert [tuple(r) for r in T.at_limits(sums, [5]).collect()] == [(5, 0, 0, 0)]
+
+
+def test_very_long_runs(spark, documents):
+    """Runs at which the encoder's own expressions give out, and the same lengths from the whole encoder below that."""
+    enc, _ = brute([])
+    texts = [c * 2_000_000 for c in (" ", "\t", "\n", "a", "\u0301", "!")] + ["x" + " " * 1_500_000 + "'s y"]
+    short = [c * 400_000 for c in (" ", "\t", "\n")] + ["x" + " " * 400_000 + "'s y"]
+    got = {r.doc_id: r.n_tokens for r in T.lengths(documents(list(enumerate([*texts, *short])), extra=False)).collect()}
+    assert [got[7 + i] for i in range(4)] == [len(enc.encode_ordinary(t)) for t in short]
+    single = enc._core_bpe.encode_single_piece
+    assert [got[i] for i in range(6)] == [len(single(t.encode())) for t in texts[:6]]
+    assert got[6] == len(single(b"x")) + len(single(b" " * 1_499_999)) + len(single(b" '")) + len(single(b"s")) + len(single(b" y"))
