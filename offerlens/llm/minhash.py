@@ -157,12 +157,21 @@ def near_duplicates(
     texts_of = member.select("id", "f1", "f2").distinct().groupBy(F.col("id").alias("rep")).agg(F.count("*").alias("texts"))
     rows = nodes.join(first.join(texts_of, "rep").withColumnsRenamed({"f1": "g1", "f2": "g2"}),
                       (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("id") == F.col("rep")))
+    # one row per class, and below one set per text, however often an id's rows are repeated
+    repeated = nodes.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id")
+    repeats = not repeated.isEmpty()
+    if repeats:
+        rows = rows.dropDuplicates(["rep", "f1", "f2"])
+        repeated = scratch.keep(repeated)
     reps = scratch.keep(rows.select("rep", "n", "texts", *SIGNS, "bands"))
     bucketed = reps.select("rep", F.explode("bands").alias("bucket")).distinct()
     crowded = bucketed.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("bucket")
     shared = scratch.keep(bucketed.join(crowded, "bucket"))
     # full sets of all representatives that have a candidate, and in how many of these sets each element is
     texts = docs.join(shared.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    if repeats:
+        again = texts.join(repeated, "id", "left_semi").withColumn("hash", F.xxhash64("text")).dropDuplicates(["id", "hash"]).drop("hash")
+        texts = texts.join(repeated, "id", "left_anti").unionByName(again)
     sets = scratch.keep(texts.mapInArrow(_set_rows(shingle), f"id {kind}, elements array<long>").withColumnRenamed("id", "rep"))
     elements = sets.select("rep", F.explode("elements").alias("element")).distinct()
     uses = elements.groupBy("element").agg(F.count("*").alias("uses"))

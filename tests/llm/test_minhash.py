@@ -97,3 +97,16 @@ def test_every_coordinate_fills_and_estimates_similarity():
     row = np.repeat([0, 1], 900)
     s = minhash.sketches(row, np.r_[shared, a, shared, b], 2)
     assert abs((s[0] == s[1]).mean() - 0.8) < 0.15
+
+
+def test_repeated_rows_cost_no_pairs(spark, documents):
+    """Two near copies, each many times over: with a pair per pair of rows this takes minutes."""
+    import time
+
+    base = [f"w{i}" for i in range(300)]
+    near = [*base[:-1], "other"]
+    rows = [(1, " ".join(base))] * 2500 + [(2, " ".join(near))] * 2500 + [(3, "quite another text")]
+    start = time.time()
+    got = minhash.near_duplicates(documents(rows, extra=False), shingle=3, percent=85).groupBy("id", "component_id").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 2500), (2, 1, 2500), (3, 3, 1)]
+    assert time.time() - start < 90
