@@ -70,7 +70,7 @@ def in_steps(spark, df, step, steps, query):
     """Land ``df`` in ``steps`` parts, by the column ``step``, and run the stream over each part as it lands; it stops
     after each and goes on from its checkpoint. ``query`` makes the writer of a stream. Returns the base folder."""
     base = os.path.join(checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
-    landed, parts = os.path.join(base, "landed"), df.withColumn("_step", step)
+    landed, parts = os.path.join(base, "landed"), df.withColumn("_step", F.coalesce(step, F.lit(0)))
     for i in range(steps):
         parts.filter(F.col("_step") == i).drop("_step").write.mode("append").parquet(landed)
         stream = spark.readStream.schema(df.schema).parquet(landed)
@@ -204,17 +204,11 @@ base AS (
 
 
 def _gated(spark, d, files):
-    """Run the gate over the events written as ``files`` files in time order, one file per batch."""
-    base = os.path.join(checkpoint_dir(spark), f"gate-{uuid.uuid4().hex}")
+    """Run the gate over the events as they land in ``files`` parts by time."""
     offers = observations(spark, d, G.table(spark, d, "events"))
-    landed = os.path.join(base, "landed")
-    for i, part in enumerate(offers.agg(F.percentile("ord", F.array(*[F.lit((i + 1) / files) for i in range(files)]))).first()[0]):
-        bounds = (F.col("ord") > low) if i else F.lit(True)
-        offers.filter(bounds & (F.col("ord") <= part)).coalesce(1).write.mode("append").parquet(landed)
-        low = part
-    stream = spark.readStream.schema(offers.schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    q = T.stream_gate(stream, base, os.path.join(base, "state"), SNAPSHOT, run=RUN).trigger(availableNow=True).start()
-    q.awaitTermination()
+    step = by_time(F.col("obs_ts"), *bounds(offers, "obs_ts"), files)
+    gated = lambda s, base: T.stream_gate(s, base, os.path.join(base, "state"), SNAPSHOT, run=RUN)
+    base = in_steps(spark, offers, step, files, gated)
     T.finish_gate(spark, base, offers.schema, SNAPSHOT, run=RUN)
     return base
 

@@ -1,19 +1,18 @@
-"""Streams over observation files: gate, latest, runs, daily lows and link state."""
+"""Streams over observation files: gate, latest, runs and daily lows."""
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from offerlens.functions import fixed_values as FV
-from offerlens.operators import compare as A
-from offerlens.operators import state as S
-from offerlens.operators.quality import snapshot_after, swing_gate
-from offerlens.schemas import COLS, LINK_STATE, Cols
+from offerlens.schemas import COLS, Cols
 from offerlens.sources.observations import parse_stream_lines
 
 
@@ -84,6 +83,90 @@ def _drop_versions(spark: SparkSession, path: str, before: int) -> None:
             fs.delete(p, True)
 
 
+def _gate_fold(waiting: DataFrame, snapshot: DataFrame, limit_pct: float, keep_baseline: bool, keys: Cols) -> DataFrame:
+    """All runs of ``waiting`` gated in order, as one job whatever their number.
+
+    A pair's observations stand one after another in the order of their runs, after its rows in the snapshot; the
+    prices that the last accepted observation of the seller's run before left are carried along. Pairs are dealt out by
+    hash, and a pair's rows are read as they come, a listing (the sizes of one observation) at a time: however many it
+    has, none are gathered.
+
+    Returns the rows with ``old_price`` and ``accepted``, and with ``_kind`` 'snapshot' what the last run left.
+    """
+    pair, tier, price = keys.pair, keys.tier, keys.price
+    runs = waiting.select(F.col(keys.seller).alias("_seller"), F.col("run").alias("_run")).distinct()
+    runs = runs.withColumn("_seq", F.row_number().over(Window.partitionBy("_seller").orderBy("_run")))
+    ends = runs.groupBy("_seller").agg(F.max("_seq").alias("_last"))
+    same = F.col(keys.seller).eqNullSafe(F.col("_seller"))
+    offers = waiting.join(runs, same & (F.col("run") == F.col("_run"))).drop("_seller", "_run")
+    offers = offers.join(ends, same).drop("_seller").withColumn("_kind", F.lit("offer"))
+    before = snapshot.select(*pair, tier, F.col(price).cast("double").alias(price)).join(ends, same).drop("_seller")
+    before = before.withColumns({"_kind": F.lit("before"), "_seq": F.lit(0)})
+    rows = offers.unionByName(before, allowMissingColumns=True)
+    ordered = rows.repartition(*pair).sortWithinPartitions(*pair, "_seq", keys.ord)
+    names = rows.columns
+    shape = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema]).add("old_price", "double").add("accepted", "boolean")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whose = carried = carried_seq = fresh = fresh_seq = last_run = None
+
+        def left(offer_seq):
+            """Prices to compare with in the seller's run ``offer_seq``."""
+            nonlocal carried, carried_seq
+            if fresh_seq is not None and fresh_seq < offer_seq:
+                if fresh or not keep_baseline:
+                    carried, carried_seq = fresh, fresh_seq
+                elif carried_seq == fresh_seq - 1:
+                    carried_seq = fresh_seq  # all of that run was quarantined: the old prices stay
+            return carried if carried_seq == offer_seq - 1 else {}
+
+        def snapshot_rows(out):
+            if whose is not None:
+                for t, p in left(last_run + 1).items():
+                    out.append(dict.fromkeys(names) | dict(zip(pair, whose, strict=True)) | {tier: t, price: p, "_kind": "snapshot"})
+
+        def listing(rows, out):
+            nonlocal whose, carried, carried_seq, fresh, fresh_seq, last_run
+            first = rows[0]
+            mine, seq = tuple(first[c] for c in pair), first["_seq"]
+            if mine != whose:
+                snapshot_rows(out)
+                whose, carried, carried_seq, fresh, fresh_seq, last_run = mine, {}, None, {}, None, first["_last"]
+            if first["_kind"] == "before":
+                carried, carried_seq = {r[tier]: r[price] for r in rows}, 0
+                return
+            old = left(seq)
+            if fresh_seq != seq:
+                fresh, fresh_seq = {}, seq
+            compared = [(r, old.get(r[tier])) for r in rows]
+            swings = any(o is not None and o > 0 and r[price] is not None and r[price] > 0 and abs(r[price] - o) / o * 100 > limit_pct
+                         for r, o in compared)
+            if not swings:
+                fresh = {r[tier]: r[price] for r in rows}
+            out += [r | {"old_price": o, "accepted": not swings} for r, o in compared]
+
+        held, key, schema = [], None, None
+        for batch in batches:
+            schema, out = to_arrow_schema(shape, prefers_large_types=False), []
+            for r in batch.to_pylist():
+                at = (*(r[c] for c in pair), r["_seq"], r[keys.ord])
+                if held and at != key:
+                    listing(held, out)
+                    held = []
+                key = at
+                held.append(r)
+            if out:
+                yield from pa.Table.from_pylist(out, schema=schema).combine_chunks().to_batches()
+        out = []
+        if held:
+            listing(held, out)
+        snapshot_rows(out)
+        if out:
+            yield from pa.Table.from_pylist(out, schema=schema).combine_chunks().to_batches()
+
+    return ordered.mapInArrow(fold, shape)
+
+
 def gate_batch(
     out: str,
     snapshot_schema: str,
@@ -91,6 +174,7 @@ def gate_batch(
     keys: Cols = COLS,
     run: str = "to_date(obs_ts)",
     finish: bool = False,
+    limit_pct: float = FV.SWING_PCT,
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` body: gate collection runs, whatever batches they arrive in.
 
@@ -99,7 +183,8 @@ def gate_batch(
     against the snapshot the one before left. Every observation is filed in ``gated`` once: accepted, or
     quarantined with a reason, which is ``swing`` or, for one whose run is already closed, ``late``. So the
     result doesn't depend on how observations in run order are cut into batches. Folders are named
-    after the batch and overwritten when it is repeated.
+    after the batch and overwritten when it is repeated. A batch takes the same few jobs whether it closes one run
+    or thousands.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -114,35 +199,30 @@ def gate_batch(
         is_late = F.lit(False) if closed is None else F.coalesce(F.col("run") <= closed, F.lit(False))
         is_late = is_late | F.col("run").isNull()
         waiting = pending.unionByName(fresh.filter(~is_late))
-        runs = sorted(r["run"] for r in waiting.select("run").distinct().collect())  # one value per run
-        over = runs if finish else runs[:-1]
-        gated_path = place(f"gated/batch-{batch_id}")
+        newest = waiting.agg(F.max("run")).first()[0]  # it waits for a later one
+        over = F.lit(True) if finish else F.col("run") < F.lit(newest)
         bare = F.lit(None).cast("double")
         late = fresh.filter(is_late).withColumns({
             "old_price": bare, "change_pct": bare, "is_anomaly": F.lit(False), "accepted": F.lit(False),
             "reason": F.lit("late"),
         })
-        late.write.mode("overwrite").parquet(os.path.join(gated_path, "part=late"))
-        for i, r in enumerate(over):
-            part = os.path.join(gated_path, f"part={i}")
-            rows = swing_gate(waiting.filter(F.col("run") == r), snapshot, keys=keys, listing=[*keys.pair, keys.ord])
-            rows.withColumn("reason", F.when(~F.col("accepted"), "swing")).write.mode("overwrite").parquet(part)
-            done = spark.read.schema(late.schema).parquet(part)
-            last = A.latest_offers(done.filter("accepted"), keys)
-            none = done.select(*keys.pair).distinct().join(last.select(*keys.pair).distinct(), keys.pair, "left_anti")
-            held = none.withColumns({keys.tier: F.lit(None).cast("string"), keys.price: bare, "accepted": F.lit(False)})
-            last = last.select(*keys.pair, keys.tier, keys.price, "accepted")
-            after = snapshot_after(last.unionByName(held), snapshot, keep_baseline, keys)
-            step_path = place(f"steps/batch-{batch_id}-{i}")
-            after.write.mode("overwrite").parquet(step_path)
-            snapshot = spark.read.schema(snapshot_schema).parquet(step_path)
-        snapshot.write.mode("overwrite").parquet(place(f"snapshot/batch-{batch_id}"))
-        rest = waiting.filter(~F.col("run").isin(over)) if over else waiting
-        rest.write.mode("overwrite").parquet(place(f"pending/batch-{batch_id}"))
-        last_closed = over[-1] if over else closed
-        mark = spark.createDataFrame([(last_closed,)] if last_closed is not None else [], "run STRING")
-        mark.write.mode("overwrite").parquet(place(f"closed/batch-{batch_id}"))
-        for name in ("pending", "closed", "snapshot"):
+        folded = _gate_fold(waiting.filter(over), snapshot, limit_pct, keep_baseline, keys)
+        folded.write.mode("overwrite").parquet(place(f"folded/batch-{batch_id}"))
+        folded = spark.read.schema(folded.schema).parquet(place(f"folded/batch-{batch_id}"))
+        old, now = F.col("old_price"), F.col(keys.price)
+        change = F.when((old > 0) & (now > 0), F.abs(now - old) / old * 100)
+        gated = folded.filter("_kind = 'offer'").withColumn("change_pct", change).withColumns({
+            "is_anomaly": F.coalesce(F.col("change_pct") > limit_pct, F.lit(False)), "reason": F.when(~F.col("accepted"), "swing")})
+        gated.select(*late.columns).unionByName(late).write.mode("overwrite").parquet(place(f"gated/batch-{batch_id}"))
+        ran = waiting.filter(over).select(keys.seller).distinct()
+        others = snapshot.join(ran, keys.seller, "left_anti")
+        columns = [*keys.pair, keys.tier, keys.price]
+        after = others.select(*columns).unionByName(folded.filter("_kind = 'snapshot'").select(*columns))
+        after.write.mode("overwrite").parquet(place(f"snapshot/batch-{batch_id}"))
+        waiting.filter(~over).write.mode("overwrite").parquet(place(f"pending/batch-{batch_id}"))
+        last = waiting.filter(over).agg(F.max("run").alias("run"))
+        last.select(F.coalesce("run", F.lit(closed)).alias("run")).filter("run IS NOT NULL").write.mode("overwrite").parquet(place(f"closed/batch-{batch_id}"))
+        for name in ("pending", "closed", "snapshot", "folded"):
             _drop_versions(spark, place(name), batch_id)
 
     return step
@@ -167,31 +247,6 @@ def stream_gate(
     return offers.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
-def link_state_batch(out: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body: fold the batch's events onto the link state of earlier batches.
-
-    The fold is the batch operator, so a link with very many events is aggregated, not gathered.
-    State versions are named after the batch; a repeated batch starts from the same version.
-    """
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        before = _snapshot_before(batch.sparkSession, out, batch_id, LINK_STATE)
-        touched = before.join(batch.select(*S.LINK).distinct(), S.LINK, "left_semi")
-        untouched = before.join(batch.select(*S.LINK).distinct(), S.LINK, "left_anti")
-        after = untouched.unionByName(S.link_state(batch, touched))
-        after.write.mode("overwrite").parquet(os.path.join(out, f"batch-{batch_id}"))
-        _drop_versions(batch.sparkSession, out, batch_id)
-
-    return run
-
-
-def stream_link_state(events: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
-    """Link state kept up to date from a stream of link events, in arrival order of batches."""
-    return events.writeStream.foreachBatch(link_state_batch(out)).option(
-        "checkpointLocation", checkpoint
-    )
-
-
 def newest_version(spark: SparkSession, out: str, schema: str) -> DataFrame:
     """The version the last finished batch wrote."""
     return _snapshot_before(spark, out, 1 << 62, schema)

@@ -200,3 +200,49 @@ def test_seasonality_golden(spark):
     assert months[("hydrangeas", 5)] == [5, 6, 9] and months[("hydrangeas", 4)] == [] and len(months) == 7 * 4
     tips = {r["category"]: (r["best_buy"], r["worst_buy"], r["tip"]) for r in H.category_tips(cat).collect()}
     assert tips["hydrangeas"] == ("Aug", "Spring", "") and tips["half"] == ("x", "y", "z") and tips["bare"] == ("Fall", "Spring", "")
+
+
+def test_stream_gate_takes_few_jobs_for_many_runs(spark, tmp_path):
+    """A backfill of 200 days in one batch, several sizes to a listing, a seller that misses days; the jobs don't follow the runs."""
+    from datetime import datetime, timedelta
+
+    rng = random.Random(9)
+
+    def jobs(name, days, rows):
+        group = f"gate-{name}"
+        spark.sparkContext.setJobGroup(group, group)
+        got = _streamed(spark, tmp_path, name, [rows])
+        spark.sparkContext.setJobGroup("other", "other")
+        return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    def made(days):
+        rows, n = [], 0
+        for day in range(days):
+            for e in "ab":
+                for s in "st":
+                    if s == "t" and day % 3 == 0 or rng.random() < 0.2:
+                        continue
+                    for _ in range(rng.choice([1, 2])):
+                        n += 1
+                        rows += [(e, s, tier, float(rng.choice([0, 10, 12, 14, 40])), datetime(2024, 1, 1) + timedelta(days=day), n) for tier in ("1gal", "2gal")]
+        return rows
+
+    rows = made(200)
+    (gated, snapshot), many = jobs("many", 200, rows)
+    _, few = jobs("few", 4, made(4))
+    assert many <= few + 3
+    snap, want = {}, []
+    for day in sorted({r[4] for r in rows}):
+        run, new = [r for r in rows if r[4] == day], {}
+        for n in sorted({r[5] for r in run}):
+            sizes = {r[2]: r[3] for r in run if r[5] == n}
+            pair = next(r[:2] for r in run if r[5] == n)
+            old = snap.get(pair, {})
+            ok = not any(old.get(t) and p and abs(p - old[t]) / old[t] * 100 > 50 for t, p in sizes.items())
+            want += [(n, ok, None if ok else "swing")] * 2
+            if ok:
+                new[pair] = sizes
+        ran = {r[1] for r in run}
+        snap = {k: v for k, v in snap.items() if k[1] not in ran} | new
+    assert gated == sorted(want, key=str) or gated == sorted(want)
+    assert snapshot == {(*k, t, p) for k, sizes in snap.items() for t, p in sizes.items()}

@@ -83,16 +83,11 @@ def test_fold_matches_plain(spark, seed):
     check(S.link_state(spark.createDataFrame(rows, S.EVENT)), rows)
 
 
-def test_fold_in_two_steps_and_streamed(spark, tmp_path):
+def test_fold_in_two_steps(spark):
     rows = random_events(3)
     df = spark.createDataFrame(rows, S.EVENT)
     early = F.col("event_ord") < 5
     check(S.link_state(df.filter(~early), S.link_state(df.filter(early))), rows)
-    fold = T.link_state_batch(str(tmp_path))
-    fold(df.filter(early), 0)
-    fold(df.filter(~early), 1)
-    fold(df.filter(~early), 1)  # a repeated batch changes nothing
-    check(T.newest_version(spark, str(tmp_path), LINK_STATE), rows)
 
 
 def test_cooldown_and_limit(spark):
