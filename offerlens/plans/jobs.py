@@ -21,6 +21,7 @@ from offerlens.operators import quality as Q
 from offerlens.operators import state as S
 from offerlens.operators import store_products as SP
 from offerlens.session import cut_lineage
+from offerlens.sources.passes import Passes
 
 
 @dataclass
@@ -144,6 +145,11 @@ def archive_backfill(
     used, done ones are skipped, and a product document is preferred over a page.
     """
     due = J.unprocessed(W.monthly_first_snapshot(snapshots), progress)
+    done = progress.unionByName(due.select("entity_id", "seller_id", "yyyymm")).distinct()
+    return _archived_prices(due, products, pages), done
+
+
+def _archived_prices(due: DataFrame, products: DataFrame, pages: DataFrame) -> DataFrame:
     at = ["url", "stamp"]
     from_docs = SP.offers_from_products(products.join(due.select(*at), at, "left_semi"), at).select(
         *at, F.col("tier").alias("size"), "price", F.col("was_price").alias("regular_price"),
@@ -153,7 +159,7 @@ def archive_backfill(
         from_docs.select(*at).distinct(), at, "left_anti"
     )
     found = from_docs.unionByName(X.archive_offers(rest, at))
-    records = due.join(found, at).select(
+    return due.join(found, at).select(
         "entity_id",
         "seller_id",
         F.to_date("snapshot_ts").alias("obs_date"),
@@ -163,5 +169,70 @@ def archive_backfill(
         F.concat_ws("/", F.lit("https://web.archive.org/web"), "stamp", "url").alias("archive_url"),
         "confidence",
     )
-    done = progress.unionByName(due.select("entity_id", "seller_id", "yyyymm")).distinct()
-    return records, done
+
+
+PROGRESS = "entity_id STRING, seller_id STRING, yyyymm STRING"
+ARCHIVED = (
+    "entity_id STRING, seller_id STRING, obs_date DATE, size STRING, price DOUBLE, regular_price DOUBLE, "
+    "archive_url STRING, confidence STRING"
+)
+
+
+def resume_backfill(
+    passes: Passes, snapshots: DataFrame, products: DataFrame, pages: DataFrame, portions: int = 16, at_most: int | None = None
+) -> int:
+    """Run the archive backfill in up to ``portions`` passes of whole months, going on where an earlier run was cut off.
+
+    Each pass commits its records and its progress together, so a month counts once and none is lost. A month is in one
+    portion by hash; portions with nothing due take no pass. ``at_most`` ends the run after so many passes. Returns
+    how many passes were committed.
+    """
+    month = ["entity_id", "seller_id", "yyyymm"]
+    first = cut_lineage(W.monthly_first_snapshot(snapshots).withColumn("_portion", F.pmod(F.xxhash64(*month), F.lit(portions))))
+    committed = 0
+    for portion in range(portions):
+        if committed == at_most:
+            break
+        due = cut_lineage(J.unprocessed(first.filter(F.col("_portion") == portion), passes.read("progress", PROGRESS)).drop("_portion"))
+        if due.isEmpty():
+            continue
+        number = passes.begin()
+        passes.write(number, "records", _archived_prices(due, products, pages))
+        passes.write(number, "progress", due.select(*month).distinct())
+        passes.commit(number, due.agg(F.count("*").alias("snapshots")))
+        committed += 1
+    return committed
+
+
+def archived_records(passes: Passes) -> DataFrame:
+    """The records of all committed passes."""
+    return passes.read("records", ARCHIVED)
+
+
+STATS = ["seller_id", "expected", "found", "errors", "prices", "anomalies", "few_found"]
+
+
+def run_collection(
+    passes: Passes, fresh: DataFrame, results: DataFrame, handle_map: DataFrame, keep_baseline: bool = False
+) -> CollectionResult:
+    """One collection run from the last committed state to the next, with its writes: gate against the snapshot, file accepted
+    and quarantined offers, write the snapshot after, health of all sellers, and the marker last.
+
+    Read the outcome with ``passes.read('history', ...)`` (accepted offers of all runs), ``passes.newest('snapshot', ...)``
+    and ``passes.newest('stats', ...)``. A run that is cut off counts for nothing and is simply run again.
+    """
+    shape = fresh.select("entity_id", "seller_id", "tier", "price").schema
+    before = passes.newest("snapshot", shape)
+    previous = None
+    if passes.done():
+        newest = passes.spark.read.parquet(passes._folder("stats", passes.done()[-1]))
+        previous = newest.select(*[c for c in STATS if c in newest.columns])
+    run = collect_run(fresh, results, handle_map, before, keep_baseline, previous)
+    number = passes.begin()
+    run.accepted = passes.write(number, "history", run.accepted)
+    run.quarantined = passes.write(number, "quarantine", run.quarantined)
+    run.snapshot = passes.write(number, "snapshot", run.snapshot.select(*shape.names))
+    run.stats = passes.write(number, "stats", run.stats)
+    run.anomalies = passes.write(number, "anomalies", run.anomalies)
+    passes.commit(number, run.status)
+    return run

@@ -5,7 +5,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -13,7 +13,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from offerlens.functions import fixed_values as FV
 from offerlens.schemas import COLS, Cols
-from offerlens.sources.observations import parse_stream_lines
+from offerlens.sources.observations import parse_lines, parse_stream_lines, unsound_lines
 
 
 def stream_observations(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -25,6 +25,44 @@ def stream_observations(spark: SparkSession, path: str, max_files: int = 1000) -
     return parse_stream_lines(raw)
 
 
+def land_observations(
+    spark: SparkSession, path: str, out: str, checkpoint: str, archive: str | None = None, max_files: int = 1000,
+    entity: Column | None = None, glob: str = "*.jsonl",
+) -> DataStreamWriter:
+    """Take in observation files as they land: sound lines to ``out/good``, others with their file to ``out/bad``.
+
+    Each batch overwrites folders of its own when it is repeated, so a line is filed once. Files are taken by their time of
+    change; ``seq`` is the number of the folder ``seq=N`` they lie in, if any, and orders appends whatever that time is. With
+    ``archive`` Spark moves files there once their batch is committed. ``entity`` names a file's entity, by default its name.
+    """
+    raw = spark.readStream.format("text").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files)
+    if archive is not None:
+        raw = raw.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    owner = F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl$", "") if entity is None else entity
+    seq = F.regexp_extract(F.col("_metadata.file_path"), r"/seq=(\d+)/", 1).try_cast("long")
+    lines = raw.load(path).select(
+        owner.alias("entity_id"), F.struct(seq.alias("seq"), F.lit(0).cast("long").alias("line")).alias("ord"),
+        F.col("_metadata.file_path").alias("file"), "value")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        good = parse_lines(batch)
+        good = good.withColumn("ord", F.struct(F.col("ord.seq").alias("seq"), F.unix_micros("obs_ts").alias("line")))
+        good.write.mode("overwrite").parquet(os.path.join(out, "good", f"batch={batch_id}"))
+        bad = unsound_lines(batch).select("entity_id", "file", "value")
+        bad.write.mode("overwrite").parquet(os.path.join(out, "bad", f"batch={batch_id}"))
+
+    return lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
+def landed_observations(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(out, "good")).drop("batch")
+
+
+def landed_bad_lines(spark: SparkSession, out: str) -> DataFrame:
+    """(entity_id, bad_lines), for entities with any."""
+    return spark.read.parquet(os.path.join(out, "bad")).groupBy("entity_id").agg(F.count("*").alias("bad_lines"))
+
+
 def stream_latest(obs: DataFrame, values: list[str], keys: Cols = COLS) -> DataFrame:
     """Running last record per (entity, seller); use update mode."""
     last = F.max_by(F.struct(keys.ts, *values), F.struct(keys.ts, keys.ord))
