@@ -212,3 +212,43 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 
 
 SQL["op12_vector_codes"] = _vector_codes_sql()
+
+SQL["op13_conversations"] = r"""
+WITH RECURSIVE d0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT) AS bytes FROM conversations),
+d1 AS (SELECT *, xor(list_reduce(bytes, lambda c, b: list_reduce(range(8), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)), xor(c, b)), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS lot FROM d0),
+d AS (SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+    CASE lot WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM d1, LATERAL (SELECT unnest(range(CASE WHEN lot = 3 THEN 2 ELSE 1 END))) WHERE lot <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i,
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS ended, left(role, 1) AS x FROM d),
+f AS MATERIALIZED (SELECT *, lag(x) OVER (PARTITION BY conv_id ORDER BY i) AS px, CASE WHEN ended = '' THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(ended, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+ins AS (SELECT * FROM (VALUES (0, 0, 0, []::VARCHAR[]), (0, 1, 2, ['user:']), (0, 2, 3, ['user:', 'assistant:']), (1, 0, 1, []), (1, 1, 2, ['user:']),
+    (1, 2, 3, ['user:', 'assistant:']), (2, 0, 2, []), (2, 1, 3, ['assistant:']), (2, 2, 2, ['assistant:', 'user:']), (3, 0, 3, []), (3, 1, 2, ['user:']),
+    (3, 2, 3, ['user:', 'assistant:'])) v(p, k, m, said)),
+edits AS (SELECT unnest(['K', 'R', 'D']) AS e),
+st AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, 0::BIGINT AS cost, ''::VARCHAR AS audit, []::VARCHAR[] AS done FROM f
+  UNION ALL
+  SELECT conv_id, i, q, cost, audit, done FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) AS best FROM (
+      SELECT s.conv_id, f.i, s.cost + 2 * k + CASE e WHEN 'K' THEN 0 WHEN 'R' THEN 2 ELSE 3 END + CASE WHEN e <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END AS cost,
+        s.audit || repeat('I', k) || e AS audit,
+        CASE e WHEN 'D' THEN m WHEN 'R' THEN CASE m WHEN 2 THEN 3 ELSE 2 END
+          ELSE CASE WHEN x = 's' AND m = 0 THEN 1 WHEN x = 'u' AND m <> 2 THEN 2 WHEN x = 'a' AND m = 2 THEN 3 END END AS q,
+        s.done || said || CASE e WHEN 'K' THEN [f.role || ':' || f.text] WHEN 'R' THEN [CASE m WHEN 2 THEN 'assistant:' ELSE 'user:' END || f.text] ELSE [] END AS done
+      FROM st s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1 JOIN ins ON ins.p = s.q, edits
+      WHERE e = 'D' OR fault NOT IN ('blank', 'duplicate')) WHERE q IS NOT NULL) WHERE best = 1),
+n AS (SELECT conv_id, max(i) AS n, CASE WHEN count(turn) > 0 THEN max(turn) - min(turn) + 1 - count(DISTINCT turn) ELSE 0 END AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (px IS NOT NULL AND px || x NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1),
+z AS (SELECT n.*, s.cost + 2 * k AS cost, s.audit || repeat('I', k) AS audit, s.done || said AS done,
+    row_number() OVER (PARTITION BY n.conv_id ORDER BY s.cost + 2 * k, s.audit || repeat('I', k)) AS best
+  FROM n JOIN st s ON s.conv_id IS NOT DISTINCT FROM n.conv_id AND s.i = n.n JOIN ins ON ins.p = s.q AND ins.m IN (0, 3)),
+c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(done, chr(10)), '')) AS repaired_sha256
+FROM c LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id AND best = 1
+"""
