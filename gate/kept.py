@@ -95,9 +95,8 @@ def archive_backfill(spark, d):
     """Archived pages in passes: one run ends after the first, one is cut off before its marker, the next goes on."""
     layer = GX.layer_pages(spark, d)
     pages = GX.html_pages(spark, d).withColumn("kind", F.lit("page")).unionByName(layer)
-    key = [F.col(k) for k in GX.KEYS]
-    url = F.concat_ws("-", *key)
     line = F.col("l_linenumber")
+    url = F.concat_ws("-", F.col("l_orderkey").cast("string"), line.cast("string"))
     stamp = F.concat(F.lit("2023"), F.lpad(line.cast("string"), 2, "0"), F.lit("10000000"))
     pages = pages.select(url.alias("url"), stamp.alias("stamp"), "kind", "html", *GX.KEYS)
     snapshots = pages.select(

@@ -55,8 +55,8 @@ def compare(spark, con, name, query, sql, sf_dir):
     if got_cols != want_cols:
         return False, f"columns {got_cols} != {want_cols}", took
     if got != want:
-        extra = [r for r in got if r not in set(want)][:3]
-        missing = [r for r in want if r not in set(got)][:3]
+        wanted, found = set(want), set(got)
+        extra, missing = [r for r in got if r not in wanted][:3], [r for r in want if r not in found][:3]
         return False, f"{len(got)} rows vs {len(want)}\n   cols {got_cols}\n   extra {extra}\n   missing {missing}", took
     return True, f"{len(got)} rows", took
 
