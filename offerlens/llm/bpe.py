@@ -7,7 +7,7 @@ the ids go back to the blocks that hold the word, where each text is put togethe
 
 A block sends at most one row to each part of the word space, however often it holds a word. A word in every block thus
 adds one word to rows that are there anyhow: no key is hot. The blocks are written once, so that a lost task costs a
-reread. Decoding looks ids up in the vocabulary's table of token bytes, whose size is checked before it is sent out.
+reread; for a table of files their words alone are, and the places are found again when they are needed. Decoding looks ids up in the vocabulary's table of token bytes, whose size is checked before it is sent out.
 
 Null and empty texts have no ids. Bytes that are no UTF-8 are read as U+FFFD. Special tokens in a text are ordinary text.
 Repeated rows stay. Other columns are kept; ones named like a result give way to it. Ids the vocabulary doesn't
@@ -147,15 +147,16 @@ def _stop(texts: list[str], lo: int, most: int) -> int:
     return hi
 
 
-def _block(texts: list[str], parts: int) -> dict:
-    """Distinct words of the texts, most frequent first, dealt into parts; and what stands where."""
-    cut, counts, lo = [], [], 0
+def _block(texts: list[str], parts: int, words_too: bool, places_too: bool) -> dict:
+    """Distinct words of the texts, most frequent first, dealt into parts; and what stands where. ``check`` tells blocks apart."""
+    cut, counts, lo, check = [], [], 0, 0
     while lo < len(texts):
         hi = _stop(texts, lo, AT_ONCE)
         data, starts, row = pieces(texts[lo:hi])
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)])
         cut.append(words.filter(pa.array(row >= 0)))
         counts.append(np.bincount(row[row >= 0], minlength=hi - lo))
+        check = zlib.crc32(data, check)
         lo = hi
     coded = pa.chunked_array(cut, pa.large_binary()).dictionary_encode().combine_chunks()
     coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
@@ -169,7 +170,7 @@ def _block(texts: list[str], parts: int) -> dict:
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     dealt: dict[int, list[bytes]] = {}
-    for w, p in zip(found.take(pa.array(order)).to_pylist(), part[order].tolist(), strict=True):
+    for w, p in () if not words_too else zip(found.take(pa.array(order)).to_pylist(), part[order].tolist(), strict=True):
         dealt.setdefault(p, []).append(w)
     words = []
     for p, ws in sorted(dealt.items()):
@@ -177,8 +178,8 @@ def _block(texts: list[str], parts: int) -> dict:
         sizes = _planes(np.fromiter(map(len, ws), np.int64, len(ws)))
         words.append({"part": p, "n": len(ws), "sizes": sizes, "length": len(joined), "bytes": _packed(joined)})
     return {
-        "pieces": np.concatenate(counts),
-        "places": _planes(rank[place]), "n_places": len(place),
+        "pieces": np.concatenate(counts), "check": check,
+        "places": _planes(rank[place]) if places_too else None, "n_places": len(place),
         "part_of": _planes(part[order]), "n_words": len(order), "words": words,
     }
 
@@ -189,7 +190,7 @@ WORDS_TYPE = pa.list_(pa.struct([("part", pa.int32()), ("n", pa.int32()), ("size
 IDS_ROW = "block string, part int, n int, sizes binary, n_ids long, ids binary"
 
 
-def _blocks(docs: DataFrame, text_col: str, keep: list[str], parts: int) -> DataFrame:
+def _blocks(docs: DataFrame, text_col: str, keep: list[str], parts: int, words_too: bool = True, places_too: bool = True) -> DataFrame:
     """One row per block: its documents' kept columns, the places and the words."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count = TaskContext.get().partitionId(), 0
@@ -199,12 +200,12 @@ def _blocks(docs: DataFrame, text_col: str, keep: list[str], parts: int) -> Data
             lo = 0
             while lo < len(texts):
                 hi = _stop(texts, lo, BLOCK)
-                b = _block(texts[lo:hi], parts)
+                b = _block(texts[lo:hi], parts, words_too, places_too)
                 held = pa.StructArray.from_arrays(
                     [*(c.slice(lo, hi - lo) for c in kept), pa.array(b["pieces"], pa.int64())],
                     names=[*(f"c{i}" for i in range(len(kept))), "pieces"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{task}-{count}"]), pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), held),
+                    [pa.array([f"{task}-{count}-{b['check']}"]), pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), held),
                      pa.array([b["places"]], pa.binary()), pa.array([b["n_places"]]), pa.array([b["part_of"]], pa.binary()),
                      pa.array([b["n_words"]]), pa.array([b["words"]], WORDS_TYPE)],
                     names=["block", "docs", "places", "n_places", "part_of", "n_words", "words"])
@@ -274,6 +275,8 @@ def _put_together(left: pa.Table, right: pa.Table, ranks) -> pa.Table:
     parts = right.sort_by("part").to_pylist()
     flat = lambda c, n: np.concatenate([np.zeros(0, np.int64), *(_from_planes(r[c], r[n]) for r in parts)])
     ids, got = flat("ids", "n_ids").astype(np.int32), flat("sizes", "n")
+    if len(got) != len(part_of):
+        raise ValueError("documents came in another order when they were read again: encode them without reread, or write them to files first")
     order = np.argsort(part_of, kind="stable")
     size, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
     size[order] = got
@@ -302,18 +305,26 @@ def _vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(bytes(found["content"]))
 
 
-def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", keep: list[str] | None = None, and_decode: bool = False) -> DataFrame:
+def encode(
+    docs: DataFrame, vocabulary: str, *, text_col: str = "text", keep: list[str] | None = None, and_decode: bool = False, reread: bool = False,
+) -> DataFrame:
     """The columns ``keep`` (all but the text) plus ids (array<int>) and n_tokens, one row per document.
 
     With ``and_decode`` also ``decoded``, which ``decode`` would give for the ids, without another pass over them.
+    ``reread`` is for a table of files, which gives the same rows in the same order whenever it is read: only the blocks' words
+    are written then, and the blocks are cut again for the places. One that is cut differently is noticed and ends the job.
     """
     spark = docs.sparkSession
     ranks, parts = _vocabulary(spark, vocabulary), int(spark.conf.get("spark.sql.shuffle.partitions"))
     results = (*ENCODED, "decoded") if and_decode else ENCODED
     keep = [c for c in (docs.columns if keep is None else keep) if c not in results and (keep is not None or c != text_col)]
     scratch = Scratch(spark)
-    blocks = scratch.keep(_blocks(docs, text_col, keep, parts))
-    words = blocks.select("block", F.explode("words").alias("w")).select("block", "w.*")
+    if reread:
+        words = scratch.keep(_blocks(docs, text_col, keep, parts, places_too=False).select("block", "words"))
+        blocks = _blocks(docs, text_col, keep, parts, words_too=False)
+    else:
+        words = blocks = scratch.keep(_blocks(docs, text_col, keep, parts))
+    words = words.select("block", F.explode("words").alias("w")).select("block", "w.*")
     encoded = _encoded_words(words.repartition("part"), ranks)
     kinds = "".join(f"c{i} {f.dataType.simpleString()}, " for i, f in enumerate(docs.select(*[f"`{c}`" for c in keep]).schema))
     held, table = blocks.select("block", "docs", "places", "n_places", "part_of", "n_words"), ranks if and_decode else None

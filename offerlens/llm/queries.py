@@ -93,7 +93,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as token ids and back."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = bpe.encode(table(spark, sf_dir, "documents"), ranks, keep=["doc_id"], and_decode=True)
+    out = bpe.encode(table(spark, sf_dir, "documents"), ranks, keep=["doc_id"], and_decode=True, reread=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -87,3 +87,17 @@ def test_query(spark, brute):
     for r in docs:
         ids = brute.encode_ordinary(r.text or "")
         assert got[r.doc_id] == (len(ids), sha(",".join(map(str, ids)).encode()), sha((r.text or "").encode()))
+
+
+def test_blocks_cut_again(spark, brute, tmp_path, monkeypatch):
+    """A table of files is read twice; rows that come in another order are noticed."""
+    monkeypatch.setattr(bpe, "BLOCK", 300)
+    rng = random.Random(5)
+    rows = [(i, said(rng, 40)) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    got = {r.doc_id: (r.ids, bytes(r.decoded)) for r in bpe.encode(table, RANKS, and_decode=True, reread=True).collect()}
+    assert got == {i: (brute.encode_ordinary(t), t.encode()) for i, t in rows}
+    with pytest.raises(Exception, match="another order"):
+        mixed = table.mapInPandas(lambda frames: (f.sample(frac=1) for f in frames), table.schema)
+        bpe.encode(mixed, RANKS, reread=True).collect()
