@@ -32,6 +32,7 @@ AT_ONCE = 4 << 20         # characters whose pieces are found, or pieces that ar
 MOST_CACHED = 1_000_000   # words whose ids a task keeps; one that meets more starts anew
 MOST_VOCABULARY_BYTES = 64 << 20
 ENCODED = ("ids", "n_tokens")
+CUT_ANEW = "documents came in another order when they were read again: encode them without reread, or write them to files first"
 
 LETTER, NUMBER, SPACE, OTHER, END = 1, 2, 3, 0, 4
 #: Endings that are pieces of their own after an apostrophe.
@@ -268,6 +269,8 @@ def _decoded(lists: pa.ListArray, table: pa.LargeBinaryArray) -> pa.Array:
 
 def _put_together(left: pa.Table, right: pa.Table, ranks) -> pa.Table:
     """A block's texts as ids: each place takes the ids of its word. With ``ranks`` they are decoded, too."""
+    if not left.num_rows:
+        raise ValueError(CUT_ANEW)
     docs = left.column("docs").combine_chunks()
     docs = (docs.chunk(0) if isinstance(docs, pa.ChunkedArray) else docs).flatten()
     row = {c: left.column(c)[0].as_py() for c in ("places", "n_places", "part_of", "n_words")}
@@ -276,7 +279,7 @@ def _put_together(left: pa.Table, right: pa.Table, ranks) -> pa.Table:
     flat = lambda c, n: np.concatenate([np.zeros(0, np.int64), *(_from_planes(r[c], r[n]) for r in parts)])
     ids, got = flat("ids", "n_ids").astype(np.int32), flat("sizes", "n")
     if len(got) != len(part_of):
-        raise ValueError("documents came in another order when they were read again: encode them without reread, or write them to files first")
+        raise ValueError(CUT_ANEW)
     order = np.argsort(part_of, kind="stable")
     size, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
     size[order] = got
