@@ -22,14 +22,17 @@ SPLIT = 20_000
 ORDER_BITS = 48
 
 
-def _packed(missing: Column, order: Column) -> Column:
-    """(missing words, product order) as one sortable LONG, so the best pair is a plain ``min``.
-    An order that doesn't fit stops the query, as it would change scores."""
+def _fitting(order: Column) -> Column:
+    """The product order, checked once per product: one that doesn't fit stops the query, as it would
+    change scores."""
     fits = (order >= 0) & (order < F.lit(1 << ORDER_BITS))
     too_large = F.raise_error(F.lit(f"product order must be from 0 to 2^{ORDER_BITS} - 1")).cast("long")
-    return F.call_function("shiftleft", missing.cast("long"), F.lit(ORDER_BITS)) + F.when(fits, order).when(
-        order.isNotNull(), too_large
-    )
+    return F.when(fits, order).when(order.isNotNull(), too_large)
+
+
+def _packed(missing: Column, order: Column) -> Column:
+    """(missing words, product order) as one sortable LONG, so the best pair is a plain ``min``."""
+    return F.call_function("shiftleft", missing.cast("long"), F.lit(ORDER_BITS)) + order
 
 
 def _missing(packed: Column) -> Column:
@@ -200,7 +203,7 @@ def _names(entities: DataFrame, group: list[str], texts, normal, words, exclude:
 
 def _listings(products: DataFrame, group: list[str], texts, normal, words) -> DataFrame:
     keys = [
-        *[F.col(g) for g in group], F.col("product_ord").alias("p_ord"), F.col("handle").alias("p_handle")
+        *[F.col(g) for g in group], _fitting(F.col("product_ord")).alias("p_ord"), F.col("handle").alias("p_handle")
     ]
     rows = [(kind, text, 1.0) for kind, text in texts]
     return _texts(products, keys, rows, normal, words, "p").drop("e_weight")
@@ -341,7 +344,7 @@ def best_matches_wide(
         F.col("entity_id").alias("e_id"), N.slug_text(_ids("entity_id")).alias("e_text")
     )
     handles = products.select(
-        F.col("product_ord").alias("p_ord"), N.slug_text(_ids("handle")).alias("p_text")
+        _fitting(F.col("product_ord")).alias("p_ord"), N.slug_text(_ids("handle")).alias("p_text")
     )
     legs = [
         best_by_words(names, listings, threshold, ["kind"]),
