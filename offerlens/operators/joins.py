@@ -1,7 +1,7 @@
 """Joins between offers, sellers, promotions, catalog, handle map and published pages.
 
 No join carries a broadcast hint: Spark broadcasts a side when its measured size is under the
-session's threshold and sorts and merges otherwise, splitting skewed keys as it goes.
+session's threshold and sorts and merges otherwise, splitting skewed keys where both sides are dealt out for the join alone.
 """
 from __future__ import annotations
 

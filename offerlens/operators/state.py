@@ -1,7 +1,8 @@
 """Snapshot upserts and the state of broken product links.
 
-A link's state is what its events leave behind. The fold is written as aggregates over events, so
-a link with very many events is never gathered in one task:
+A link's state is what its events leave behind. The fold is written as aggregates over events. No
+task holds a link's events at once, but the joins with these aggregates bring them to one partition, which
+adaptive execution doesn't split; ``streaming.keyed`` folds them as they come instead:
 
 * everything up to the last ``applied`` event is forgotten;
 * events before the first one that creates an entry have no effect;
