@@ -29,7 +29,7 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     """(node, component) for every node with an edge; the component is its smallest node.
 
     Each step keeps the components and is a grouped minimum plus a join on the node, so a hub with many neighbours
-    is combined map-side and split by the skew join. Rounds grow with the log of the longest path; nulls and loops
+    is combined map-side; its edges meet that minimum in one partition, row by row. Rounds grow with the log of the longest path; nulls and loops
     are dropped. An empty edge table gives an empty result.
     """
     now = scratch.keep(
