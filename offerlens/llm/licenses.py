@@ -1,23 +1,27 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A block is a line; its set is its distinct lower-cased words. A block meets a template when it holds at least ``least`` of
-the template's distinct words. Words are ordered by how many blocks of the whole corpus hold them, rarest first:
+A block is every run of as many consecutive words as a template has, in a shorter text all its words; line breaks, comment
+marks and the length of lines decide nothing. A block meets a template when it holds at least ``least`` of the template's
+distinct lower-cased words. Words are ordered by how often the whole corpus holds them, rarest first:
 
-* prefix: of o = ceil(least * |T|) needed words at least one is among the |T| - o + 1 rarest, so only blocks
-  with one of these are looked at;
-* length: a block with fewer than o words of the templates' vocabulary can't meet it;
-* position: from the first shared prefix word on, both sides must still hold o words.
+* prefix: of o = ceil(least * |T|) needed words at least one is among the |T| - o + 1 rarest. An index leads from
+  these words to the places where they stand, so only blocks around them are looked at, and a template without any costs nothing;
+* length: the words around such a place that belong to some template have to number at least o;
+* position: from the rarest of the template's words that stand there on, both sides still have to hold o words.
 
-What is left is counted exactly. Templates are a parameter of at most ``MOST_TEMPLATE_WORDS`` words in all and are
-sent to every task; documents are never shuffled. Besides, the places of fixed license phrases are counted.
+What is left is counted exactly, for all blocks of a stretch by one running sum. Templates are a parameter of at most
+``MOST_TEMPLATE_WORDS`` words in all and are sent to every task; documents are never shuffled. Besides, the places of fixed
+license phrases are counted.
 
 Null and empty texts have no words: no places, no labels, score 0. Rows stand alone, so repeated rows, ids and nulls in
-other columns change nothing. Extra columns pass through; those named like a result give way.
+other columns change nothing. Extra columns pass through; those named like a result give way. Notices that differ in a word
+or two (the GNU licenses' grants, the short Creative Commons notices) may meet each other's templates.
 """
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +48,16 @@ TEMPLATES = {
     "cc-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "warranty": "The software is provided as is, without warranty of any kind, express or implied",
+    "lgpl-grant": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+                  "by the Free Software Foundation",
+    "agpl-grant": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+                  "by the Free Software Foundation",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+                 "granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "epl-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License",
+    "cc-short-notice": "Licensed under CC BY-NC 4.0.",
+    "cc0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "rights-reserved": "All rights reserved.",
     "rights": "All rights reserved. No part of this publication may be reproduced without permission of the publisher",
 }
 RESULT = {"n_words": "long", "n_base": "long", "first_word": "long", "last_word": "long", "base_labels": "string",
@@ -56,17 +70,13 @@ def _split(text: str) -> np.ndarray:
     return words.hashes(data, start, end)[0]
 
 
-def _blocks(data, at, vocabulary):
-    """(row, start, word hashes of all words; block and vocabulary number of every distinct vocabulary word of a block)."""
+def _words(data, at, vocabulary):
+    """(row, hash) of all words, the places of those in the vocabulary, and their numbers there."""
     row, start, end = words.spans(data, at, words.ALNUM)
     word, = words.hashes(data, start, end)
-    place = np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)
-    known = np.flatnonzero(vocabulary[place] == word)
-    line = np.searchsorted(np.flatnonzero(data == 10), start[known]) + row[known]  # a row's end ends a block as well
-    pair = np.unique(line * len(vocabulary) + place[known])
-    owner = np.zeros(int(line[-1]) + 1 if len(line) else 0, np.int64)
-    owner[line] = row[known]
-    return row, word, pair // len(vocabulary), pair % len(vocabulary), owner
+    number = np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)
+    known = np.flatnonzero(vocabulary[number] == word)
+    return row, word, known, number[known]
 
 
 def _uses(vocabulary: np.ndarray):
@@ -74,8 +84,7 @@ def _uses(vocabulary: np.ndarray):
         total = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
             for _, _, data, at in words.chunks(batch.column(0)):
-                *_, known, _ = _blocks(data, at, vocabulary)
-                total += np.bincount(known, minlength=len(vocabulary))
+                total += np.bincount(_words(data, at, vocabulary)[3], minlength=len(vocabulary))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["word", "uses"])
 
     return rows
@@ -105,37 +114,95 @@ def _places(row: np.ndarray, word: np.ndarray, phrases: list[tuple[np.ndarray, s
     return count, low, high, labels
 
 
+@dataclass(frozen=True)
+class _Template:
+    """A template's distinct words by rank, rarest first; the length of its blocks and the words they need."""
+
+    label: str
+    ranks: np.ndarray
+    length: int
+    need: int
+
+    @property
+    def prefix(self) -> np.ndarray:
+        return self.ranks[: len(self.ranks) - self.need + 1]
+
+
+def _stretches(heads, t: _Template, row, known, rank):
+    """Places of the template's words in the stretches of blocks around ``heads``, and their index in the template; the
+    stretches pass the length and position filters."""
+    first = np.searchsorted(row, row[heads])
+    last = np.searchsorted(row, row[heads], "right")
+    lo, hi = np.maximum(heads - t.length + 1, first), np.minimum(heads + t.length, last)
+    a, b = np.searchsorted(known, lo), np.searchsorted(known, hi)
+    a, b = a[b - a >= t.need], b[b - a >= t.need]
+    if not len(a):
+        return a, a
+    # heads are in order, so stretches that overlap are neighbours: each place is taken once
+    cut = np.flatnonzero(np.r_[True, a[1:] >= b[:-1]])
+    begin, stop = a[cut], b[np.r_[cut[1:] - 1, len(b) - 1]]
+    size = stop - begin
+    at = np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+    part = np.repeat(np.arange(len(size)), size)
+    index = np.minimum(np.searchsorted(t.ranks, rank[at]), len(t.ranks) - 1)
+    own = t.ranks[index] == rank[at]
+    at, part, index = known[at[own]], part[own], index[own]
+    rarest = np.full(len(size), len(t.ranks))
+    np.minimum.at(rarest, part, index)
+    good = (np.bincount(part, minlength=len(size)) >= t.need) & (len(t.ranks) - rarest >= t.need)
+    return at[good[part]], index[good[part]]
+
+
+def _met(at, index, t: _Template, row):
+    """(row, distinct template words) of the blocks that meet the template.
+
+    A word at p whose last place before is q is new in the blocks that start after q, and in them up to p.
+    """
+    if not len(at):
+        return at, at
+    order = np.lexsort((at, index))
+    at, index = at[order], index[order]
+    before = np.r_[-1, np.where(index[1:] == index[:-1], at[:-1], -1)]
+    start = np.maximum(np.maximum(before + 1, at - t.length + 1), np.searchsorted(row, row[at]))
+    place, back = np.unique(np.r_[start, at + 1], return_inverse=True)
+    count = np.cumsum(np.bincount(back, np.r_[np.ones(len(at)), -np.ones(len(at))])).astype(np.int64)
+    met = count >= t.need
+    return row[place[met]], count[met]
+
+
 def _scanned(vocabulary, rank, templates, phrases, text_at, least):
     """Rows with results; ``rank`` is each vocabulary word's place in the global order, rarest first."""
-    sets = [(label, np.sort(rank[np.unique(np.searchsorted(vocabulary, t))])) for label, t in templates]
+    sets, index = [], {}
+    for label, t in templates:
+        ranks = np.sort(rank[np.searchsorted(vocabulary, np.unique(t))])
+        sets.append(_Template(label, ranks, len(t), math.ceil(least * len(ranks) - 1e-9)))
+        for r in sets[-1].prefix.tolist():
+            index.setdefault(r, []).append(len(sets) - 1)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {name: [] for name in RESULT}
             for lo, hi, data, at in words.chunks(batch.column(text_at)):
                 n = hi - lo
-                row, word, block, known, owner = _blocks(data, at, vocabulary)
+                row, word, known, number = _words(data, at, vocabulary)
                 count, low, high, base = _places(row, word, phrases, n)
                 labels, score = [set(b) for b in base], (count > 0).astype(float)
-                order = np.lexsort((rank[known], block))
-                block, known = block[order], rank[known][order]
-                size = np.bincount(block, minlength=len(owner))
-                begin = np.searchsorted(block, np.arange(len(owner)))
-                for label, t in sets:
-                    need = math.ceil(least * len(t) - 1e-9)
-                    i = np.minimum(np.searchsorted(t, known), len(t) - 1)
-                    shared = t[i] == known
-                    left = np.minimum(len(t) - i, size[block] - (np.arange(len(block)) - begin[block]))
-                    # the first shared word of a block decides: nothing before it is shared
-                    hit = np.flatnonzero(shared)
-                    heads = hit[np.r_[True, block[hit][1:] != block[hit][:-1]]] if len(hit) else hit
-                    good = (i[heads] < len(t) - need + 1) & (size[block[heads]] >= need) & (left[heads] >= need)
-                    chosen = np.zeros(len(owner), bool)
-                    chosen[block[heads[good]]] = True
-                    overlap = np.bincount(block[hit][chosen[block[hit]]], minlength=len(owner))
-                    for b in np.flatnonzero(overlap >= need):
-                        labels[owner[b]].add(label)
-                        score[owner[b]] = max(score[owner[b]], overlap[b] / len(t))
+                ranks = rank[number]
+                order = np.argsort(ranks, kind="stable")
+                some, begin = np.unique(ranks[order], return_index=True)
+                found: dict[int, list[np.ndarray]] = {}
+                for r, a, b in zip(some.tolist(), begin, np.r_[begin[1:], len(order)], strict=True):
+                    for k in index.get(r, ()):
+                        found.setdefault(k, []).append(known[order[a:b]])
+                for k, heads in found.items():
+                    t = sets[k]
+                    places, which = _stretches(np.sort(np.concatenate(heads)), t, row, known, ranks)
+                    owner, overlap = _met(places, which, t, row)
+                    best = np.zeros(n, np.int64)
+                    np.maximum.at(best, owner, overlap)
+                    for i in np.flatnonzero(best):
+                        labels[i].add(t.label)
+                        score[i] = max(score[i], best[i] / len(t.ranks))
                 out["n_words"] += np.bincount(row, minlength=n).tolist()
                 out["n_base"] += count.tolist()
                 out["first_word"] += [int(x) if c else None for x, c in zip(low, count, strict=True)]

@@ -159,26 +159,27 @@ FROM embeddings JOIN m ON m.v = vec_id LEFT JOIN n ON n.a = vec_id
 
 
 def _license_sql() -> str:
-    """Every line against every template, without any filter."""
+    """Every block of every template's length that starts at one of its words, without any filter."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     words = lambda c: f"regexp_extract_all(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     rows = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licenses.TEMPLATES.items())
     phrases = " UNION ALL ".join(
-        f"SELECT doc_id, i - 1 AS place, {quoted(label)} AS label FROM w, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) WHERE "
+        f"SELECT row, i - 1 AS place, {quoted(label)} AS label FROM w, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) WHERE "
         + " AND ".join(f"w[i + {j}] = {quoted(x)}" for j, x in enumerate(phrase.split())) for phrase, label in licenses.PHRASES.items())
     return f"""
-WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {words("coalesce(text, '')")} AS w FROM documents),
-t AS (SELECT label, list_distinct({words('body')}) AS t FROM (VALUES {rows}) v(label, body)),
-b AS (SELECT doc_id, list_distinct({words('line')}) AS b FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)),
-m AS (SELECT doc_id, label, max(len(list_intersect(b, t)) / len(t)) AS share FROM b, t
-      WHERE len(list_intersect(b, t)) >= ceil({licenses.LEAST} * len(t) - 1e-9) GROUP BY 1, 2),
+WITH w AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, w FROM (SELECT doc_id, {words("coalesce(text, '')")} AS w FROM documents)),
+t AS (SELECT label, len(t) AS length, list_distinct(t) AS t FROM (SELECT label, {words('body')} AS t FROM (VALUES {rows}) v(label, body))),
+k AS (SELECT row, label, length, len(t) AS n, x.word, i FROM (SELECT row, unnest(w) AS word, unnest(range(len(w))) AS i FROM w) x
+      JOIN (SELECT label, length, t, unnest(t) AS word FROM t) y ON x.word = y.word),
+b AS (SELECT row, label, n, count(DISTINCT word) OVER (PARTITION BY row, label ORDER BY i RANGE BETWEEN CURRENT ROW AND length - 1 FOLLOWING) AS shared FROM k),
+m AS (SELECT row, label, max(shared) / n AS share FROM b WHERE shared >= ceil({licenses.LEAST} * n - 1e-9) GROUP BY row, label, n),
 p AS ({phrases}),
-pb AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY 1),
-al AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM m UNION ALL SELECT doc_id, label FROM p) GROUP BY 1),
-sc AS (SELECT doc_id, max(share) AS share FROM m GROUP BY 1)
+pb AS (SELECT row, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY 1),
+al AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT row, label FROM m UNION ALL SELECT row, label FROM p) GROUP BY 1),
+sc AS (SELECT row, max(share) AS share FROM m GROUP BY 1)
 SELECT w.doc_id, len(w) AS n_words, coalesce(pb.n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(pb.labels, '') AS base_labels,
        coalesce(al.labels, '') AS labels, greatest(coalesce(share, 0), CASE WHEN pb.n > 0 THEN 1 ELSE 0 END)::DOUBLE AS score
-FROM w LEFT JOIN pb USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN sc USING (doc_id)
+FROM w LEFT JOIN pb USING (row) LEFT JOIN al USING (row) LEFT JOIN sc USING (row)
 """
 
 
