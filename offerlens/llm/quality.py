@@ -1,7 +1,8 @@
 """Document quality by hierarchical empirical Bayes: text evidence combined with site and path posteriors.
 
 1. A logistic model on features of the whole text gives every document p, the chance of good quality from its text. It is
-   fitted on at most ``PER_CLASS`` labelled rows of each class (those with the least hash of their id).
+   fitted on at most ``PER_CLASS`` labelled rows of each class (those with the least hash of their id; equal texts of an id
+   count as one row, and an id's further texts as rows of their own).
 2. Grouped sums over all documents give each site's and each path's count and sum of p. Site means are shrunk towards the
    global mean and path means towards their site's posterior, with strengths found by moments from the spread between
    groups beyond their sampling noise. A sparse site therefore follows the prior, a large one its own documents. A
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from offerlens.llm import words
+from offerlens.llm import sampling, words
 
 PER_CLASS = 4000
 KEEP = 0.5
@@ -97,8 +98,8 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for lo, hi, data, at in words.chunks(batch.column(2)):
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(list(features(data, at)), pa.list_(pa.float64()))],
-                names=["id", "good", "x"])
+                [*[batch.column(i).slice(lo, hi - lo) for i in (0, 1, 3)], pa.array(list(features(data, at)), pa.list_(pa.float64()))],
+                names=["id", "mark", "body", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"):
@@ -108,12 +109,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     n, share = marked.agg(F.count("*"), F.avg(F.col("good").cast("double"))).first()
     prior = 0.5 if not n else min(max(share, 1e-3), 1 - 1e-3)
     if n and 0 < share < 1:
-        draw = F.xxhash64("id")
-        sample = marked.where("good = 1").orderBy(draw, "id").limit(PER_CLASS).unionByName(marked.where("good = 0").orderBy(draw, "id").limit(PER_CLASS))
-        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "good", "text")
+        texts = sampling.texts_of_sample(docs, marked.withColumnRenamed("good", "mark"), PER_CLASS, id_col=id_col, text_col=text_col)
+        found = texts.mapInArrow(_feature_rows, f"id {sampling.id_type(texts)}, mark int, body binary, x array<double>")
         # 2 * PER_CLASS rows of N_FEATURES numbers at most
-        rows = sorted(texts.mapInArrow(_feature_rows, "id long, good int, x array<double>").collect(), key=lambda r: (r["id"], r["x"]))
-        x, good = np.array([r["x"] for r in rows]), np.array([r["good"] for r in rows], float)
+        rows = sorted(sampling.rows_per_mark(found, PER_CLASS).collect(), key=lambda r: (r["id"], r["body"]))
+        x, good = np.array([r["x"] for r in rows]), np.array([r["mark"] for r in rows], float)
         if len(rows) and 0 < good.mean() < 1:
             return prior, *fit(x, good, prior)
     return prior, None, None, None

@@ -7,7 +7,7 @@ Terms are hashed into ``BUCKETS``; the ones that tell the classes apart best are
 
 learns their weights and pairwise interactions, such as an insult next to the mention of a group, from a sample of
 labelled rows. Only this sample is bounded (``PER_CLASS`` rows of each class, those with the least hash of their
-id); it is cut in Spark, turned into terms in Spark and fitted in one task, as its size doesn't grow. Every text is
+id; equal texts of an id count as one row, and its further texts as rows of their own); it is cut in Spark, turned into terms in Spark and fitted in one task, as its size doesn't grow. Every text is
 scored whole, in one pass without a shuffle; the model that the tasks get is bounded by ``KEPT`` terms.
 
 Null and empty texts have no terms and get the score of the bias. Null labels are left out; of repeated labels the
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from offerlens.llm import words
+from offerlens.llm import sampling, words
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7, 8)
@@ -57,8 +57,8 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, data, at in words.chunks(batch.column(2)):
             row, term = terms(data, at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), words.lists(row, term.astype(np.int32), hi - lo)],
-                names=["id", "toxic", "terms"])
+                [*[batch.column(i).slice(lo, hi - lo) for i in (0, 1, 3)], words.lists(row, term.astype(np.int32), hi - lo)],
+                names=["id", "mark", "body", "terms"])
 
 
 def _signal(row: np.ndarray, term: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,8 +128,8 @@ def _response(bias, w, v, row, term, n):
 def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = pa.Table.from_batches(list(batches), schema=None) if (batches := list(batches)) else None
     if rows is not None and len(rows):
-        rows = rows.sort_by("id").combine_chunks()
-        toxic = rows["toxic"].to_numpy().astype(bool)
+        rows = rows.sort_by([("id", "ascending"), ("body", "ascending")]).combine_chunks()
+        toxic = rows["mark"].to_numpy().astype(bool)
         if toxic.any() and not toxic.all():
             listed = rows["terms"].combine_chunks()
             count = np.diff(listed.offsets.to_numpy())
@@ -141,20 +141,17 @@ def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
-    """(bias, buckets, weights, factors) learnt from at most PER_CLASS labelled documents of each class."""
+    """(bias, buckets, weights, factors) learnt from at most PER_CLASS labelled rows of each class."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     marked = marked.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     n, share = marked.agg(F.count("*"), F.avg(F.col("toxic").cast("double"))).first()
     none = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS))
     prior = 0.5 if not n else min(max(share, 1e-3), 1 - 1e-3)
     if n and 0 < share < 1:
-        draw = F.xxhash64("id")
-        sample = marked.where("toxic = 1").orderBy(draw, "id").limit(PER_CLASS).unionByName(
-            marked.where("toxic = 0").orderBy(draw, "id").limit(PER_CLASS))
-        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        joined = texts.join(F.broadcast(sample), "id").select("id", "toxic", "text")  # 2 * PER_CLASS ids at most
-        found = joined.mapInArrow(_term_rows, "id long, toxic int, terms array<int>")
-        found = found.withColumn("prior", F.lit(prior)).repartition(1)
+        texts = sampling.texts_of_sample(docs, marked.withColumnRenamed("toxic", "mark"), PER_CLASS, id_col=id_col, text_col=text_col)
+        found = texts.mapInArrow(_term_rows, f"id {sampling.id_type(texts)}, mark int, body binary, terms array<int>")
+        # 2 * PER_CLASS rows at most
+        found = sampling.rows_per_mark(found, PER_CLASS).withColumn("prior", F.lit(prior)).repartition(1)
         model = found.mapInArrow(_fit_rows, MODEL_SCHEMA).collect()
         if model:
             m = model[0]

@@ -1,9 +1,12 @@
+import math
 import random
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from offerlens.llm import toxicity
+from offerlens.llm import sampling, toxicity
 
 
 def corpus(n=1600):
@@ -57,3 +60,35 @@ def test_without_both_classes(spark, documents, labels):
 def test_empty_table(spark, documents):
     df = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
     assert toxicity.classify(documents([]), df).count() == 0
+
+
+def test_against_brute_force(spark, tables):
+    """Scores from the learnt weights, pair by pair of a text's terms."""
+    rows, docs, labels = tables
+    model = toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    bias, kept, w, v = model
+    place = {int(k): i for i, k in enumerate(kept)}
+    for r in toxicity.score(docs, model).collect()[::40]:
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        _, term = toxicity.terms(data, np.array([0, len(data)]))
+        own = [place[int(t)] for t in term if int(t) in place]
+        y = bias + sum(w[i] for i in own) + sum(v[i] @ v[j] for n, i in enumerate(own) for j in own[:n])
+        assert abs(r.score - 1 / (1 + math.exp(-max(-30, min(30, y))))) < 1e-9
+
+
+def test_a_labelled_id_with_many_rows(spark, monkeypatch):
+    """The sample holds one row per text of an id and at most PER_CLASS rows of a class; ids may be strings."""
+    monkeypatch.setattr(toxicity, "PER_CLASS", 20)
+    equal = spark.range(50_000).selectExpr("'a' AS doc_id", "'rotten northerners' AS text")
+    many = spark.range(300).selectExpr("'b' AS doc_id", "concat('fine words ', id) AS text")
+    marked = spark.createDataFrame([("a", 1), ("b", 0)], "id string, mark int")
+    texts = sampling.texts_of_sample(equal.unionByName(many), marked, 20, id_col="doc_id", text_col="text")
+    assert sampling.rows_per_mark(texts, 20).groupBy("mark").count().orderBy("mark").collect() == [(0, 20), (1, 1)]
+    labels = marked.withColumnsRenamed({"id": "doc_id", "mark": "toxic"})
+    got = toxicity.score(equal.unionByName(many), toxicity.train(equal.unionByName(many), labels))
+    assert got.count() == 50_300
+
+
+def test_cut_before_the_shuffle(spark):
+    df = spark.range(10).selectExpr("id", "cast(id % 2 AS int) AS mark", "unhex(sha2(cast(id AS string), 256)) AS body")
+    assert sampling.rows_per_mark(df, 3)._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
