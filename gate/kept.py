@@ -10,6 +10,7 @@ from gate import catalog as GC
 from gate import compare as GA
 from gate import extraction as GX
 from gate import history as GH
+from gate import matching as GM
 from gate import quality as GQ
 from gate import state as GS
 from gate import tables as G
@@ -17,6 +18,7 @@ from gate.base import Gate
 from offerlens.plans import jobs as P
 from offerlens.session import checkpoint_dir
 from offerlens.sources import kept as K
+from offerlens.sources import kept_matches as KM
 from offerlens.sources import observations as O
 from offerlens.sources.passes import Passes
 from offerlens.streaming import jobs as T
@@ -73,6 +75,21 @@ def kept_history(spark, d):
     return kept.price_history().withColumn("obs_date", F.col("obs_date").cast("string"))
 
 
+@gate("kept_matches", GM.SQL["best_matches"])
+def kept_matches(spark, d):
+    """Matches kept over changes: listings under other titles, listings and names that are gone later, one change twice."""
+    kept = KM.KeptMatches(spark, scratch(spark, "matches"), buckets=16)
+    names, listings = GM.entities(spark, d), GM.products(spark, d).drop("seller_id")
+    later = F.pmod(F.xxhash64("product_ord"), F.lit(8)) == 0
+    turned = listings.filter(later).withColumn("title", F.reverse("title"))
+    extra = listings.filter(later).withColumn("product_ord", -F.col("product_ord") + (1 << 40))
+    kept.change(listings.filter(~later).unionByName(turned).unionByName(extra), names=names.withColumn("name", F.lit("Old Name")))
+    change = dict(products=listings.filter(later), gone=extra.select("product_ord"), names=names)
+    for _ in range(2):
+        kept.change(**change)
+    return kept.best_matches()
+
+
 @gate("collection_runs", GQ.SQL["snapshot_after"])
 def collection_runs(spark, d):
     """Two collection runs with their writes. The second is cut off before its marker and run again."""

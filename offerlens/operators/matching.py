@@ -62,6 +62,17 @@ def _distinct_titles(products: DataFrame, group: list[str], keep: int) -> DataFr
     return firsts.withColumn("p_words", F.split("p_key", " "))
 
 
+def _wanted(sets: DataFrame, name_key: list[str], threshold: float) -> DataFrame:
+    """name_key.., needed, n, word: the words of each distinct name, and how many of its n words a title has to share."""
+    share = F.sequence(F.lit(1), F.size("e_words"))
+    needed = F.get(F.filter(share, lambda k: k / F.size("e_words") * F.col("e_weight") >= F.lit(threshold)), 0)
+    return (
+        sets.select(*name_key).distinct().withColumn("e_words", F.split("e_key", " "))
+        .withColumn("needed", needed).filter(F.col("needed").isNotNull())
+        .select(*name_key, "needed", F.size("e_words").alias("n"), F.explode("e_words").alias("word"))
+    )
+
+
 def best_by_words(
     names: DataFrame, products: DataFrame, threshold: float, group: list[str], exclude: bool = False
 ) -> DataFrame:
@@ -75,18 +86,7 @@ def best_by_words(
     sets = names.withColumn("e_key", _key(F.col("e_words"))).filter("e_key != ''")
     words_of_key = F.split("e_key", " ")
     share = lambda k, n: k / n * F.col("e_weight")
-    needed = F.get(
-        F.filter(
-            F.sequence(F.lit(1), F.size("e_words")),
-            lambda k: share(k, F.size("e_words")) >= F.lit(threshold),
-        ),
-        0,
-    )
-    wanted = (
-        sets.select(*name_key).distinct().withColumn("e_words", words_of_key)
-        .withColumn("needed", needed).filter(F.col("needed").isNotNull())
-        .select(*name_key, "needed", F.size("e_words").alias("n"), F.explode("e_words").alias("word"))
-    )
+    wanted = _wanted(sets, name_key, threshold)
     titles = _distinct_titles(products, group, 2 if exclude else 1)
     title_words = titles.select("*", F.explode("p_words").alias("word"))
     allowed = ~F.col("p_handle").eqNullSafe(F.col("e_exclude")) if exclude else F.lit(True)
@@ -231,18 +231,37 @@ def best_matches(
     handle. ``group`` (such as the seller) keeps matching within one group.
     """
     group = group or []
-    by = [*group, "kind"]
-    names = _names(
+    best = best_pairs(match_names(entities, group), match_listings(products, group), threshold, group)
+    return with_listing(best, products, group)
+
+
+def match_names(entities: DataFrame, group: list[str]) -> DataFrame:
+    """One row per text of an entity that ``best_matches`` compares."""
+    return _names(
         entities, group,
         [("title", F.col("name"), 1.0), ("title", F.col("botanical"), 0.8), ("handle", _ids("entity_id"), 0.9)],
         N.match_text, N.match_words, F.lit(""),
     )
-    listings = _listings(
+
+
+def match_listings(products: DataFrame, group: list[str]) -> DataFrame:
+    """One row per text of a listing that ``best_matches`` compares."""
+    return _listings(
         products, group, [("title", F.col("title")), ("handle", _ids("handle"))],
         N.match_text, N.match_words,
     )
+
+
+def best_pairs(names: DataFrame, listings: DataFrame, threshold: float, group: list[str]) -> DataFrame:
+    """group.., e_id, score, p_ord: the best listing of every name that has one."""
+    by = [*group, "kind"]
     legs = [best_by_words(names, listings, threshold, by), best_by_text(names, listings, by)]
-    best = _with_product(_best_of(legs, group, threshold), products, group)
+    return _best_of(legs, group, threshold)
+
+
+def with_listing(best: DataFrame, products: DataFrame, group: list[str]) -> DataFrame:
+    """The rows of ``best_pairs`` as ``best_matches`` gives them."""
+    best = _with_product(best, products, group)
     return best.select(
         *group,
         F.col("e_id").alias("entity_id"),
@@ -253,48 +272,66 @@ def best_matches(
     )
 
 
-def _grams(text: Column, q: int) -> Column:
-    starts = F.when(F.length(text) >= q, F.sequence(F.lit(1), F.length(text) - q + 1))
-    return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.substr(text, i, F.lit(q)))
+def _gram_length(scale: Column) -> Column:
+    """Three quarters of the scale's window, so two grams or more fit into a window of four."""
+    return F.when(scale < 4, scale).otherwise((scale * 3 / 4).cast("int"))
 
 
-def containing(short: DataFrame, long: DataFrame) -> DataFrame:
-    """Pairs (s_id, l_id) where the long text contains the short one, character for character.
+def _scales(text: Column) -> Column:
+    """The powers of two that are at most the text's length (not 0)."""
+    last = F.floor(F.log2(F.length(text) + F.lit(0.5))).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.pow(F.lit(2), k).cast("int"))
 
-    short: s_id, s_text; long: l_id, l_text; texts distinct and not empty. A text that contains
-    another contains all its three-letter pieces, so only the rarest piece is joined on.
-    """
-    pieces = F.array_distinct(
-        F.when(F.length("s_text") == 1, _grams(F.col("s_text"), 1))
-        .when(F.length("s_text") == 2, _grams(F.col("s_text"), 2))
-        .otherwise(_grams(F.col("s_text"), 3))
-    )
-    wanted = short.select("s_id", "s_text", F.explode(pieces).alias("gram"))
-    all_grams = F.array_distinct(
-        F.concat(*[_grams(F.col("l_text"), q) for q in (1, 2, 3)])
-    )
-    have = long.select("l_id", "l_text", F.explode(all_grams).alias("gram")).join(
-        wanted.select("gram").distinct(), "gram", "left_semi"
+
+def _window_keys(text: Column, scale: Column) -> Column:
+    """The keys of all windows of ``scale`` characters: the least hash of a window's grams. A text's windows are also windows
+    of every text around it, so they have the same keys there."""
+    q = _gram_length(scale)
+    hashes = F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.xxhash64(scale, F.substr(text, i, q)))
+    windows = F.transform(
+        F.sequence(F.lit(1), F.length(text) - scale + 1), lambda i: F.array_min(F.slice(hashes, i, scale - q + 1))
     )
-    frequency = have.groupBy("gram").agg(F.count("*").alias("df"))
+    return F.array_distinct(F.when(F.length(text) >= scale, windows).otherwise(F.array().cast("array<bigint>")))
+
+
+def containment_candidates(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(s_id, s_text, l_id, l_text): pairs that share the rarest window key of the short text.
+
+    A key stands for at least three eighths of the short text, so a common piece of a few letters brings no candidates. Long
+    texts are filed under their distinct window keys, fewer than they have letters, and only for window lengths in use.
+    """
+    wanted = short.select("s_id", "s_text", F.element_at(_scales(F.col("s_text")), -1).alias("scale"))
+    scales = wanted.agg(F.array_sort(F.collect_set("scale"))).scalar()
+    wanted = wanted.select("s_id", "s_text", F.explode(_window_keys(F.col("s_text"), F.col("scale"))).alias("key"))
+    fitting = F.array_intersect(_scales(F.col("l_text")), scales)
+    filed = long.select("l_id", "l_text", F.explode(fitting).alias("scale"))
+    have = filed.select("l_id", "l_text", F.explode(_window_keys(F.col("l_text"), F.col("scale"))).alias("key")).join(
+        wanted.select("key").distinct(), "key", "left_semi"
+    )
+    frequency = have.groupBy("key").agg(F.count("*").alias("df"))
     parts = (F.col("df") / SPLIT).cast("int") + 1
     rarest = (
-        wanted.join(frequency, "gram", "left")
+        wanted.join(frequency, "key", "left")
         .groupBy("s_id", "s_text")
-        .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("g"))
-        .select("s_id", "s_text", "g.gram", "g.df")
+        .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key")).alias("g"))
+        .select("s_id", "s_text", "g.key", "g.df")
         .filter("df > 0")
     )
     probes = rarest.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    split = rarest.select("gram", parts.alias("parts")).distinct()
-    targets = have.join(split, "gram").withColumn(
+    split = rarest.select("key", parts.alias("parts")).distinct()
+    targets = have.join(split, "key").withColumn(
         "part", F.pmod(F.xxhash64("l_text"), F.col("parts")).cast("int")
     )
-    return (
-        probes.join(targets, ["gram", "part"])
-        .filter(F.col("l_text").contains(F.col("s_text")))
-        .select("s_id", "l_id")
-    )
+    return probes.join(targets, ["key", "part"]).select("s_id", "s_text", "l_id", "l_text")
+
+
+def containing(short: DataFrame, long: DataFrame) -> DataFrame:
+    """Pairs (s_id, l_id) where the long text contains the short one, character for character.
+
+    short: s_id, s_text; long: l_id, l_text; texts distinct and not empty. Every candidate is compared in full.
+    """
+    pairs = containment_candidates(short, long)
+    return pairs.filter(F.col("l_text").contains(F.col("s_text"))).select("s_id", "l_id")
 
 
 def _substring_leg(entities: DataFrame, products: DataFrame, weight: float) -> DataFrame:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from offerlens.operators import compare as A
 from offerlens.operators import state as S
@@ -42,6 +43,13 @@ class KeptTable:
         """All rows. A filter on the key's bucket is not needed: merges find it themselves."""
         return self.spark.read.parquet(self.path).drop(BUCKET)
 
+    def near(self, keys: DataFrame, schema: StructType) -> DataFrame:
+        """The rows of the buckets that hold ``keys``; other buckets are not read. ``schema`` is that of a table not yet written."""
+        if not self.exists():
+            return self.spark.createDataFrame([], schema)
+        touched = [r[0] for r in self._filed(keys).select(BUCKET).distinct().collect()]  # at most ``buckets``
+        return self.spark.read.parquet(self.path).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
+
     def _write(self, df: DataFrame) -> None:
         filed = self._filed(df).hint("rebalance", BUCKET)
         filed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
