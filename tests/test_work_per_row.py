@@ -35,3 +35,11 @@ def test_strip_named_and_let(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t STRING")
     assert all(a == b for a, b in df.select(strip("t"), strip_named(F.col("t"))).collect())
     assert "transform(" not in plan(df.select(let(F.upper("t"), lambda x: F.concat(x, x))))
+
+
+def test_offers_are_cut_out_of_their_match(spark):
+    html = ('{"@type":"Offer","sku":"12-ab","price":"n/a","x":1,"price":"3.50","availability":"https://schema.org/InStock"}'
+            '{"@type":"Offer","sku":"7","price":"4","availability":"OutOfStock"}{"@type":"Offer","sku":"8-PACK","price":"4","availability":"InStock"}')
+    df = spark.createDataFrame([(html,)], "html STRING").select(X._offers(F.col("html"), FV.OFFER_PATTERN).alias("o"))
+    assert [tuple(o) for o in df.first().o] == [("12-ab", "12", 3.5, True), ("7", "7", 4.0, False)]
+    assert len(re.findall(r"regexp_extract\(", plan(df))) <= 1
