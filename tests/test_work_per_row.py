@@ -43,3 +43,8 @@ def test_offers_are_cut_out_of_their_match(spark):
     df = spark.createDataFrame([(html,)], "html STRING").select(X._offers(F.col("html"), FV.OFFER_PATTERN).alias("o"))
     assert [tuple(o) for o in df.first().o] == [("12-ab", "12", 3.5, True), ("7", "7", 4.0, False)]
     assert len(re.findall(r"regexp_extract\(", plan(df))) <= 1
+
+
+def test_archived_pages_are_one_pass(spark):
+    """Not a union, whose parts get half the tasks each."""
+    assert "Union" not in plan(GX.archive_offers(spark, SF))
