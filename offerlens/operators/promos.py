@@ -10,6 +10,7 @@ from offerlens.functions import fixed_values as FV
 from offerlens.functions.text import all_groups, any_of, explode_found, first_group, html_text, keep_first, let, squeeze
 from offerlens.operators.state import replace_by_key
 
+FOUND = "array<struct<kind:string,i:int,v:string>>"
 MARK, MID, END = "\x01", "\x02", "\x03"
 
 
@@ -129,19 +130,20 @@ def merge_page_promos(signals: DataFrame, order: str, keys: list[str]) -> DataFr
     many pages arrives as its distinct values.
     """
 
-    def distinct_of(column: str) -> DataFrame:
-        seen = signals.select(*keys, order, F.posexplode(column).alias("i", "v"))
-        first = seen.groupBy(*keys, "v").agg(F.min(F.struct(order, "i")).alias("at"))
-        return first.groupBy(*keys).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x.v).alias(column)
-        )
+    def values_of(kind: str) -> Column:
+        return F.transform(kind, lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), v.alias("v")))
 
-    none = F.array().cast("array<string>")
-    return (
-        signals.select(*keys).distinct()
-        .join(distinct_of("codes"), keys, "left").join(distinct_of("banners"), keys, "left")
-        .select(*keys, F.coalesce("codes", none).alias("codes"), F.coalesce("banners", none).alias("banners"))
-    )
+    def listed(kind: str) -> Column:
+        found = F.collect_list(F.when(F.col("_kind") == kind, F.struct("_at", "_v")))
+        return F.transform(F.array_sort(found), lambda x: x["_v"]).alias(kind)
+
+    # one outer explode for both: it keeps pages without values, and a plain one would have Spark filter on the arrays below
+    # the projections that build them, which extracts everything again
+    both = F.concat(*[F.coalesce(values_of(kind), F.array().cast(FOUND)) for kind in ("codes", "banners")])
+    seen = signals.select(*keys, order, F.explode_outer(both).alias("_s"))
+    value = [F.col("_s.kind").alias("_kind"), F.col("_s.v").alias("_v")]
+    first = seen.groupBy(*keys, *value).agg(F.min(F.struct(order, F.col("_s.i").alias("_i"))).alias("_at"))
+    return first.groupBy(*keys).agg(listed("codes"), listed("banners"))
 
 
 def update_promos(snapshot: DataFrame, merged: DataFrame, key: list[str]) -> DataFrame:

@@ -37,6 +37,15 @@ def test_strip_named_and_let(spark):
     assert "transform(" not in plan(df.select(let(F.upper("t"), lambda x: F.concat(x, x))))
 
 
+def test_page_values_are_extracted_once(spark):
+    """No filter on extracted values below the explode; pages and sellers without values stay."""
+    df = spark.createDataFrame([(1, "s", "Use code SAVE10 now"), (2, "s", "flash sale, use code SAVE10"), (3, "t", "none")], "i INT, seller_id STRING, html STRING")
+    merged = PR.merge_page_promos(PR.promo_signals(df), "i", ["seller_id"])
+    assert not [line for line in plan(merged).splitlines() if "Filter" in line]
+    assert {tuple(r) for r in merged.select("seller_id", F.array_join("codes", ","), F.array_join("banners", ",")).collect()} == {
+        ("s", "SAVE10", "flash sale"), ("t", "", "")}
+
+
 def test_offers_are_cut_out_of_their_match(spark):
     html = ('{"@type":"Offer","sku":"12-ab","price":"n/a","x":1,"price":"3.50","availability":"https://schema.org/InStock"}'
             '{"@type":"Offer","sku":"7","price":"4","availability":"OutOfStock"}{"@type":"Offer","sku":"8-PACK","price":"4","availability":"InStock"}')
