@@ -126,14 +126,25 @@ def best_per_tier(current: DataFrame, keys: Cols = COLS) -> DataFrame:
 
 
 def mark_best(current: DataFrame, keys: Cols = COLS) -> DataFrame:
-    """Every offer with ``is_best`` and, per listing, ``has_best_price``."""
-    won = best_per_tier(current, keys).select(*keys.pair, keys.tier, F.lit(True).alias("_won"))
-    w = Window.partitionBy(*keys.pair)
+    """Every offer with ``is_best`` and, per listing, ``has_best_price``.
+
+    The winner is found in place, so the offers are worked out and dealt out by entity once. An entity has one row
+    per seller and tier.
+    """
+    is_open = F.coalesce(
+        P.buyable(F.col(keys.in_stock)) & ~F.col("unavailable") & T.is_visible_tier(F.col(keys.tier)), F.lit(False)
+    )
+    by_rank = Window.partitionBy(keys.entity, keys.tier).orderBy(
+        F.col("_open").desc(), F.col(keys.price), *_newest_first(keys)
+    )
+    winner = F.first(F.when(F.col("_open"), F.col(keys.seller))).over(by_rank)
+    known = F.col(keys.entity).isNotNull()  # null keys match nothing
     return (
-        current.join(won, [*keys.pair, keys.tier], "left")
-        .withColumn("is_best", F.coalesce("_won", F.lit(False)))
-        .withColumn("has_best_price", F.max("is_best").over(w))
-        .drop("_won")
+        current.withColumn("_open", is_open).repartition(keys.entity)
+        .withColumn("_winner", winner)
+        .withColumn("is_best", F.coalesce(known & (F.col("_winner") == F.col(keys.seller)), F.lit(False)))
+        .withColumn("has_best_price", F.max("is_best").over(Window.partitionBy(*keys.pair)))
+        .drop("_open", "_winner")
     )
 
 

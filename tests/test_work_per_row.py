@@ -57,3 +57,15 @@ def test_offers_are_cut_out_of_their_match(spark):
 def test_archived_pages_are_one_pass(spark):
     """Not a union, whose parts get half the tasks each."""
     assert "Union" not in plan(GX.archive_offers(spark, SF))
+
+
+def test_best_offers_are_marked_in_place(spark):
+    rows = [(1, "a", "1gal", 5.0, 1, True, False), (1, "b", "1gal", 5.0, 2, None, False), (1, "c", "1gal", 4.0, 3, False, False),
+            (1, "a", "2gal", 9.0, 1, False, False), (1, "b", "default", 1.0, 2, True, False), (2, "a", "1gal", 3.0, 1, True, True),
+            (None, "a", "1gal", 3.0, 1, True, False)]
+    df = spark.createDataFrame(rows, "entity_id INT, seller_id STRING, tier STRING, price DOUBLE, ord INT, in_stock BOOLEAN, unavailable BOOLEAN")
+    marked = A.mark_best(df)
+    got = {(r.entity_id, r.seller_id, r.tier): (r.is_best, r.has_best_price) for r in marked.collect()}
+    assert {k for k, v in got.items() if v[0]} == {(1, "b", "1gal")}
+    assert {k for k, v in got.items() if v[1]} == {(1, "b", "1gal"), (1, "b", "default")} and len(got) == len(rows)
+    assert "Join" not in plan(marked)
