@@ -137,8 +137,8 @@ def _landed(spark, d):
     entity = F.regexp_extract(F.col("_metadata.file_path"), r"/file=([^/]+)/", 1)
     for i in range(2):
         part = lines.filter(step == i).select("file", "value")
-        part.hint("rebalance", "file").write.partitionBy("file").text(os.path.join(base, "in", f"seq={i}"))
-        q = T.land_observations(spark, os.path.join(base, "in"), out, os.path.join(base, "state"), max_files=100_000, entity=entity, glob="*.txt")
+        part.hint("rebalance", "file").write.partitionBy("file").text(os.path.join(base, "in", f"seq={i}"), compression="gzip")
+        q = T.land_observations(spark, os.path.join(base, "in"), out, os.path.join(base, "state"), max_files=100_000, entity=entity, glob="*.txt.gz")
         q.trigger(availableNow=True).start().awaitTermination()
     return out
 

@@ -1,9 +1,11 @@
 """Work that a row costs: what is looked for only where it can be, and nothing extracted twice."""
 import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from gate import extraction as GX
+from gate import kept as GP
 from offerlens.functions import fixed_values as FV
 from offerlens.functions import tiers as T
 from offerlens.functions.text import let, strip, strip_named
@@ -69,3 +71,13 @@ def test_best_offers_are_marked_in_place(spark):
     assert {k for k, v in got.items() if v[0]} == {(1, "b", "1gal")}
     assert {k for k, v in got.items() if v[1]} == {(1, "b", "1gal"), (1, "b", "default")} and len(got) == len(rows)
     assert "Join" not in plan(marked)
+
+
+def test_appends_land_compressed(spark):
+    """Lines are written compressed and all are read: sound ones and broken ones."""
+    landed = GP._landed(spark, SF)
+    folder = Path(landed).parent / "in"
+    names = [p.name for p in folder.rglob("part-*")]
+    assert names and all(n.endswith(".txt.gz") for n in names)
+    assert spark.read.parquet(f"{landed}/good").count() + spark.read.parquet(f"{landed}/bad").count() == (
+        spark.read.text(str(folder), recursiveFileLookup=True).filter("trim(value) != ''").count())
