@@ -191,7 +191,8 @@ def _scanned(vocabulary, rank, templates, phrases, text_at, least):
                 order = np.argsort(ranks, kind="stable")
                 some, begin = np.unique(ranks[order], return_index=True)
                 found: dict[int, list[np.ndarray]] = {}
-                for r, a, b in zip(some.tolist(), begin, np.r_[begin[1:], len(order)], strict=True):
+                cuts = np.r_[begin, len(order)]
+                for r, a, b in zip(some.tolist(), cuts[:-1], cuts[1:], strict=True):
                     for k in index.get(r, ()):
                         found.setdefault(k, []).append(known[order[a:b]])
                 for k, heads in found.items():

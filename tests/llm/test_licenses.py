@@ -83,3 +83,11 @@ def test_empty_table_and_bad_templates(spark, documents):
     assert licenses.scan(documents([])).count() == 0
     with pytest.raises(ValueError):
         licenses.scan(documents([]), templates={"none": " . "})
+
+
+def test_batches_without_any_template_word(spark, documents):
+    """Alone in their batch, as at the end of a large file."""
+    rows = [(1, "zzz qqq"), (2, "zzz"), (3, None), (4, "")]
+    got = licenses.scan(documents(rows).repartition(8, "doc_id"), carry=["doc_id"]).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in got) == [
+        (i, n, 0, None, None, "", "", 0.0) for i, n in ((1, 2), (2, 1), (3, 0), (4, 0))]
