@@ -102,6 +102,40 @@ def test_backfill_goes_on_after_it_was_cut_off(spark, tmp_path, monkeypatch):
     assert jobs.resume_backfill(passes, snaps, products, pages, portions=3) == 0
 
 
+def test_backfill_of_months_with_several_urls(spark, tmp_path, monkeypatch):
+    """Snapshots of one month that fall into different portions are in one pass, from pages and product documents, and a pass
+    reads the pages of its portion by one join."""
+    stamp, at = "20230510000000", datetime(2023, 5, 10)
+    urls = [(f"e{i % 6}", f"u{i}") for i in range(18)]
+    snaps = spark.createDataFrame([(e, "s", u, stamp, at, "202305") for e, u in urls] + [("none", "s", None, stamp, at, "202305")], SNAPS)
+    label = '<b aria-label="1 Quart - Sale price: 7.50 - List price: $9.00">'
+    pages = spark.createDataFrame([(u, stamp, "page", label) for _, u in urls[6:]] + [("other", stamp, "page", label)],
+                                  "url STRING, stamp STRING, kind STRING, html STRING")
+    variants = [("1", "1 Gallon", "20", "25", None, None)]
+    products = spark.createDataFrame([(u, stamp, variants) for _, u in urls[:9]], f"url STRING, stamp STRING, variants ARRAY<{VARIANT}>")
+    plans, write = [], Passes.write
+
+    def seen(self, number, name, df):
+        if name == "records":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(self, number, name, df)
+    monkeypatch.setattr(Passes, "write", seen)
+    passes = Passes(spark, str(tmp_path / "p"))
+    homes = {r.url: r.home for r in snaps.select("url", jobs._home(4).alias("home")).collect()}
+    assert any(homes[u] != homes[v] for (e, u) in urls for (f, v) in urls if e == f)
+    assert jobs.resume_backfill(passes, snaps, products, pages, portions=4, at_most=1) == 1
+    done = {(r.entity_id, r.seller_id, r.yyyymm) for r in passes.read("progress", jobs.PROGRESS).collect()}
+    count = lambda: sorted((r.entity_id, r.archive_url.rsplit("/", 1)[1], r.size, r.price) for r in jobs.archived_records(passes).collect())
+    want = sorted((e, u, "1gal", 20.0) if i < 9 else (e, u, "quart", 7.5) for i, (e, u) in enumerate(urls))
+    assert done and count() == [r for r in want if (r[0], "s", "202305") in done]
+    jobs.resume_backfill(passes, snaps, products, pages, portions=4)
+    assert count() == want and passes.read("progress", jobs.PROGRESS).count() == 7
+    assert jobs.resume_backfill(passes, snaps, products, pages, portions=4) == 0
+    plans.clear()
+    jobs.resume_backfill(Passes(spark, str(tmp_path / "lone")), snaps.filter("url = 'u0'"), products, pages, portions=4)
+    assert all("pmod(xxhash64(" in p and p.count("Join Inner") == 3 for p in plans) and len(plans) == 1  # documents twice, pages once
+
+
 def test_collection_runs_build_on_each_other(spark, tmp_path):
     offer = "entity_id STRING, seller_id STRING, tier STRING, price DOUBLE"
     result = "entity_id STRING, seller_id STRING, error STRING"

@@ -81,3 +81,18 @@ def test_appends_land_compressed(spark):
     assert names and all(n.endswith(".txt.gz") for n in names)
     assert spark.read.parquet(f"{landed}/good").count() + spark.read.parquet(f"{landed}/bad").count() == (
         spark.read.text(str(folder), recursiveFileLookup=True).filter("trim(value) != ''").count())
+
+
+def test_names_made_from_ids_are_looked_at_first(spark):
+    df = spark.createDataFrame([("variant-1234567",), ("variant-123456",), ("Variant-44000000011 ",), ("variant-12345678 quart",)], "t STRING")
+    tier = T.size_tier(F.col("t"))
+    assert [r[0] for r in df.select(tier).collect()] == ["default", "variant-123456", "default", "quart"]
+    text = plan(df.select(tier))
+    assert text.index("variant-") < text.index("quart")
+
+
+def test_listed_snapshots_build_no_pages(spark, monkeypatch):
+    seen = []
+    run = GP.P.resume_backfill
+    monkeypatch.setattr(GP.P, "resume_backfill", lambda passes, snapshots, *rest, **more: seen.append(plan(snapshots)) or run(passes, snapshots, *rest, **more))
+    assert GP.archive_backfill(spark, SF).count() and seen and not any("<html>" in p or "Aggregate" in p for p in seen)
