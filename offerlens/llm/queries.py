@@ -54,7 +54,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 16 equal shards by document id, and where they are once there are 17."""
-    out = sharding.shard(table(spark, sf_dir, "documents"))
+    out = sharding.shard(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 

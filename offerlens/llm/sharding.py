@@ -14,6 +14,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from offerlens.llm.scratch import Scratch
+
 HASH_BITS = 52
 BUCKETS = 4096  # of a shard, for numbering
 
@@ -21,7 +23,7 @@ BUCKETS = 4096  # of a shard, for numbering
 def draw(key: Column, shard: int) -> Column:
     """A uniform number in (0, 1) for a key and a shard."""
     digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f"|{shard}")))
-    return (F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("double") + 0.5) / float(2**HASH_BITS)
+    return (F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long") + F.lit(0.5)) / float(2**HASH_BITS)
 
 
 def _cost(key: Column, shard: int, weight: float) -> Column:
@@ -33,7 +35,8 @@ def assign(docs: DataFrame, weights: Sequence[float], *, key_col: str = "doc_id"
     if len(weights) < 2 or min(weights) <= 0 or not all(map(math.isfinite, weights)):
         raise ValueError("two or more positive weights are needed")
     bid = lambda i, w: F.struct(_cost(F.col(key_col), i, w).alias("cost"), F.lit(i).alias("shard"))
-    best = F.array_min(F.array(*[bid(i, w) for i, w in enumerate(weights)]))  # the lower shard wins ties
+    # the lower shard wins ties; unlike an array's minimum it is known not to be null, so joins add no filter that works it out again
+    best = F.least(*[bid(i, w) for i, w in enumerate(weights)])
     out = docs.select(*[c for c in docs.columns if c not in ("shard", "grown_shard")], best.alias("__best"))
     added = {"shard": F.col("__best.shard")}
     if grown_weight is not None:
@@ -54,9 +57,18 @@ def slots(rows: DataFrame, order: Sequence[str]) -> DataFrame:
 
 def shard(
     docs: DataFrame, weights: Sequence[float] = (1.0,) * 16, *, key_col: str = "doc_id", text_col: str = "text",
-    grown_weight: float | None = 1.0,
+    grown_weight: float | None = 1.0, carry: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The document columns plus size (UTF-8 bytes + 1), text_crc32, shard, grown_shard and slot. A null text is empty."""
+    """The key and the columns ``carry`` (all) plus size (UTF-8 bytes + 1), text_crc32, shard, grown_shard and slot. A null text is
+    empty.
+
+    Slots take two passes over the rows. Without their text these are written once for both, so texts are read once.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = docs.withColumns({"size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(text)})
-    return slots(assign(sized, weights, key_col=key_col, grown_weight=grown_weight), [key_col, "text_crc32", "size"])
+    if carry is not None:
+        sized = sized.select(*dict.fromkeys([key_col, *carry, "size", "text_crc32"]))
+    rows = assign(sized, weights, key_col=key_col, grown_weight=grown_weight)
+    if text_col not in rows.columns:
+        rows = Scratch(docs.sparkSession).keep(rows)
+    return slots(rows, [key_col, "text_crc32", "size"])

@@ -1,3 +1,5 @@
+import hashlib
+import math
 import zlib
 
 import pytest
@@ -34,3 +36,24 @@ def test_empty_and_bad_weights(spark, documents):
     assert sharding.shard(documents([])).count() == 0
     with pytest.raises(ValueError):
         sharding.shard(documents([]), (1.0, 0.0))
+
+
+def test_shards_against_brute_force(spark, documents):
+    def cost(key, i, weight):
+        digest = hashlib.md5(f"{'' if key is None else key}|{i}".encode()).hexdigest()
+        return -math.log((int(digest[:13], 16) + 0.5) / 2**52) / weight, i
+
+    weights = [3.0, 1.0, 0.5, 1.0]
+    for r in sharding.shard(documents(ROWS), weights, grown_weight=2.0).collect():
+        best = min(cost(r.doc_id, i, w) for i, w in enumerate(weights))
+        assert (r.shard, r.grown_shard) == (best[1], min(best, cost(r.doc_id, 4, 2.0))[1])
+
+
+def test_costs_are_worked_out_once(spark, documents):
+    """No filter on shards that repeats their costs; rows without text are the same, and written before the two passes."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    whole, narrow = sharding.shard(documents(ROWS)), sharding.shard(documents(ROWS), carry=["lang"])
+    assert "md5(" in plan(whole) and not any("md5(" in line for line in plan(whole).splitlines() if "Filter" in line)
+    assert "md5(" not in plan(narrow) and narrow.columns == ["doc_id", "lang", "size", "text_crc32", "shard", "grown_shard", "slot"]
+    rows = lambda df: sorted(map(str, df.select(*narrow.columns).collect()))
+    assert rows(whole) == rows(narrow)
